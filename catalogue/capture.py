@@ -117,8 +117,8 @@ def cdc_cursor_store(t):
     half = F.lit("2024-01-15").cast("timestamp_ntz")
     for n, rows in enumerate((t.events.filter(F.col("ts") < half), t.events)):
         marks = high_water_mark(rows, "event_id", by=["event_type"])
-        for kind, mark in marks.collect():      # one row per event type
-            store.put(f"events/{kind}", "event_id", "sequence", mark, f"run{n}")
+        store.put([(f"events/{kind}", "event_id", "sequence", mark)
+                   for kind, mark in marks.collect()], f"run{n}")      # one row per event type
     return latest_per_key(store.rows(), ["flow", "cursor_column"], ["recorded_at", "run_id"]).select(
         "flow", "cursor_column", "cursor_type", "cursor_value")
 

@@ -7,6 +7,7 @@ from millrace import SnapshotFolder, latest_per_key, staged_overwrite
 from millrace.functions.workspace import shared_folder
 from millrace.operators.merge import upsert
 from millrace.sinks.files import write_files, write_table
+from millrace.sinks.snapshots import part_keys
 from millrace.sources import read_source, read_target
 from millrace.sources.files import read_files
 
@@ -120,7 +121,7 @@ def sink_touched_partitions(t):
     folder.commit(first, partition_by=["l_returnflag"])
     news = (t.lineitem.filter(F.col("l_returnflag") == "R")
             .groupBy(*keys).agg(F.max("l_linenumber").alias("lines")))
-    touched = news.select(F.to_json(F.struct("l_returnflag")).alias("part")).distinct()
+    touched = part_keys(news, ["l_returnflag"])
     folder.commit(upsert(folder.read(touched), news, keys), partition_by=["l_returnflag"],
                   replace=touched)
     return folder.read()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,10 @@ def order_columns(order_by: str | Column | Sequence[str | Column]) -> list[Colum
     return [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in items]
 
 
+def has_order(order_by: Any) -> bool:
+    return isinstance(order_by, Column) or bool(order_by)
+
+
 def latest_per_key(df: DataFrame, keys: str | Sequence[str],
                    order_by: str | Column | Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in ``order_by`` (plain names sort descending).
@@ -93,9 +98,9 @@ def fail_on_repeated_keys(df: DataFrame, keys: Sequence[str], what: str) -> Data
               .drop(_ROW_NUMBER))
 
 
-def one_row_per_key(df: DataFrame, keys: Sequence[str], order_by, what: str) -> DataFrame:
+def one_row_per_key(df: DataFrame, keys: Sequence[str], order_by: Any, what: str) -> DataFrame:
     """De-duplicate by ``order_by`` when it is given, else insist that keys are unique."""
-    if order_by:
+    if has_order(order_by):
         return latest_per_key(df, keys, order_by)
     return fail_on_repeated_keys(df, keys, what)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from typing import Any
@@ -180,15 +180,21 @@ class CursorStore:
         mine = self.rows().filter((F.col("flow") == flow) & (F.col("cursor_column") == column))
         return mine.agg(F.max_by("cursor_value", F.struct("recorded_at", "run_id"))).first()[0]
 
-    def put(self, flow: str, column: str, cursor_type: str, value: Any, run_id: str) -> None:
-        """Record ``value``; an empty increment (None) keeps the old cursor."""
-        if value is None:
-            return
+    def put(self, marks: Sequence[tuple[str, str, str, Any]], run_id: str) -> None:
+        """Record ``(flow, column, type, value)`` rows in one append.
+
+        A value of None stands for an empty increment and keeps the old cursor.
+        """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        text = value.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(value, datetime) else str(value)
-        row = (flow, column, cursor_type, text, run_id, now)
-        (self.spark.createDataFrame([row], self.SCHEMA).coalesce(1)
-         .write.mode("append").parquet(self.path))
+        rows = [(flow, column, kind, _cursor_text(value), run_id, now)
+                for flow, column, kind, value in marks if value is not None]
+        if rows:
+            (self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1)
+             .write.mode("append").parquet(self.path))
+
+
+def _cursor_text(value: Any) -> str:
+    return value.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(value, datetime) else str(value)
 
 
 def upper_bound(df: DataFrame, config: CdcConfig, last: Any) -> str | None:

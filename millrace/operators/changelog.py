@@ -38,7 +38,8 @@ def apply_change_log(target: DataFrame, log: DataFrame, keys: str | Sequence[str
                                F.coalesce(F.col(op), F.lit("NULL")))))
     log = log.withColumn(op, known)
     last = net_changes(log.filter(keyed(names)), names, seq)
-    matched = last.select(*names)
+    # Only the set of keys matters here; it is folded before the shuffle, whatever their frequency.
+    matched = log.filter(keyed(names)).select(*names).distinct()
     kept = target.filter(keyed(names)).join(
         F.broadcast(matched) if broadcast_log else matched, names, "left_anti").select(*payload)
     columns = align(log, target.schema, payload)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.keys import (align, all_of, as_keys, keyed, one_row_per_key,
+from millrace.functions.keys import (align, all_of, as_keys, has_order, keyed, one_row_per_key,
                                      require_columns, require_comparable)
 
 
@@ -43,9 +43,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | Sequence[str], *, o
     else:
         matching, loose = prepared.filter(keyed(names)), prepared.filter(~keyed(names))
         bypass, old = target.filter(~keyed(names)), target.filter(keyed(names))
-    matching = one_row_per_key(matching, names, order_by, "upsert source").select(*columns)
-
+    # Repeats are harmless on the key side of the anti join; where they are expected, they are folded
+    # before the shuffle, so a key that fills a third of the source arrives once per map task.
     source_keys = matching.select(*names)
+    source_keys = source_keys.distinct() if has_order(order_by) else source_keys
+    matching = one_row_per_key(matching, names, order_by, "upsert source").select(*columns)
     kept = _join(old, F.broadcast(source_keys) if broadcast_source else source_keys,
                  names, "left_anti", null_safe)
     if repeated_target_keys:
@@ -78,7 +80,7 @@ def merge_into_table(source: DataFrame, table: str, keys: str | Sequence[str], *
     Columns are addressed as columns, so no name is ever pasted into SQL text.
     """
     names = as_keys(keys)
-    if order_by:
+    if has_order(order_by):
         if null_safe:
             source = one_row_per_key(source, names, order_by, "merge source")
         else:

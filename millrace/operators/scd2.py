@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.keys import (all_of, any_of, as_keys, keyed, one_row_per_key,
+from millrace.functions.keys import (all_of, any_of, as_keys, has_order, keyed, one_row_per_key,
                                      require_columns, require_comparable)
 from millrace.operators.cdc import time_literal
 
@@ -26,6 +26,7 @@ TIME_TYPES = {"timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZTyp
 _CHANGED = "__changed"
 _PIECE = "__piece"          # 0 = the row the target had, 1 = a version this load opens
 _CLOSED_VERSION = "__closed_version"
+_HAS_OPEN = "__has_open"
 
 
 @dataclass(frozen=True)
@@ -71,16 +72,14 @@ class Scd2Config:
         return (self.valid_from, self.valid_to, self.is_current, self.version)
 
 
-def is_open(config: Scd2Config) -> Column:
-    return F.coalesce(F.col(config.is_current), F.lit(False))
-
-
 def current_rows(dimension: DataFrame, config: Scd2Config) -> DataFrame:
+    """Open rows. The bare flag reaches the scan: partition pruning, or a Parquet filter."""
     return dimension.filter(F.col(config.is_current))
 
 
 def closed_rows(dimension: DataFrame, config: Scd2Config) -> DataFrame:
-    return dimension.filter(~is_open(config))
+    flag = F.col(config.is_current)
+    return dimension.filter((flag == F.lit(False)) | flag.isNull())
 
 
 def scd2_init(source: DataFrame, config: Scd2Config, as_of: Any) -> DataFrame:
@@ -103,6 +102,10 @@ class _Load:
     def __init__(self, target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any):
         require_columns(target, [*config.keys, *config.own_columns], "scd2 target")
         require_columns(source, config.keys, "scd2 source")
+        flag = target.schema[config.is_current].dataType
+        if not isinstance(flag, T.BooleanType):
+            raise ValueError(f"column {config.is_current!r} must be boolean, not {flag.simpleString()}; "
+                             "give a schema when it is a partition column")
         self.config = config
         self.schema = target.schema
         self.shared = [c for c in target.columns if c in source.columns
@@ -184,37 +187,40 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
     """Open rows of ``target`` after the load, together with the rows the load closed."""
     load = _Load(target, source, config, as_of)
     keys = list(config.keys)
-    old_closed = closed_rows(target if history is None else history, config).filter(keyed(keys))
+    history = target if history is None else history
+    open_rows = current_rows(target, config)
+    matchable = open_rows.filter(keyed(keys))
 
-    open_rows = target.filter(is_open(config))
-    extra = [c for c in source.columns if c not in (*keys, *load.shared)] if config.order_by else []
+    extra = [c for c in source.columns if c not in (*keys, *load.shared)]
+    extra = extra if has_order(config.order_by) else []
     prepared = source.select(*load.source_columns(source), *extra)
     unique = one_row_per_key(prepared.filter(keyed(keys)), keys, config.order_by,
                              "scd2 source").select(*keys, *load.shared)
     keyless = load.opened_rows(prepared.filter(~keyed(keys)).select(*keys, *load.shared), F.lit(0))
-    matchable = open_rows.filter(keyed(keys))
 
     if broadcast_source:
         # The source is small: no row of the dimension is shuffled. It is read once in full, and its
-        # key columns once more to tell which source keys it does not have.
+        # keys and versions once more to see which source keys have no open row.
         pairs = matchable.alias("t").join(F.broadcast(unique.alias("s")), load.same_key(),
                                           "inner" if only_changes else "left")
         if only_changes:
             pairs = pairs.filter(load.changed)
         versions = _pieces(load, pairs, F.col(f"t.{config.version}"))
-        found = matchable.select(*keys).join(F.broadcast(unique.select(*keys)), keys, "left_semi")
-        added = unique.join(found.distinct(), keys, "left_anti")
-        before = (old_closed.select(*keys, config.version)
-                  .join(F.broadcast(added.select(*keys)), keys, "left_semi")
-                  .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
-        result = versions.unionByName(
-            load.opened_rows(added.join(before, keys, "left"), F.col(_CLOSED_VERSION)))
+        wanted = prepared.filter(keyed(keys)).select(*keys).distinct()
+        known = [*keys, config.is_current, config.version]
+        seen = (open_rows.select(*known).unionByName(closed_rows(history, config).select(*known))
+                .join(F.broadcast(wanted), keys, "left_semi")
+                .groupBy(*keys).agg(F.max(config.is_current).alias(_HAS_OPEN),
+                                    F.max(config.version).alias(_CLOSED_VERSION)))
+        added = unique.join(seen, keys, "left").filter(~F.coalesce(F.col(_HAS_OPEN), F.lit(False)))
+        result = versions.unionByName(load.opened_rows(added, F.col(_CLOSED_VERSION)))
     else:
         # Both sides are hashed on the key once. Keys are unique on either side, so no partition is
         # heavier than its rows; closed versions are reduced to one number per key before they move.
-        before = old_closed.groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION))
-        known = unique.join(before, keys, "left")
-        pairs = matchable.alias("t").join(known.alias("s"), load.same_key(), "full_outer")
+        before = (closed_rows(history, config).filter(keyed(keys))
+                  .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
+        pairs = matchable.alias("t").join(unique.join(before, keys, "left").alias("s"),
+                                          load.same_key(), "full_outer")
         if only_changes:
             pairs = pairs.filter(load.in_source & (~load.in_target | load.changed))
         old_version = F.coalesce(F.col(f"t.{config.version}"), F.col(f"s.{_CLOSED_VERSION}"), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ from millrace.operators.scd2 import scd2_changes, scd2_init, scd2_merge, scd2_op
 from millrace.plans.spec import BY_POSITION, FlowSpec, SourceSpec, TargetSpec
 from millrace.sinks import MERGE, merge_keys, write_plain
 from millrace.sinks.files import replace_table, write_iceberg, write_jdbc
-from millrace.sinks.snapshots import SnapshotFolder, part_key
+from millrace.sinks.snapshots import Snapshot, SnapshotFolder, part_keys
 from millrace.sources import read_source, read_target
 
 _FILE_TARGETS = ("s3", "files", "csv", "parquet")
@@ -42,7 +43,7 @@ class RunResult:
 class _Mark:
     """A cursor to store once the target is written."""
 
-    store: CursorStore
+    state: str
     flow: str
     column: str
     mode: str
@@ -64,8 +65,9 @@ def run_flow(spark: SparkSession, spec: FlowSpec, as_of: Any = None) -> RunResul
     as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
     increment, marks = _increment(spark, spec)
     frame = _write(spark, spec, increment, as_of)
-    for mark in marks:
-        mark.store.put(mark.flow, mark.column, mark.mode, mark.value, run_id)
+    for path in sorted({m.state for m in marks}):
+        CursorStore(spark, path).put([(m.flow, m.column, m.mode, m.value)
+                                      for m in marks if m.state == path], run_id)
     return RunResult(spec.name, run_id, as_of, frame,
                      {m.flow: m.value for m in marks if m.value is not None})
 
@@ -89,11 +91,10 @@ def _changed(spark: SparkSession, flow: str, source: SourceSpec,
     cdc = source.cdc
     if not cdc.enabled or cdc.mode == "binlog" or not cdc.state:
         return apply_cdc(df, cdc), None
-    store = CursorStore(spark, cdc.state)
     owner = f"{flow}/{source.name}"
-    last = store.get(owner, cdc.column)
+    last = CursorStore(spark, cdc.state).get(owner, cdc.column)
     until = upper_bound(df, cdc, last)
-    return apply_cdc(df, cdc, last, until), _Mark(store, owner, cdc.column, cdc.mode, until)
+    return apply_cdc(df, cdc, last, until), _Mark(cdc.state, owner, cdc.column, cdc.mode, until)
 
 
 # -- writing -------------------------------------------------------------------------------------
@@ -113,26 +114,28 @@ def _write(spark: SparkSession, spec: FlowSpec, increment: DataFrame, as_of: Any
 def _write_as_is(spark: SparkSession, target: TargetSpec, rows: DataFrame) -> DataFrame:
     if target.type in _FILE_TARGETS:
         folder = SnapshotFolder(spark, target.config["path"])
-        if folder.header() is not None:
-            return _write_to_folder(spark, folder, target, rows)
+        before = folder.snapshot()
+        if before is not None:
+            return _write_to_folder(folder, before, target, rows)
     write_plain(rows, target.type, target.config)
     return rows
 
 
-def _write_to_folder(spark: SparkSession, folder: SnapshotFolder, target: TargetSpec,
+def _write_to_folder(folder: SnapshotFolder, before: Snapshot, target: TargetSpec,
                      rows: DataFrame) -> DataFrame:
     """Plain save modes on a folder that already holds committed loads."""
-    header = folder.header()
     if target.mode in ("error", "errorifexists", "default"):
         raise ValueError(f"{folder.path} already holds data")
+    if target.mode == "ignore":
+        return folder.read(at=before)
     if target.mode == "append":
-        nothing = spark.createDataFrame([], "part STRING")
-        names = [f.name for f in header.schema.fields]
-        folder.commit(rows.select(*names), header.format, header.options, header.partition_by,
-                      replace=nothing)
-    elif target.mode == "overwrite":
-        folder.commit(rows, target.config["format"], target.config.get("options"), target.partition_by)
-    return folder.read()
+        rows = rows.select(*[f"`{f.name}`" for f in before.schema.fields])
+        after = folder.commit(rows, before.format, before.options, before.partition_by, replace=(),
+                              at=before)
+    else:
+        after = folder.commit(rows, target.config["format"], target.config.get("options"),
+                              target.partition_by, at=before)
+    return folder.read(at=after)
 
 
 def _merged(spec: FlowSpec, current: DataFrame | None, staged: Staged, as_of: Any) -> DataFrame:
@@ -154,64 +157,46 @@ def _merged(spec: FlowSpec, current: DataFrame | None, staged: Staged, as_of: An
 
 
 def _merge_folder(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: Any) -> DataFrame:
-    """Merge into files, rewriting as few folders as the layout allows."""
-    target = spec.target
+    """Merge into files, reading and rewriting as few folders as the layout allows."""
+    target, scd2 = spec.target, spec.target.scd2
     folder = SnapshotFolder(spark, target.config["path"])
-    how = {"format": target.config["format"], "options": target.config.get("options")}
-    layout = list(target.partition_by)
-    if target.scd2:
-        layout.append(target.scd2.is_current)
-    header = folder.header()
-    same_layout = header is not None and header.partition_by == layout and header.format == how["format"].lower()
-    if not same_layout:
-        current = read_target(spark, target.type, target.config)
-        rows = _merged(spec, current, staged, as_of)
-        folder.commit(rows, partition_by=layout, rebalance_by=target.partition_by, **how)
-        return folder.read()
-
-    touched = _touched(spec, staged.frame, header.schema)
-    if target.scd2:
-        open_parts = _parts_where(folder, touched, target.scd2.is_current, "true")
-        closed_parts = _parts_where(folder, touched, target.scd2.is_current, "false")
-        rows = scd2_open(folder.read(open_parts), staged.frame, target.scd2, as_of,
-                         broadcast_source=staged.small, history=folder.read(closed_parts))
-        replaced = open_parts
+    layout = (*target.partition_by, scd2.is_current) if scd2 else tuple(target.partition_by)
+    how = {"format": target.config["format"].lower(), "options": target.config.get("options"),
+           "partition_by": layout, "rebalance_by": target.partition_by}
+    before = folder.snapshot()
+    if before is None or (before.format, before.partition_by) != (how["format"], layout):
+        rows = _merged(spec, read_target(spark, target.type, target.config), staged, as_of)
+        return folder.read(at=folder.commit(rows, at=before, **how))
+
+    reached = _reached_parts(spec, staged.frame, before)
+    if scd2:
+        open_parts = {p for p in reached if json.loads(p).get(scd2.is_current) == "true"}
+        rows = scd2_open(folder.read(open_parts, before), staged.frame, scd2, as_of,
+                         broadcast_source=staged.small, history=folder.read(reached - open_parts, before))
+        reached = open_parts        # closed rows are only added to
     else:
-        replaced = touched if touched is not None else folder.listing().select("part")
-        rows = _merged(spec, folder.read(replaced), staged, as_of)
-    folder.commit(rows, partition_by=layout, rebalance_by=target.partition_by, replace=replaced, **how)
-    return folder.read()
+        rows = _merged(spec, folder.read(reached, before), staged, as_of)
+    return folder.read(at=folder.commit(rows, replace=reached, at=before, **how))
 
 
-def _touched(spec: FlowSpec, increment: DataFrame, schema) -> DataFrame | None:
-    """Partitions the increment can reach, or None where a key may sit in any partition.
+def _reached_parts(spec: FlowSpec, increment: DataFrame, before: Snapshot) -> set[str]:
+    """Partitions that may hold keys of the increment.
 
-    Rows of a key share a partition only if the partition columns are part of the key.
+    Rows of one key share a partition only if the partition columns belong to the key; otherwise
+    every partition may be meant.
     """
     target = spec.target
-    layout = target.partition_by
     if spec.change_log:
         keys = spec.change_log.keys
     else:
         keys = target.scd2.keys if target.scd2 else merge_keys(target.config)
-    if not layout or not set(layout) <= set(keys):
-        return None
-    typed = [F.col(c).cast(schema[c].dataType).alias(c) for c in layout]
-    return increment.select(*typed).distinct().select(part_key(layout).alias("part"))
-
-
-def _parts_where(folder: SnapshotFolder, touched: DataFrame | None, flag: str, value: str) -> DataFrame:
-    """Partition keys of the listing with the given flag, limited to the touched partitions."""
-    found = folder.listing().select("part").distinct().filter(
-        F.get_json_object("part", f"$.{flag}") == value)
-    if touched is None:
-        return found
-    # The listing's keys end in the flag; without it they read like the touched ones.
-    ending = f'"{flag}":"{value}"}}'
-    bare = F.expr(f"left(part, length(part) - {len(ending)})")
-    bare = F.concat(F.regexp_replace(bare, ",$", ""), F.lit("}"))
-    return (found.withColumn("bare", bare)
-            .join(touched.withColumnRenamed("part", "bare"), "bare", "left_semi").select("part"))
+    columns = target.partition_by
+    if not columns or not set(columns) <= set(keys):
+        return before.parts()
+    typed = increment.select(*[F.col(c).cast(before.schema[c].dataType).alias(c) for c in columns])
+    wanted = [json.loads(p) for p in part_keys(typed, columns)]
+    known = {tuple(w.get(c) for c in columns) for w in wanted}
+    return {p for p in before.parts() if tuple(json.loads(p).get(c) for c in columns) in known}
 
 
 def _merge_iceberg(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: Any) -> DataFrame:

@@ -13,44 +13,57 @@ Layout::
     <path>/loads/load=<id>-<suffix>/<partition folders>/...     rows
     <path>/_listings/id=<id>/...                                listings
 
-One writer per target at a time.
+Partitions are named by a *part key*: the values of the partition columns as JSON, ``{}`` without
+partitioning. Listings and sets of part keys are layout, one short text per partition folder, as
+Spark's own file index keeps them; rows never pass through the driver. One writer per target at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.sources.files import path_is_missing
 
-LISTING_SCHEMA = "folder STRING, part STRING, id INT"
-HEADER_SCHEMA = "format STRING, options STRING, schema STRING, partition_by ARRAY<STRING>"
-_LOAD = "load"
+_LISTING = ("folder STRING, part STRING, format STRING, options STRING, schema STRING, "
+            "partition_by ARRAY<STRING>")
 
 
-def part_key(columns: Sequence[str]) -> Any:
-    """Text form of a partition: the values of its columns as JSON, '{}' without partitioning."""
+def part_key(columns: Sequence[str]) -> Column:
+    """The part key of a row. Spark keeps NULL and '' in the same partition, so they share a key."""
     if not columns:
         return F.lit("{}")
-    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]))
+    return F.to_json(F.struct(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]))
+
+
+def part_keys(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """The partitions the rows of ``df`` fall into."""
+    return {r["part"] for r in df.select(part_key(columns).alias("part")).distinct().collect()}
 
 
 @dataclass(frozen=True)
-class Header:
+class Snapshot:
+    """One committed state: how its rows are stored, and in which folders."""
+
     id: int
     format: str
-    options: dict[str, str]
+    options: Mapping[str, str]
     schema: T.StructType
-    partition_by: list[str]
+    partition_by: tuple[str, ...]
+    folders: Mapping[str, str]          # folder name -> part key
+
+    def parts(self) -> set[str]:
+        return set(self.folders.values())
 
 
 class SnapshotFolder:
@@ -59,130 +72,109 @@ class SnapshotFolder:
         self.path = path.rstrip("/")
         self._loads = f"{self.path}/loads"
         self._listings = f"{self.path}/_listings"
-        self._headers = f"{self.path}/_headers"
-
-    # -- reading ---------------------------------------------------------------------------
 
-    def header(self) -> Header | None:
-        """Description of the newest committed load, None if there is none."""
-        last = self._last_id()
-        if last is None:
-            return None
-        row = (self.spark.read.schema(HEADER_SCHEMA).json(f"{self._headers}/id={last}")).first()
-        return Header(last, row["format"], json.loads(row["options"]),
-                      T.StructType.fromJson(json.loads(row["schema"])), list(row["partition_by"]))
-
-    def _last_id(self) -> int | None:
+    def _committed(self) -> list[int]:
+        """Numbers of all committed loads, from the names of the listing files."""
         try:
-            found = self.spark.read.schema(LISTING_SCHEMA).parquet(self._listings)
+            files = self.spark.read.schema(_LISTING).parquet(self._listings).inputFiles()
         except AnalysisException as error:
             if path_is_missing(error):
-                return None
+                return []
             raise
-        return found.agg(F.max("id")).first()[0]
+        return sorted({int(re.search(r"/id=(\d+)/[^/]*$", f).group(1)) for f in files})
 
-    def listing(self) -> DataFrame:
-        """Folders of the newest load with their partition keys."""
-        last = self._last_id()
-        if last is None:
-            return self.spark.createDataFrame([], "folder STRING, part STRING")
-        return (self.spark.read.schema("folder STRING, part STRING")
-                .parquet(f"{self._listings}/id={last}"))
+    def snapshot(self) -> Snapshot | None:
+        """The newest committed state, None before the first commit."""
+        numbers = self._committed()
+        if not numbers:
+            return None
+        rows = self.spark.read.schema(_LISTING).parquet(f"{self._listings}/id={numbers[-1]}").collect()
+        one = rows[0]
+        return Snapshot(numbers[-1], one["format"], json.loads(one["options"]),
+                        T.StructType.fromJson(json.loads(one["schema"])), tuple(one["partition_by"]),
+                        {r["folder"]: r["part"] for r in rows if r["folder"]})
 
-    def read(self, parts: DataFrame | None = None) -> DataFrame | None:
+    def read(self, parts: Collection[str] | None = None, at: Snapshot | None = None) -> DataFrame | None:
         """Committed rows, or None before the first commit.
 
-        ``parts`` (one column ``part``) limits the scan to those partitions; other folders are not
-        even listed.
+        ``parts`` limits the scan to those partitions; other folders are not even listed. ``at`` is a
+        state resolved before, by default the newest.
         """
-        header = self.header()
-        if header is None:
+        state = at or self.snapshot()
+        if state is None:
             return None
-        wanted = self.listing()
-        if parts is not None:
-            wanted = wanted.join(parts.select("part").distinct(), "part", "left_semi")
-        # One short name per partition folder, the list Spark's own scan keeps on the driver.
-        folders = [f"{self._loads}/{unquote(r['folder'])}" for r in wanted.select("folder").collect()]
-        names = [f.name for f in header.schema.fields]
-        if not folders:
-            return self.spark.createDataFrame([], header.schema)
-        return (self.spark.read.format(header.format).options(**header.options)
-                .option("basePath", self._loads).schema(header.schema)
-                .load(folders).select(*names))
-
-    def retired_folders(self) -> DataFrame:
-        """Folders that only older listings name; safe to delete once nobody reads those loads."""
-        every = self.spark.read.schema(LISTING_SCHEMA).parquet(self._listings)
-        return (every.select("folder").distinct()
-                .join(self.listing().select("folder"), "folder", "left_anti"))
-
-    # -- writing ---------------------------------------------------------------------------
+        chosen = [f for f, part in state.folders.items() if parts is None or part in parts]
+        if not chosen:
+            return self.spark.createDataFrame([], state.schema)
+        return (self.spark.read.format(state.format).options(**state.options)
+                .option("basePath", self._loads).schema(state.schema)
+                .load([f"{self._loads}/{unquote(f)}" for f in chosen])
+                .select(*[f"`{f.name}`" for f in state.schema.fields]))
 
     def commit(self, df: DataFrame, format: str = "parquet", options: Mapping[str, Any] | None = None,
-               partition_by: Sequence[str] = (), replace: DataFrame | None = None,
-               rebalance_by: Sequence[str] | None = None) -> int:
+               partition_by: Sequence[str] = (), replace: Collection[str] | None = None,
+               rebalance_by: Sequence[str] | None = None, at: Snapshot | None = None) -> Snapshot:
         """Write ``df`` as a new load and make it current.
 
-        Without ``replace`` it is the whole new contents. With it (one column ``part``), only those
-        partitions are replaced and every other folder of the current load is kept.
+        Without ``replace`` it is the whole new contents. With it, only those partitions are replaced
+        and every other folder of the current state is kept. ``at`` is the state ``df`` was made from.
+        Rows are rebalanced on the partition columns (or ``rebalance_by``) before they are written.
         """
-        before = self.header()
-        kept = self._kept(before, format, partition_by, replace)
+        before = at or self.snapshot()
+        format, layout = format.lower(), tuple(partition_by)
+        kept = {}
+        if replace is not None and before is not None:
+            if (before.format, before.partition_by) != (format, layout):
+                raise ValueError(f"{self.path} is {before.format} by {before.partition_by}; partitions "
+                                 f"cannot be replaced as {format} by {layout}")
+            kept = {f: part for f, part in before.folders.items() if part not in set(replace)}
         number = before.id + 1 if before else 1
-        load = f"{number:06d}-{uuid.uuid4().hex[:12]}"
-        target = f"{self._loads}/{_LOAD}={load}"
-        shuffle_on = list(partition_by if rebalance_by is None else rebalance_by)
-        if shuffle_on:
-            df = df.hint("rebalance", *shuffle_on)
+        load = f"load={number:06d}-{uuid.uuid4().hex[:12]}"
+        options = {k: str(v) for k, v in dict(options or {}).items()}
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        self._write_rows(df, target, format, options, partition_by)
-        listing = self._folders_of(target, load, format, options, schema, partition_by)
-        if kept is not None:
-            listing = kept.unionByName(listing)
-        self._write_header(number, format, options, schema, partition_by)
-        if self._last_id() != (before.id if before else None):
+
+        balance = layout if rebalance_by is None else tuple(rebalance_by)
+        if balance:
+            df = df.hint("rebalance", *balance)
+        writer = df.write.format(format).mode("errorifexists").options(**options)
+        (writer.partitionBy(*layout) if layout else writer).save(f"{self._loads}/{load}")
+        written = self._folders_of(load, format, options, schema, layout)
+
+        state = Snapshot(number, format, options, schema, layout, {**kept, **written})
+        if self._committed()[-1:] != ([before.id] if before else []):
             raise RuntimeError(f"another load was committed at {self.path} during this one")
-        self._publish(number, listing)
-        return number
+        self._publish(state)
+        return state
+
+    def _folders_of(self, load, format, options, schema, layout) -> dict[str, str]:
+        """Folders just written, with their part keys; a scan of file footers, no columns."""
+        if not layout:
+            return {load: "{}"}
+        rows = (self.spark.read.format(format).options(**options).schema(schema)
+                .load(f"{self._loads}/{load}"))
+        folder = F.regexp_extract("_metadata.file_path", f"({load}.*)/[^/]+$", 1)
+        found = rows.select(folder.alias("folder"), part_key(layout).alias("part")).distinct()
+        return {r["folder"]: r["part"] for r in found.collect()}
+
+    def _publish(self, state: Snapshot) -> None:
+        """Write the listing. One file, so it appears by a single rename.
+
+        "overwrite" clears what an earlier, dead attempt at the same number left behind.
+        """
+        how = (state.format, json.dumps(dict(state.options)), state.schema.json(), list(state.partition_by))
+        rows = [(f, part, *how) for f, part in state.folders.items()] or [(None, None, *how)]
+        (self.spark.createDataFrame(rows, _LISTING).coalesce(1)
+         .write.mode("overwrite").parquet(f"{self._listings}/id={state.id}"))
 
-    def _kept(self, before, format, partition_by, replace) -> DataFrame | None:
-        if replace is None or before is None:
-            return None
-        if before.partition_by != list(partition_by) or before.format != format.lower():
-            raise ValueError(f"{self.path} is {before.format} by {before.partition_by}; "
-                             f"partitions cannot be replaced as {format} by {list(partition_by)}")
-        return (self.listing().join(replace.select("part").distinct(), "part", "left_anti")
-                .select("folder", "part"))
-
-    def _write_rows(self, df, target, format, options, partition_by) -> None:
-        writer = df.write.format(format.lower()).mode("errorifexists").options(**dict(options or {}))
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.save(target)
-
-    def _folders_of(self, target, load, format, options, schema, partition_by) -> DataFrame:
-        """Folder and partition key of everything just written; reads file footers, no columns."""
-        if not partition_by:
-            return self.spark.range(1).select(F.lit(f"{_LOAD}={load}").alias("folder"),
-                                              F.lit("{}").alias("part"))
-        written = (self.spark.read.format(format.lower()).options(**dict(options or {}))
-                   .schema(schema).load(target))
-        folder = F.regexp_extract("_metadata.file_path", f"({_LOAD}={load}.*)/[^/]+$", 1)
-        return written.select(folder.alias("folder"), part_key(partition_by).alias("part")).distinct()
-
-    def _write_header(self, number, format, options, schema, partition_by) -> None:
-        row = (format.lower(), json.dumps({k: str(v) for k, v in dict(options or {}).items()}),
-               schema.json(), list(partition_by))
-        (self.spark.createDataFrame([row], HEADER_SCHEMA).coalesce(1)
-         .write.mode("overwrite").json(f"{self._headers}/id={number}"))
-
-    def _publish(self, number: int, listing: DataFrame) -> None:
-        # One file, so it appears by a single rename. "overwrite" clears what a dead try left behind.
-        listing.coalesce(1).write.mode("overwrite").parquet(f"{self._listings}/id={number}")
+    def retired_folders(self) -> DataFrame:
+        """Folders that only older listings name; safe to delete once nobody reads those loads."""
+        numbers = self._committed()
+        every = self.spark.read.schema(f"{_LISTING}, id INT").parquet(self._listings)
+        live = every.filter(F.col("id") == numbers[-1]).select("folder")
+        return every.select("folder").distinct().join(live, "folder", "left_anti")
 
 
 def staged_overwrite(spark: SparkSession, path: str, df: DataFrame, **how: Any) -> DataFrame:
     """Replace the contents of ``path`` by ``df``, which may read ``path``; return the new contents."""
     folder = SnapshotFolder(spark, path)
-    folder.commit(df, **how)
-    return folder.read()
+    return folder.read(at=folder.commit(df, **how))
