@@ -7,15 +7,17 @@ database and lets Spark see its true size. A lost executor re-reads files, not t
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# An increment up to this many (JSON text) bytes may be broadcast.
+# An increment up to this many bytes may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -37,6 +39,17 @@ def shared_folder(spark: SparkSession, name: str = "work") -> str:
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A few rows of bookkeeping as one constant of the plan; no Python worker is started for them."""
+    text = json.dumps(rows, default=str)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"ARRAY<STRUCT<{ddl}>>")))
+
+
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(0).select(*columns)
+
+
 @dataclass(frozen=True)
 class Staged:
     frame: DataFrame
@@ -48,12 +61,26 @@ class Staged:
         return self.bytes <= BROADCAST_BYTES
 
 
+def row_bytes(schema: T.StructType) -> Column:
+    """Rough size of a row: texts as long as they are, nested values as JSON, anything else 8 bytes."""
+    total = F.lit(0).cast("bigint")
+    for field in schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.octet_length(F.to_json(F.struct(column)))
+        else:
+            total = total + 8
+    return total
+
+
 def stage(df: DataFrame, name: str = "increment") -> Staged:
     """Write ``df`` once to the shared folder; count and measure it during that same write."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     seen = Observation(f"stage-{uuid.uuid4().hex}")
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))
-    (df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes"))
+    size = F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0))
+    (df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("bytes"))
        .write.mode("errorifexists").parquet(path))
     return Staged(spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["bytes"])

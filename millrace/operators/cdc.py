@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.keys import require_columns
+from millrace.functions.workspace import literal_rows
 from millrace.sources.files import path_is_missing
 
 # The modes, their default columns and where a load without any state starts.
@@ -173,7 +174,7 @@ class CursorStore:
             return self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except AnalysisException as error:
             if path_is_missing(error):
-                return self.spark.createDataFrame([], self.SCHEMA)
+                return literal_rows(self.spark, [], self.SCHEMA)
             raise
 
     def get(self, flow: str, column: str) -> str | None:
@@ -186,11 +187,11 @@ class CursorStore:
         A value of None stands for an empty increment and keeps the old cursor.
         """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        rows = [(flow, column, kind, _cursor_text(value), run_id, now)
+        rows = [{"flow": flow, "cursor_column": column, "cursor_type": kind,
+                 "cursor_value": _cursor_text(value), "run_id": run_id, "recorded_at": now.isoformat()}
                 for flow, column, kind, value in marks if value is not None]
         if rows:
-            (self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1)
-             .write.mode("append").parquet(self.path))
+            literal_rows(self.spark, rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
 
 def _cursor_text(value: Any) -> str:

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.keys import (all_of, any_of, as_keys, has_order, keyed, one_row_per_key,
-                                     require_columns, require_comparable)
+from millrace.functions.keys import (all_of, any_of, as_keys, fail_on_repeated_keys, has_order, keyed,
+                                     one_row_per_key, require_columns, require_comparable)
 from millrace.operators.cdc import time_literal
 
 # The types a dimension's validity columns may get at the first load.
@@ -26,7 +26,8 @@ TIME_TYPES = {"timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZTyp
 _CHANGED = "__changed"
 _PIECE = "__piece"          # 0 = the row the target had, 1 = a version this load opens
 _CLOSED_VERSION = "__closed_version"
-_HAS_OPEN = "__has_open"
+_OPEN = "__open"
+_OPEN_ROWS = "open rows of the scd2 target"
 
 
 @dataclass(frozen=True)
@@ -210,17 +211,21 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
         known = [*keys, config.is_current, config.version]
         seen = (open_rows.select(*known).unionByName(closed_rows(history, config).select(*known))
                 .join(F.broadcast(wanted), keys, "left_semi")
-                .groupBy(*keys).agg(F.max(config.is_current).alias(_HAS_OPEN),
+                .groupBy(*keys).agg(F.count_if(config.is_current).alias(_OPEN),
                                     F.max(config.version).alias(_CLOSED_VERSION)))
-        added = unique.join(seen, keys, "left").filter(~F.coalesce(F.col(_HAS_OPEN), F.lit(False)))
+        added = unique.join(seen, keys, "left").filter(
+            F.when(F.coalesce(F.col(_OPEN), F.lit(0)) <= 1, F.coalesce(F.col(_OPEN), F.lit(0)) == 0)
+             .otherwise(F.raise_error(F.lit(f"repeated key in {_OPEN_ROWS}")).cast("boolean")))
         result = versions.unionByName(load.opened_rows(added, F.col(_CLOSED_VERSION)))
     else:
-        # Both sides are hashed on the key once. Keys are unique on either side, so no partition is
-        # heavier than its rows; closed versions are reduced to one number per key before they move.
+        # Both sides are hashed and sorted on the key once. Keys are unique on either side (the query
+        # fails at the first repeat), so no key weighs more than one row; closed versions are reduced
+        # to one number per key before they move.
         before = (closed_rows(history, config).filter(keyed(keys))
                   .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
-        pairs = matchable.alias("t").join(unique.join(before, keys, "left").alias("s"),
-                                          load.same_key(), "full_outer")
+        single = fail_on_repeated_keys(matchable, keys, _OPEN_ROWS)
+        pairs = single.alias("t").join(unique.join(before, keys, "left").alias("s"),
+                                       load.same_key(), "full_outer")
         if only_changes:
             pairs = pairs.filter(load.in_source & (~load.in_target | load.changed))
         old_version = F.coalesce(F.col(f"t.{config.version}"), F.col(f"s.{_CLOSED_VERSION}"), F.lit(0))

@@ -50,6 +50,10 @@ class _Mark:
     value: str | None
 
 
+def transformed(spec: FlowSpec, rows: DataFrame) -> DataFrame:
+    return chain(rows, [t.step() for t in spec.transforms])
+
+
 def build_increment(spark: SparkSession, spec: FlowSpec) -> DataFrame:
     """The lazy rows a run would load, without writing or recording anything."""
     return _increment(spark, spec)[0]
@@ -64,7 +68,7 @@ def run_flow(spark: SparkSession, spec: FlowSpec, as_of: Any = None) -> RunResul
     run_id = uuid.uuid4().hex
     as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
     increment, marks = _increment(spark, spec)
-    frame = _write(spark, spec, increment, as_of)
+    frame = load_increment(spark, spec, increment, as_of)
     for path in sorted({m.state for m in marks}):
         CursorStore(spark, path).put([(m.flow, m.column, m.mode, m.value)
                                       for m in marks if m.state == path], run_id)
@@ -83,7 +87,7 @@ def _increment(spark: SparkSession, spec: FlowSpec) -> tuple[DataFrame, list[_Ma
         if mark:
             marks.append(mark)
     stack = DataFrame.union if spec.combine == BY_POSITION else DataFrame.unionByName
-    return chain(reduce(stack, frames), [t.step() for t in spec.transforms]), marks
+    return transformed(spec, reduce(stack, frames)), marks
 
 
 def _changed(spark: SparkSession, flow: str, source: SourceSpec,
@@ -99,7 +103,8 @@ def _changed(spark: SparkSession, flow: str, source: SourceSpec,
 
 # -- writing -------------------------------------------------------------------------------------
 
-def _write(spark: SparkSession, spec: FlowSpec, increment: DataFrame, as_of: Any) -> DataFrame:
+def load_increment(spark: SparkSession, spec: FlowSpec, increment: DataFrame, as_of: Any) -> DataFrame:
+    """Write or merge transformed rows into the target of ``spec``."""
     target = spec.target
     if not (target.scd2 or target.mode == MERGE or spec.change_log):
         return _write_as_is(spark, target, increment)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.workspace import literal_rows, no_rows
 from millrace.sources.files import path_is_missing
 
 _LISTING = ("folder STRING, part STRING, format STRING, options STRING, schema STRING, "
@@ -105,7 +106,7 @@ class SnapshotFolder:
             return None
         chosen = [f for f, part in state.folders.items() if parts is None or part in parts]
         if not chosen:
-            return self.spark.createDataFrame([], state.schema)
+            return no_rows(self.spark, state.schema)
         return (self.spark.read.format(state.format).options(**state.options)
                 .option("basePath", self._loads).schema(state.schema)
                 .load([f"{self._loads}/{unquote(f)}" for f in chosen])
@@ -161,10 +162,21 @@ class SnapshotFolder:
 
         "overwrite" clears what an earlier, dead attempt at the same number left behind.
         """
-        how = (state.format, json.dumps(dict(state.options)), state.schema.json(), list(state.partition_by))
-        rows = [(f, part, *how) for f, part in state.folders.items()] or [(None, None, *how)]
-        (self.spark.createDataFrame(rows, _LISTING).coalesce(1)
-         .write.mode("overwrite").parquet(f"{self._listings}/id={state.id}"))
+        how = {"format": state.format, "options": json.dumps(dict(state.options)),
+               "schema": state.schema.json(), "partition_by": list(state.partition_by)}
+        folders = list(state.folders.items()) or [(None, None)]
+        rows = [{"folder": f, "part": part, **how} for f, part in folders]
+        literal_rows(self.spark, rows, _LISTING).coalesce(1).write.mode("overwrite").parquet(
+            f"{self._listings}/id={state.id}")
+
+    def compact(self, parts: Collection[str] | None = None) -> Snapshot:
+        """Rewrite partitions as few, evenly sized files. Many small loads leave many small files."""
+        state = self.snapshot()
+        chosen = state.parts() if parts is None else set(parts)
+        rows = self.read(chosen, state)
+        if not state.partition_by:
+            rows = rows.hint("rebalance")
+        return self.commit(rows, state.format, state.options, state.partition_by, replace=chosen, at=state)
 
     def retired_folders(self) -> DataFrame:
         """Folders that only older listings name; safe to delete once nobody reads those loads."""

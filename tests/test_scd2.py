@@ -138,6 +138,13 @@ def test_repeated_source_keys(spark, rows, broadcast):
     assert rows(scd2_merge(dim(spark, []), source, cfg, T0, broadcast_source=broadcast)) == [(1, "b", T0, None, True, 1)]
 
 
+@BOTH
+def test_two_open_rows_of_a_key(spark, broadcast):
+    target = dim(spark, [(1, "a", T0, None, True, 1), (1, "b", T0, None, True, 2)])
+    with pytest.raises(Exception, match="repeated key in open rows of the scd2 target"):
+        scd2_merge(target, src(spark, [(1, "c")]), CFG, T1, broadcast_source=broadcast).collect()
+
+
 def test_composite_key_and_own_names(spark, rows):
     cfg = Scd2Config.from_mapping({"enabled": True, "key_columns": ["a", "b"], "effective_date_column": "f",
                                    "end_date_column": "t", "current_flag_column": "c", "version_column": "n"})

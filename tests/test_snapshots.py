@@ -82,3 +82,18 @@ def test_empty_and_csv(spark, folder, rows):
     assert rows(target.read()) == [] and target.read().columns == ["id", "kind", "v"]
     out = staged_overwrite(spark, folder(), frame(spark, [(1, "a;b", 1)]), format="CSV", options={"header": True, "sep": ";"})
     assert rows(out) == [(1, "a;b", 1)]
+
+
+def test_compaction_keeps_the_rows(spark, folder, rows):
+    target = SnapshotFolder(spark, folder())
+    target.commit(frame(spark, [(1, "a", 1), (2, "b", 2)]), partition_by=["kind"])
+    for n in range(3, 6):
+        target.commit(frame(spark, [(n, "a", n)]), partition_by=["kind"], replace=())
+    before = rows(target.read())
+    assert len(target.snapshot().folders) == 5
+    after = target.compact(part_keys(frame(spark, [(0, "a", 0)]), ["kind"]))
+    assert len(after.folders) == 2 and rows(target.read()) == before
+    flat = SnapshotFolder(spark, folder())
+    flat.commit(frame(spark, [(1, "a", 1)]))
+    flat.commit(frame(spark, [(2, "b", 2)]), replace=())
+    assert len(flat.compact().folders) == 1 and rows(flat.read()) == [(1, "a", 1), (2, "b", 2)]
