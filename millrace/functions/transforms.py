@@ -45,7 +45,7 @@ def not_null(df: DataFrame, columns: str | Sequence[str] = UNNAMED_STEP_COLUMN)
 @contextmanager
 def _borrowed_views(spark: SparkSession, names: Sequence[str]) -> Iterator[None]:
     """Give the view names back afterwards: restored if they were in use, dropped otherwise."""
-    before = {n: spark.table(f"`{n}`") for n in names if _temp_view_exists(spark, n)}
+    before = {n: spark.table(f"`{n.replace('`', '``')}`") for n in names if _temp_view_exists(spark, n)}
     try:
         yield
     finally:
@@ -57,9 +57,8 @@ def _borrowed_views(spark: SparkSession, names: Sequence[str]) -> Iterator[None]
 
 
 def _temp_view_exists(spark: SparkSession, name: str) -> bool:
-    if not spark.catalog.tableExists(name):
-        return False
-    return spark.catalog.getTable(name).isTemporary
+    quoted = f"`{name.replace('`', '``')}`"
+    return spark.catalog.tableExists(quoted) and spark.catalog.getTable(quoted).isTemporary
 
 
 def sql_block(df: DataFrame, text: str, view: str = INPUT_VIEW) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -177,9 +178,15 @@ class CursorStore:
                 return literal_rows(self.spark, [], self.SCHEMA)
             raise
 
+    def newest(self, flows: Sequence[str]) -> dict[tuple[str, str], str]:
+        """The current cursor of every (flow, column), for the named flows."""
+        mine = self.rows().filter(F.col("flow").isin(*flows))
+        last = mine.groupBy("flow", "cursor_column").agg(
+            F.max_by("cursor_value", F.struct("recorded_at", "run_id")).alias("value"))
+        return {(r["flow"], r["cursor_column"]): r["value"] for r in last.collect()}
+
     def get(self, flow: str, column: str) -> str | None:
-        mine = self.rows().filter((F.col("flow") == flow) & (F.col("cursor_column") == column))
-        return mine.agg(F.max_by("cursor_value", F.struct("recorded_at", "run_id"))).first()[0]
+        return self.newest([flow]).get((flow, column))
 
     def put(self, marks: Sequence[tuple[str, str, str, Any]], run_id: str) -> None:
         """Record ``(flow, column, type, value)`` rows in one append.
@@ -198,13 +205,33 @@ def _cursor_text(value: Any) -> str:
     return value.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(value, datetime) else str(value)
 
 
-def upper_bound(df: DataFrame, config: CdcConfig, last: Any) -> str | None:
-    """Largest cursor value of the increment that starts at ``last``, as text.
+def _as_text(value: Column, dtype: T.DataType) -> Column:
+    """Text that means the same moment whatever the session's time zone will be next time."""
+    if isinstance(dtype, T.TimestampType):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return value.cast("string")
+
+
+def bounded_increment(df: DataFrame, config: CdcConfig, last: Any, until: Any) -> DataFrame:
+    """The increment of a window that ``upper_bounds`` has measured; empty if it found nothing there."""
+    if until is not None:
+        return apply_cdc(df, config, last, until)
+    if config.nulls == "keep":
+        return df.filter(F.col(config.column).isNull())
+    return df.filter(F.lit(False))
+
+
+def upper_bounds(increments: Sequence[tuple[DataFrame, CdcConfig, Any]]) -> list[str | None]:
+    """Largest cursor value of each increment ``(source, config, last)``, as text, in one job.
 
-    Read before the increment itself, it closes the window: rows that arrive meanwhile belong to the
-    next load, and a task that is run again reads the same rows. Only one column is scanned.
+    Read before the increments themselves, they close the windows: rows that arrive meanwhile belong
+    to the next load, and a task that is run again reads the same rows. Only cursor columns are scanned.
     """
-    increment = apply_cdc(df.select(config.column), config, last)
-    value = F.max(config.column)
-    row = increment.agg(value.cast("string").alias("upper")).first()
-    return row["upper"]
+    if not increments:
+        return []
+    tops = [apply_cdc(df.select(config.column), config, last)
+            .agg(_as_text(F.max(config.column), df.schema[config.column].dataType).alias("upper"))
+            .select(F.lit(n).alias("n"), "upper")
+            for n, (df, config, last) in enumerate(increments)]
+    found = {r["n"]: r["upper"] for r in reduce(DataFrame.unionByName, tops).collect()}
+    return [found[n] for n in range(len(increments))]

@@ -184,7 +184,8 @@ def _pieces(load: _Load, joined: DataFrame, old_version: Column) -> DataFrame:
 
 
 def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
-             broadcast_source: bool, only_changes: bool, history: DataFrame | None) -> DataFrame:
+             broadcast_source: bool, only_changes: bool, history: DataFrame | None = None,
+             check_target: bool = False) -> DataFrame:
     """Open rows of ``target`` after the load, together with the rows the load closed."""
     load = _Load(target, source, config, as_of)
     keys = list(config.keys)
@@ -218,14 +219,14 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
              .otherwise(F.raise_error(F.lit(f"repeated key in {_OPEN_ROWS}")).cast("boolean")))
         result = versions.unionByName(load.opened_rows(added, F.col(_CLOSED_VERSION)))
     else:
-        # Both sides are hashed and sorted on the key once. Keys are unique on either side (the query
-        # fails at the first repeat), so no key weighs more than one row; closed versions are reduced
-        # to one number per key before they move.
+        # Both sides are hashed and sorted on the key once. Keys are unique on either side, so no key
+        # weighs more than one row; closed versions are reduced to one number per key before they move.
         before = (closed_rows(history, config).filter(keyed(keys))
                   .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
-        single = fail_on_repeated_keys(matchable, keys, _OPEN_ROWS)
-        pairs = single.alias("t").join(unique.join(before, keys, "left").alias("s"),
-                                       load.same_key(), "full_outer")
+        if check_target:
+            matchable = fail_on_repeated_keys(matchable, keys, _OPEN_ROWS)
+        pairs = matchable.alias("t").join(unique.join(before, keys, "left").alias("s"),
+                                          load.same_key(), "full_outer")
         if only_changes:
             pairs = pairs.filter(load.in_source & (~load.in_target | load.changed))
         old_version = F.coalesce(F.col(f"t.{config.version}"), F.col(f"s.{_CLOSED_VERSION}"), F.lit(0))
@@ -236,30 +237,35 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
 
 
 def scd2_open(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
-              broadcast_source: bool = False, history: DataFrame | None = None) -> DataFrame:
+              broadcast_source: bool = False, history: DataFrame | None = None,
+              check_target: bool = False) -> DataFrame:
     """What replaces the target's open rows: open rows after the load, and the rows it closed.
 
     Closed rows of earlier loads are not in it. ``history`` names where to look for them when
     ``target`` holds open rows only.
     """
     return _refresh(target, source, config, as_of, broadcast_source=broadcast_source,
-                    only_changes=False, history=history)
+                    only_changes=False, history=history, check_target=check_target)
 
 
 def scd2_changes(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
-                 broadcast_source: bool = False) -> DataFrame:
+                 broadcast_source: bool = False, check_target: bool = False) -> DataFrame:
     """Only the rows the load closes or opens: what a MERGE on key and version would write."""
     return _refresh(target, source, config, as_of, broadcast_source=broadcast_source,
-                    only_changes=True, history=None)
+                    only_changes=True, check_target=check_target)
 
 
 def scd2_merge(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
-               broadcast_source: bool = False) -> DataFrame:
+               broadcast_source: bool = False, check_target: bool = False) -> DataFrame:
     """The whole dimension after loading ``source`` at ``as_of``.
 
     Tracked are the columns both sides share, apart from the keys and the four dimension columns, or
     ``config.track``. Columns only the source has are dropped; columns only the target has keep
     their value on a new version. A key that has only closed rows continues their numbering.
+
+    A key must have one open row at most, which loads keep so. ``check_target`` makes the query fail
+    where a target from elsewhere breaks this (with ``broadcast_source`` that is always checked).
     """
-    return (scd2_open(target, source, config, as_of, broadcast_source=broadcast_source)
+    return (scd2_open(target, source, config, as_of, broadcast_source=broadcast_source,
+                      check_target=check_target)
             .unionByName(closed_rows(target, config)))

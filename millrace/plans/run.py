@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.transforms import chain
 from millrace.functions.workspace import Staged, stage
-from millrace.operators.cdc import CursorStore, apply_cdc, upper_bound
+from millrace.operators.cdc import CursorStore, apply_cdc, bounded_increment, upper_bounds
 from millrace.operators.changelog import apply_change_log
 from millrace.operators.merge import merge_into_table, upsert
 from millrace.operators.scd2 import scd2_changes, scd2_init, scd2_merge, scd2_open
-from millrace.plans.spec import BY_POSITION, FlowSpec, SourceSpec, TargetSpec
+from millrace.plans.spec import BY_POSITION, FlowSpec, TargetSpec
 from millrace.sinks import MERGE, merge_keys, write_plain
 from millrace.sinks.files import replace_table, write_iceberg, write_jdbc
 from millrace.sinks.snapshots import Snapshot, SnapshotFolder, part_keys
@@ -41,12 +41,13 @@ class RunResult:
 
 @dataclass(frozen=True)
 class _Mark:
-    """A cursor to store once the target is written."""
+    """The window a source is read in; its end is stored once the target is written."""
 
     state: str
     flow: str
     column: str
     mode: str
+    last: str | None
     value: str | None
 
 
@@ -79,26 +80,27 @@ def run_flow(spark: SparkSession, spec: FlowSpec, as_of: Any = None) -> RunResul
 # -- reading -------------------------------------------------------------------------------------
 
 def _increment(spark: SparkSession, spec: FlowSpec) -> tuple[DataFrame, list[_Mark]]:
-    frames, marks = [], []
-    for source in spec.sources:
-        df = read_source(spark, source.type, source.config)
-        df, mark = _changed(spark, spec.name, source, df)
-        frames.append(df)
-        if mark:
-            marks.append(mark)
+    read = [read_source(spark, s.type, s.config) for s in spec.sources]
+    marks = _windows(spark, spec, read)
+    frames = [bounded_increment(df, source.cdc, mark.last, mark.value) if mark else apply_cdc(df, source.cdc)
+              for df, source, mark in zip(read, spec.sources, marks)]
     stack = DataFrame.union if spec.combine == BY_POSITION else DataFrame.unionByName
-    return transformed(spec, reduce(stack, frames)), marks
+    return transformed(spec, reduce(stack, frames)), [m for m in marks if m]
 
 
-def _changed(spark: SparkSession, flow: str, source: SourceSpec,
-             df: DataFrame) -> tuple[DataFrame, _Mark | None]:
-    cdc = source.cdc
-    if not cdc.enabled or cdc.mode == "binlog" or not cdc.state:
-        return apply_cdc(df, cdc), None
-    owner = f"{flow}/{source.name}"
-    last = CursorStore(spark, cdc.state).get(owner, cdc.column)
-    until = upper_bound(df, cdc, last)
-    return apply_cdc(df, cdc, last, until), _Mark(cdc.state, owner, cdc.column, cdc.mode, until)
+def _windows(spark: SparkSession, spec: FlowSpec, read: list[DataFrame]) -> list[_Mark | None]:
+    """Where the increment of each source starts and ends; None for sources without a stored cursor."""
+    kept = {n: s.cdc for n, s in enumerate(spec.sources)
+            if s.cdc.enabled and s.cdc.mode != "binlog" and s.cdc.state}
+    owner = {n: f"{spec.name}/{spec.sources[n].name}" for n in kept}
+    last = {}
+    for state in sorted({cdc.state for cdc in kept.values()}):
+        mine = [n for n, cdc in kept.items() if cdc.state == state]
+        known = CursorStore(spark, state).newest([owner[n] for n in mine])
+        last.update({n: known.get((owner[n], kept[n].column)) for n in mine})
+    tops = dict(zip(kept, upper_bounds([(read[n], cdc, last[n]) for n, cdc in kept.items()])))
+    return [_Mark(kept[n].state, owner[n], kept[n].column, kept[n].mode, last[n], tops[n])
+            if n in kept else None for n in range(len(read))]
 
 
 # -- writing -------------------------------------------------------------------------------------
@@ -154,11 +156,13 @@ def _merged(spec: FlowSpec, current: DataFrame | None, staged: Staged, as_of: An
     if target.scd2:
         if current is None:
             return scd2_init(staged.frame, target.scd2, as_of)
-        return scd2_merge(current, staged.frame, target.scd2, as_of, broadcast_source=small)
+        # Such a target may have been written by anyone.
+        return scd2_merge(current, staged.frame, target.scd2, as_of, broadcast_source=small, check_target=True)
     if current is None:
         current = staged.frame.limit(0)
-    return upsert(current, staged.frame, merge_keys(target.config),
-                  order_by=target.config.get("order_by"), broadcast_source=small)
+    return upsert(current, staged.frame, merge_keys(target.config), broadcast_source=small,
+                  order_by=target.config.get("order_by"), null_safe=bool(target.config.get("null_safe")),
+                  repeated_target_keys=bool(target.config.get("repeated_target_keys")))
 
 
 def _merge_folder(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: Any) -> DataFrame:
@@ -213,14 +217,15 @@ def _merge_iceberg(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: A
             write_iceberg(scd2_init(staged.frame, target.scd2, as_of), path, "append")
         else:
             changes = scd2_changes(current, staged.frame, target.scd2, as_of,
-                                   broadcast_source=staged.small)
+                                   broadcast_source=staged.small, check_target=True)
             merge_into_table(changes, path, [*target.scd2.keys, target.scd2.version])
     elif spec.change_log:
         current = read_target(spark, "iceberg", target.config)
         write_iceberg(_merged(spec, current, staged, as_of), path, "overwrite")
     else:
         merge_into_table(staged.frame, path, merge_keys(target.config),
-                         order_by=target.config.get("order_by"))
+                         order_by=target.config.get("order_by"),
+                         null_safe=bool(target.config.get("null_safe")))
     return read_target(spark, "iceberg", target.config)
 
 

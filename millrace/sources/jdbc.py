@@ -29,13 +29,20 @@ def relation(config: Mapping[str, Any]) -> str:
 
     Spark refuses its ``query`` option together with partitioning, a subquery allows both.
     """
-    return config["table"] if config.get("table") else f"({config['query']}) q"
+    return config["table"] if config.get("table") else f"({_bare(config['query'])}) q"
+
+
+def _bare(query: str) -> str:
+    return query.strip().rstrip(";").rstrip()
 
 
 def scan_options(config: Mapping[str, Any]) -> dict[str, str]:
     """All JDBC options of a scan that needs no look at the data (bounds already known)."""
     out = connection_options(config)
-    out["dbtable"] = relation(config)
+    if config.get("query") and not (config.get("partition_column") or config.get("predicates")):
+        out["query"] = _bare(config["query"])
+    else:
+        out["dbtable"] = relation(config)
     if config.get("fetchsize"):
         out["fetchsize"] = str(config["fetchsize"])
     if config.get("partition_column"):

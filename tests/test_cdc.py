@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace import (CdcConfig, CursorStore, apply_cdc, apply_change_log, high_water_mark,
                       since_sequence, since_timestamp)
-from millrace.operators.cdc import time_literal, upper_bound
+from millrace.operators.cdc import bounded_increment, time_literal, upper_bounds
 
 DAY = [datetime(2024, 1, d) for d in range(1, 6)]
 
@@ -88,8 +88,32 @@ def test_filter_reaches_the_scan(spark, dated, folder):
 
 def test_high_water_mark(dated, rows):
     assert high_water_mark(dated, "updated_at").first()[0] == DAY[4]
-    assert upper_bound(dated, CdcConfig.from_mapping({"enabled": True}), DAY[1]).startswith("2024-01-05")
-    assert upper_bound(dated.limit(0), CdcConfig.from_mapping({"enabled": True}), None) is None
+    config = CdcConfig.from_mapping({"enabled": True})
+    first, second = upper_bounds([(dated, config, DAY[1]), (dated.limit(0), config, None)])
+    assert first.startswith("2024-01-05") and second is None and upper_bounds([]) == []
+
+
+def test_window_is_closed(dated, rows):
+    """What arrives after the bound was taken waits for the next load."""
+    config = CdcConfig.from_mapping({"enabled": True})
+    assert rows(bounded_increment(dated, config, DAY[1], DAY[2]), "id") == [(1,), (2,)]
+    assert rows(bounded_increment(dated, config, DAY[1], None), "id") == []
+    keep = CdcConfig.from_mapping({"enabled": True, "nulls": "keep"})
+    assert rows(bounded_increment(dated, keep, DAY[1], None), "id") == [(9,)]
+
+
+def test_cursor_survives_another_time_zone(spark, dated, rows):
+    config = CdcConfig.from_mapping({"enabled": True, "inclusive": False})
+    zoned = dated.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    upper = upper_bounds([(zoned.filter("id < 3"), config, None)])[0]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        later = since_timestamp(zoned.filter("id < 3"), last=upper, inclusive=False)
+        moved = dated.sparkSession.sql(f"SELECT TIMESTAMP '{upper}' AS t").first()["t"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert upper == "2024-01-03 00:00:00.000000Z" and moved is not None
+    assert rows(later) == []
 
 
 def test_cursor_store(spark, folder):

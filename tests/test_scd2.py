@@ -142,7 +142,7 @@ def test_repeated_source_keys(spark, rows, broadcast):
 def test_two_open_rows_of_a_key(spark, broadcast):
     target = dim(spark, [(1, "a", T0, None, True, 1), (1, "b", T0, None, True, 2)])
     with pytest.raises(Exception, match="repeated key in open rows of the scd2 target"):
-        scd2_merge(target, src(spark, [(1, "c")]), CFG, T1, broadcast_source=broadcast).collect()
+        scd2_merge(target, src(spark, [(1, "c")]), CFG, T1, broadcast_source=broadcast, check_target=True).collect()
 
 
 def test_composite_key_and_own_names(spark, rows):

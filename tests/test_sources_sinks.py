@@ -120,6 +120,10 @@ def test_scan_options():
     assert (options["partitionColumn"], options["lowerBound"], options["upperBound"], options["numPartitions"],
             options["fetchsize"]) == ("id", "0", "100", "4", "500")
     assert bounds_query(config) == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM (SELECT * FROM r) q"
+    plain = scan_options({**DB, "query": "SELECT 1;"})
+    assert plain["query"] == "SELECT 1" and "dbtable" not in plain
+    assert scan_options({**DB, "table": "t"})["dbtable"] == "t"
+    assert scan_options({**DB, "query": "q", "predicates": ["a = 1"]})["dbtable"] == "(q) q"
     assert exists_query({**DB, "table": "s.t'x"}).endswith("table_name = 't''x' AND table_schema = 's'")
     assert exists_query({**DB, "table": "t"}).endswith("table_schema = 'd'")
 
