@@ -177,13 +177,13 @@ passthrough("union_all", """
     UNION ALL SELECT s_name, s_acctbal FROM supplier""", "customer", "supplier")
 
 passthrough("scalar_string", """
-    SELECT p_partkey, UPPER(p_name) AS up, LENGTH(p_name) AS len, SUBSTRING(p_type, 1, 5) AS head,
+    SELECT p_partkey, UPPER(p_name) AS up, CAST(LENGTH(p_name) AS INTEGER) AS len, SUBSTRING(p_type, 1, 5) AS head,
            REPLACE(p_brand, '#', '-') AS brand, TRIM(concat('  ', p_name, ' ')) AS trimmed
     FROM part""", "part")
 
 passthrough("scalar_date", """
     SELECT o_orderkey, CAST(YEAR(o_orderdate) AS INTEGER) AS y, CAST(MONTH(o_orderdate) AS INTEGER) AS m,
-           CAST(o_orderdate AS DATE) AS d, o_orderdate + INTERVAL '7' DAY AS week_later
+           CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, o_orderdate + INTERVAL '7' DAY AS week_later
     FROM orders""", "orders")
 
 passthrough("scalar_math", """
