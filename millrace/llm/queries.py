@@ -5,14 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing
+from millrace.llm import exact_dedup, mixing, near_dedup, pieces
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,6 +32,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.verdicts(_table(spark, folder, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.groups(_table(spark, folder, "documents"))
+
+
 _MIX_SQL = r"""
 WITH units AS (
   SELECT doc_id, source, md5(doc_id::VARCHAR) AS shuffled,
@@ -68,8 +83,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
