@@ -37,8 +37,9 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BYTES = mixed(_LOWER.astype(_U), 77)
+_LOWER[65:91] += 32
+_LOWERED = mixed(_LOWER.astype(_U), 77)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,8 +65,8 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text); A-Z count as a-z if ``lower``."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
@@ -73,7 +74,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, ends))
     if not len(starts):
         return np.zeros(0, _U), counts
-    values = _BYTES[data]
+    values = (_LOWERED if lower else _BYTES)[data]
     values[blank] = 0
     values *= _power_table(len(data), _BASE)
     return mixed(np.add.reduceat(values, starts) * _power_table(len(data), _INVERSE)[starts], 5), counts
