@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules
+from millrace.llm import exact_dedup, mixing, near_dedup, pieces, quality_crf, quality_rules
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -32,6 +32,12 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    field = quality_crf.train(docs, _table(spark, folder, "labels"))
+    return quality_crf.score(docs, field).select("doc_id", quality_crf.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.verdicts(_table(spark, folder, "documents"))
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_crf": op8_quality_crf,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
