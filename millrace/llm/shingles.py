@@ -65,10 +65,15 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+# Letters, digits and everything beyond ASCII are words, all else is between them.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(texts: list[bytes], lower: bool = True, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, number of words of each text); A-Z count as a-z if ``lower``."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
+    blank = blanks[data]
     starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     ends = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     counts = np.diff(np.searchsorted(starts, ends))
