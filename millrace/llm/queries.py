@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules
+from millrace.llm import exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -24,6 +24,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
@@ -98,6 +102,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_rules": op7_quality_rules,
