@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan
+from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -24,6 +24,33 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
 
+def _transcripts(conversations: DataFrame) -> DataFrame:
+    """Conversations as raw transcripts: each in one of five marker styles, every fourth turn without a marker."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(5))
+    other = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    name = F.when(style == 3, F.element_at(F.create_map(*map(F.lit, ("system", "context", "user", "Q", "assistant", "A"))), F.col("role"))).otherwise(F.col("role"))
+    marker = (F.when(style == 0, F.concat(F.initcap(name), F.lit(": "))).when(style == 1, F.concat(F.lit("<|"), name, F.lit("|>\n")))
+              .when(style == 2, F.concat(F.lit("### "), F.upper(name), F.lit(":\n"))).when(style == 3, F.concat(name, F.lit(": ")))
+              .otherwise(F.concat(F.lit("["), name, F.lit("] "))))
+    return conversations.withColumn("raw", F.concat(F.when(other == 0, "").otherwise(F.coalesce(marker, F.lit(""))), F.coalesce("text", F.lit(""))))
+
+
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles and canonical turns of raw transcripts made of all conversations; the model is counted on one half of them.
+
+    ``right``: the role of the piece's first line is the one that the table states."""
+    raw = _transcripts(_table(spark, folder, "conversations"))
+    training = F.pmod(F.xxhash64(F.lit("fold"), "conv_id"), F.lit(2)) == 0
+    model = chat_format.train(raw.where(training), "conv_id", "turn", "raw", "role")
+    parsed = chat_format.parse(raw, model, "conv_id", "turn", "raw")
+    stated = raw.groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    return (parsed.join(stated, (F.col("transcript").eqNullSafe(F.col("conv_id"))) & F.col("place").eqNullSafe(F.col("turn")))
+            .select("conv_id", "turn", "role", F.col("line_roles")[0].alias("parsed_role"),
+                    (F.col("line_roles")[0] == F.col("role")).alias("right"),
+                    F.coalesce(F.pmod(F.xxhash64(F.lit("fold"), "conv_id"), F.lit(2)) == 1, F.lit(True)).alias("held_out"),
+                    F.size("line_roles").cast("bigint").alias("n_lines"), "rendered"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(_table(spark, folder, "documents"))
 
@@ -102,6 +129,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_chat_format": op2_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_mix_sources": op6_mix_sources,
