@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan
+from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan, suffix_dedup
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return (suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def _transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations as raw transcripts: each in one of five marker styles, every fourth turn without a marker."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(5))
@@ -130,6 +135,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_mix_sources": op6_mix_sources,

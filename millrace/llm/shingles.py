@@ -18,7 +18,7 @@ CHUNK = 1 << 20
 _U = np.uint64
 # The multipliers of the splitmix64 mixer.
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
+BASE = 0x5851F42D4C957F2D
 _MASK = (1 << 64) - 1
 
 
@@ -37,16 +37,16 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
-_BYTES = mixed(_LOWER.astype(_U), 77)
+BYTE_VALUES = mixed(_LOWER.astype(_U), 77)
 _LOWER[65:91] += 32
 _LOWERED = mixed(_LOWER.astype(_U), 77)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_INVERSE = pow(_BASE, -1, 1 << 64)
+INVERSE = pow(BASE, -1, 1 << 64)
 _TABLES: dict[int, np.ndarray] = {}
 
 
-def _power_table(n: int, base: int) -> np.ndarray:
+def power_table(n: int, base: int) -> np.ndarray:
     table = _TABLES.get(base)
     if table is None or len(table) < n:
         table = _TABLES[base] = _powers(max(n, CHUNK), base)
@@ -79,10 +79,10 @@ def word_hashes(texts: list[bytes], lower: bool = True, blanks: np.ndarray = _BL
     counts = np.diff(np.searchsorted(starts, ends))
     if not len(starts):
         return np.zeros(0, _U), counts
-    values = (_LOWERED if lower else _BYTES)[data]
+    values = (_LOWERED if lower else BYTE_VALUES)[data]
     values[blank] = 0
-    values *= _power_table(len(data), _BASE)
-    return mixed(np.add.reduceat(values, starts) * _power_table(len(data), _INVERSE)[starts], 5), counts
+    values *= power_table(len(data), BASE)
+    return mixed(np.add.reduceat(values, starts) * power_table(len(data), INVERSE)[starts], 5), counts
 
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
     value = np.zeros(len(heads), _U)
     room = left[heads]
     for k in range(width):
-        value = value * _U(_BASE) + np.where(room > k, padded[heads + k], _U(0))
+        value = value * _U(BASE) + np.where(room > k, padded[heads + k], _U(0))
     value = mixed(value ^ np.minimum(room, width).astype(_U), 11)
     owner = owner[heads]
     order = np.lexsort((value, owner))
