@@ -28,24 +28,49 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-# Cuts up to this many characters are looked up; this many are remembered by one worker, and as many pairs.
+# Cuts up to this many characters are looked up; so many of them, and so many pairs, are remembered by one worker.
 REMEMBERED_CHARS = 48
 REMEMBERED = 1 << 18
+REMEMBERED_PAIRS = 1 << 19
 # Kinds of pieces and of models in the file format, and what an unknown character costs a unigram model.
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
 
+class _Cuts(dict):
+    """Ids of the cuts seen so far; the others are searched. Full, it keeps what was looked up since it last was."""
+
+    def __init__(self, search):
+        super().__init__()
+        self.search = search
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        ids = self.older.get(cut)
+        if ids is None:
+            ids = self.search(cut)
+            if len(cut) > REMEMBERED_CHARS:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[cut] = ids
+        return ids
+
+
 class Pieces:
-    """A piece model: its vocabulary, and the search over it."""
+    """A piece model: its vocabulary, and the search over it. Pieces are numbered by their ids; two more numbers stand
+    for the start of a text and for an unknown character."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int, dummy_prefix: bool = True):
         if any(k in (USER_DEFINED, UNUSED) for _, _, k in pieces):
@@ -61,20 +86,38 @@ class Pieces:
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids), default=1)
-        self.backward: dict = {}                    # the pieces as a tree, read from their ends; "" marks a whole piece
-        for p in self.ids:
+        self.begin, self.stray = len(pieces), len(pieces) + 1
+        self.lengths = [len(p) for p in self.names] + [0, 1]
+        # When a piece is merged: single characters are there from the start, then by score.
+        self.turn = {p: n for n, p in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, -self.scores[p], self.ids[p])))}
+        self.backward: dict = {}                    # the pieces as a tree, read from their ends; 0 marks a whole piece
+        for p, i in self.ids.items():
             node = self.backward
             for c in reversed(p):
                 node = node.setdefault(c, {})
-            node[""] = p
-        crossing = any(p[i] != MARK and p[i + 1] == MARK for p in self.ids for i in range(len(p) - 1))
-        self.cut = None if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
+            node[0] = i
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, i)
+        self.automaton.make_automaton()
+        self.cut = self._cut_pattern()
+        self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items() if b >= 128}
         hidden = {i for i, (_, _, k) in enumerate(pieces) if k not in (NORMAL, BYTE, UNKNOWN)}
-        self.text_of = ["" if i in hidden else " ⁇ " if i == self.unknown else p.replace(MARK, " ")
-                        for i, p in enumerate(self.names)]
-        self._cuts: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.text_of = ["" if i in hidden else " ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.names)]
+        for b, i in self.byte_ids.items():
+            self.text_of[i] = chr(b) if b < 128 else ""
+        self._cuts = _Cuts(self._search)
+        self._pairs: dict[int, bool] = {}
+        self._halves: dict[str, tuple[str, str] | None] = {}
+
+    def _cut_pattern(self) -> re.Pattern | None:
+        """Where every text may be cut: before marks, and around ASCII characters that are in no longer piece."""
+        if any(p[i] != MARK and p[i + 1] == MARK for p in self.ids for i in range(len(p) - 1)):
+            return None
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
+        return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
 
     @classmethod
     def parse(cls, model: bytes) -> Pieces:
@@ -86,11 +129,11 @@ class Pieces:
             raise ValueError("only models that leave the text as it is are supported")
         return cls([(p.piece, p.score, p.type) for p in proto.pieces], proto.trainer_spec.model_type, norm.add_dummy_prefix)
 
-    # ---- the search
+    # ---- what merging gives
 
-    def merged(self, text: str) -> list[str]:
-        """``text`` (one or two pieces long) after all merges: best score first, then leftmost."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """``text`` (one or two pieces long) after all merges - best score first, then leftmost - and the last merge."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -98,51 +141,83 @@ class Pieces:
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
-                return parts
+                return parts, last
+            last = (parts[at], parts[at + 1])
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _holds(self, before: str, piece: str) -> bool:
-        pair = (before, piece)
-        known = self._pairs.get(pair)
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[pair] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return known
-
-    def _edges(self, text: str, end: int) -> list[str]:
-        """All edges that end at boundary ``end``, the longest last."""
+    def _half(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that ``piece`` is merged from last; itself twice if it is one character, None if merging never gives it."""
+        if piece not in self._halves:
+            parts, last = self.merged(piece)
+            self._halves[piece] = None if parts != [piece] else last or (piece, piece)
+        return self._halves[piece]
+
+    def _holds(self, before: int, piece: int) -> bool:
+        """Whether merging the texts of two pieces, one after the other, gives the two back."""
+        right = self.names[piece]
+        if before >= self.begin:
+            return self._half(right) is not None
+        left = self.names[before]
+        if self._half(left) is None or self._half(right) is None:
+            return False
+        if left.strip(MARK) == "" or right.strip(MARK) == "":
+            return self.merged(left + right)[0] == [left, right]      # runs of marks may tie in score
+        # Undo merges along the border, latest first: had an earlier one joined both sides, the pair would not be.
+        turn, limit = self.turn, len(self.turn)
+        while True:
+            across = turn.get(left + right)
+            if across is not None and across < limit:
+                return False
+            for later in ((0, 1) if turn[left] > turn[right] else (1, 0)):
+                if later == 0 and len(left) > 1:
+                    limit, left = turn[left], self._halves_of(left)[1]
+                    break
+                if later == 1 and len(right) > 1:
+                    limit, right = turn[right] + 1, self._halves_of(right)[0]
+                    break
+            else:
+                return True
+
+    def _halves_of(self, piece: str) -> tuple[str, str]:
+        return self._half(piece) or (piece, piece)
+
+    # ---- the search
+
+    def _best(self, text: str, end: int, edge: dict[int, int], total: dict[int, float]) -> None:
+        """Keep the best edge that ends at ``end``."""
         node, at, found = self.backward, end, []
         while at:
             at -= 1
             node = node.get(text[at])
             if node is None:
                 break
-            piece = node.get("")
+            piece = node.get(0)
             if piece is not None:
                 found.append(piece)
-        if not found or len(found[0]) > 1:
-            found.insert(0, text[end - 1])          # an unknown character
-        return found
-
-    def _best(self, text: str, end: int, edge: dict[int, str], total: dict[int, float]) -> None:
-        """Keep the best edge that ends at ``end``."""
+        lengths = self.lengths
+        if not found or lengths[found[0]] > 1:
+            found.insert(0, self.stray)             # an unknown character
         if self.bpe:
-            pairs = self._pairs
-            for piece in reversed(self._edges(text, end)):
-                before = edge.get(end - len(piece))
+            pairs, many = self._pairs, self.stray + 1
+            for piece in reversed(found):
+                before = edge.get(end - lengths[piece])
                 if before is not None:
                     # An unknown character never merges, so it stands whatever is before it.
-                    holds = pairs.get((before, piece))
-                    if holds or (holds is None and (piece not in self.ids or self._holds(before, piece))):
+                    pair = before * many + piece
+                    holds = pairs.get(pair)
+                    if holds is None:
+                        if len(pairs) >= REMEMBERED_PAIRS:
+                            pairs.clear()
+                        holds = pairs[pair] = piece == self.stray or self._holds(before, piece)
+                    if holds:
                         edge[end] = piece
                         return
             return
         best = None
-        for piece in self._edges(text, end):
-            before = total.get(end - len(piece))
+        for piece in found:
+            before = total.get(end - lengths[piece])
             if before is not None:
-                gain = before + self.scores.get(piece, self.unknown_score)
+                gain = before + (self.unknown_score if piece == self.stray else self.scores[self.names[piece]])
                 if best is None or gain > best:
                     best, edge[end] = gain, piece
         total[end] = best
@@ -150,7 +225,7 @@ class Pieces:
     def stream(self, text: str) -> Iterator[list[str]]:
         """Runs of final pieces, in order. Boundaries further back than the longest piece are forgotten once committed."""
         done = 0                                    # everything before this boundary is committed
-        edge: dict[int, str] = {0: ""}              # boundary -> the edge that ends there
+        edge: dict[int, int] = {0: self.begin}      # boundary -> the edge that ends there
         total: dict[int, float] = {0: 0.0}
         longest, size = self.longest, len(text)
         for end in range(1, size + 1):
@@ -158,30 +233,29 @@ class Pieces:
             if end - done >= 2 * longest and end % longest == 0:
                 common = self._common(edge, end - longest + 1, end)
                 if common > done:
-                    yield self._path(edge, done, common)
+                    yield self._path(text, edge, done, common)
                     done = common
                     for old in [b for b in edge if b < done]:
                         del edge[old]
                         total.pop(old, None)
         if size > done:
-            yield self._path(edge, done, size)
+            yield self._path(text, edge, done, size)
 
-    @staticmethod
-    def _common(edge: dict[int, str], first: int, end: int) -> int:
+    def _common(self, edge: dict[int, int], first: int, end: int) -> int:
         """The last boundary that the paths back from all boundaries ``first`` to ``end`` run through."""
         fronts = {b for b in range(first, end + 1) if b in edge}
         while len(fronts) > 1:
             last = max(fronts)
             fronts.remove(last)
-            fronts.add(last - len(edge[last]))
+            fronts.add(last - self.lengths[edge[last]])
         return fronts.pop()
 
-    @staticmethod
-    def _path(edge: dict[int, str], start: int, end: int) -> list[str]:
+    def _path(self, text: str, edge: dict[int, int], start: int, end: int) -> list[str]:
         path = []
         while end > start:
-            path.append(edge[end])
-            end -= len(edge[end])
+            begin = end - self.lengths[edge[end]]
+            path.append(text[begin:end])
+            end = begin
         return path[::-1]
 
     # ---- ids
@@ -198,32 +272,59 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def _cut_ids(self, cut: str) -> tuple[int, ...]:
-        ids = tuple(i for run in self.stream(cut) for i in self._ids_of(run))
-        if len(self._cuts) >= REMEMBERED:
-            self._cuts.clear()
-        self._cuts[cut] = ids
-        return ids
+    def _search(self, cut: str) -> tuple[int, ...]:
+        """Ids of a cut. It falls apart further where no piece holds both characters, as all paths run through there."""
+        joined = self.joined
+        places = [i for i in range(1, len(cut)) if cut[i - 1:i + 1] not in joined]
+        if places:
+            ends = [0, *places, len(cut)]
+            ids: list[int] = []
+            for a, b in zip(ends, ends[1:]):
+                ids.extend(self._cuts[cut[a:b]])
+            return tuple(ids)
+        ids = self._short(cut) if self.bpe and len(cut) <= REMEMBERED_CHARS else None
+        return ids or tuple(i for run in self.stream(cut) for i in self._ids_of(run))
+
+    def _short(self, cut: str) -> tuple[int, ...] | None:
+        """:meth:`stream` for a cut that needs no commits, with all edges from one automaton; None if a character is unknown."""
+        lengths, pairs, many = self.lengths, self._pairs, self.stray + 1
+        edge: list[int | None] = [None] * (len(cut) + 1)
+        edge[0] = self.begin
+        for last, piece in self.automaton.iter(cut):          # of those that end at one place the longest comes first
+            end = last + 1
+            if edge[end] is not None:
+                continue
+            before = edge[end - lengths[piece]]
+            if before is not None:
+                pair = before * many + piece
+                holds = pairs.get(pair)
+                if holds is None:
+                    if len(pairs) >= REMEMBERED_PAIRS:
+                        pairs.clear()
+                    holds = pairs[pair] = self._holds(before, piece)
+                if holds:
+                    edge[end] = piece
+        ids, end = [], len(cut)
+        while end:
+            piece = edge[end]
+            if piece is None:
+                return None
+            ids.append(piece)
+            end -= lengths[piece]
+        return tuple(ids[::-1])
 
     def encode(self, text: str, out: array) -> None:
         """Append the ids of ``text`` to ``out``."""
-        if not text:
-            return
-        marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        known, extend = self._cuts.get, out.extend
-        for cut in self.cut.findall(marked) if self.cut else (marked,):
-            ids = known(cut)
-            if ids is None:
-                if len(cut) > REMEMBERED_CHARS:
-                    for run in self.stream(cut):
-                        extend(self._ids_of(run))
-                    continue
-                ids = self._cut_ids(cut)
-            extend(ids)
+        if text:
+            marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+            cuts = self.cut.findall(marked) if self.cut else (marked,)
+            out.extend(chain.from_iterable(map(self._cuts.__getitem__, cuts)))
 
     def decode(self, ids: list[int]) -> str:
         text_of, bytes_of = self.text_of, self.bytes_of
-        if bytes_of and not bytes_of.keys().isdisjoint(ids):
+        if bytes_of.keys().isdisjoint(ids):
+            text = "".join(map(text_of.__getitem__, ids))
+        else:
             parts, run = [], bytearray()
             for i in ids:
                 byte = bytes_of.get(i)
@@ -236,8 +337,6 @@ class Pieces:
                 parts.append(text_of[i])
             parts.append(run.decode("utf-8", "replace"))
             text = "".join(parts)
-        else:
-            text = "".join([text_of[i] for i in ids])
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -246,8 +345,8 @@ def _pieces(model: bytes) -> Pieces:
     return Pieces.parse(model)
 
 
-def _with(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
 def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -256,8 +355,12 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
                                       names=[*(batch.schema.names[i] for i in kept), name])
 
 
-def encode(docs: DataFrame, model_file: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """``docs`` with the ids of the whole texts. The model file is read by the driver; its bytes go with the tasks."""
+def encode(docs: DataFrame, model_file: str, text_column: str = "text", ids_column: str = "ids",
+           decoded_column: str | None = None) -> DataFrame:
+    """``docs`` with the ids of the whole texts and, if asked for, what they decode to (in the same pass).
+
+    The model file is read by the driver; its bytes go with the tasks.
+    """
     with open(model_file, "rb") as file:
         model = file.read()
 
@@ -265,14 +368,19 @@ def encode(docs: DataFrame, model_file: str, text_column: str = "text", ids_colu
         pieces = _pieces(model)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            ids, ends = array("i"), [0]
+            ids, ends, decoded = array("i"), [0], []
             for text in texts:
-                pieces.encode(text.as_py() or "", ids)
+                text = text.as_py()
+                pieces.encode(text or "", ids)
                 ends.append(len(ids))
+                if decoded_column:
+                    decoded.append(None if text is None else pieces.decode(ids[ends[-2]:].tolist()))
             flat = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.zeros(0, np.int32))
-            yield _put(batch, ids_column, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=texts.is_null()))
+            coded = _put(batch, ids_column, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=texts.is_null()))
+            yield _put(coded, decoded_column, pa.array(decoded, pa.string())) if decoded_column else coded
 
-    return docs.mapInArrow(run, _with(docs, ids_column, T.ArrayType(T.IntegerType())))
+    fields = _with(docs.schema, ids_column, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, _with(fields, decoded_column, T.StringType()) if decoded_column else fields)
 
 
 def decode(docs: DataFrame, model_file: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
@@ -289,4 +397,4 @@ def decode(docs: DataFrame, model_file: str, ids_column: str = "ids", text_colum
             texts = [pieces.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid)]
             yield _put(batch, text_column, pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, _with(docs, text_column, T.StringType()))
+    return docs.mapInArrow(run, _with(docs.schema, text_column, T.StringType()))

@@ -19,7 +19,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    coded = pieces.encode(docs, PIECE_MODEL, decoded_column="decoded")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "ids")
 
