@@ -48,7 +48,7 @@ def _orders_with_visit(t):
     SELECT o_orderkey, o_totalprice, ts AS updated_at
     FROM orders JOIN events ON o_orderkey = event_id WHERE ts IS NOT NULL""")
 def cdc_timestamp_default(t):
-    """Without a column, a mode or a state: column updated_at, everything since the epoch, no NULLs."""
+    """Without a column, a mode or a state: column updated_at, everything there is, no NULLs."""
     return apply_cdc(_orders_with_visit(t), CdcConfig.from_mapping({"enabled": True}))
 
 
@@ -71,11 +71,36 @@ def cdc_sequence(t):
 
 @query("cdc_sequence_zero", "SELECT * FROM events WHERE event_id > 0")
 def cdc_sequence_zero(t):
-    config = CdcConfig.from_mapping({"enabled": True, "mode": "sequence",
+    """A start that the specification states: numbers above 0 only."""
+    config = CdcConfig.from_mapping({"enabled": True, "mode": "sequence", "initial": 0,
                                      "sequence": {"column": "event_id"}})
     return apply_cdc(t.events, config)
 
 
+def _first_load(t, rows, column, mode):
+    """``rows`` through a flow that has never run."""
+    feed, sink, state = (shared_folder(t.spark, n) for n in ("feed", "sink", "state"))
+    write_files(rows, feed, "parquet")
+    cdc = {"enabled": True, "mode": mode, mode: {"column": column}, "inclusive": False, "state": state}
+    run_flow(t.spark, flow("first").source("parquet", path=feed, cdc=cdc).target("parquet", path=sink).spec())
+    return t.spark.read.parquet(sink)
+
+
+@query("cdc_first_load_timestamp", """
+    SELECT o_orderkey, o_orderdate - INTERVAL '40' YEAR AS placed FROM orders""")
+def cdc_first_load_timestamp(t):
+    """Nothing stored means everything, also what is dated long before 1970."""
+    rows = t.orders.select("o_orderkey", (F.col("o_orderdate") - F.expr("INTERVAL '40' YEAR")).alias("placed"))
+    return _first_load(t, rows, "placed", "timestamp")
+
+
+@query("cdc_first_load_sequence", """
+    SELECT CAST(event_id - 5000 AS BIGINT) AS number, event_type FROM events""")
+def cdc_first_load_sequence(t):
+    """Numbers of zero and below are loaded like any others."""
+    return _first_load(t, t.events.select((F.col("event_id") - 5000).alias("number"), "event_type"), "number", "sequence")
+
+
 @query("cdc_sequence_first_run", "SELECT * FROM events")
 def cdc_sequence_first_run(t):
     return since_sequence(t.events, "event_id")

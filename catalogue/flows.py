@@ -16,7 +16,7 @@ _STATE_OF_CUSTOMER = """
     SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
     FROM temp_table;
     SELECT o_custkey AS customer, UPPER(o_orderpriority) AS priority, o_orderstatus AS status,
-           CASE WHEN o_totalprice > 250000 THEN 'High' ELSE 'Low' END AS score_category
+           CASE WHEN o_totalprice > 250000 THEN 'bulk' ELSE 'retail' END AS order_size
     FROM ranked WHERE rn = 1;
 """
 
@@ -26,7 +26,7 @@ _VERSIONS = f"""
                        ELSE TIMESTAMP '{SECOND}' END AS loaded FROM orders),
     states AS (
         SELECT o_custkey AS customer, UPPER(o_orderpriority) AS priority, o_orderstatus AS status,
-               CASE WHEN o_totalprice > 250000 THEN 'High' ELSE 'Low' END AS score_category, loaded
+               CASE WHEN o_totalprice > 250000 THEN 'bulk' ELSE 'retail' END AS order_size, loaded
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, loaded
                                            ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM facts)
         WHERE rn = 1),
@@ -34,9 +34,9 @@ _VERSIONS = f"""
         SELECT * FROM (
             SELECT *, row_number() OVER w = 1 OR priority <> lag(priority) OVER w
                       OR status <> lag(status) OVER w
-                      OR score_category <> lag(score_category) OVER w AS opens
+                      OR order_size <> lag(order_size) OVER w AS opens
             FROM states WINDOW w AS (PARTITION BY customer ORDER BY loaded)) WHERE opens)
-    SELECT customer, priority, status, score_category, loaded AS valid_from,
+    SELECT customer, priority, status, order_size, loaded AS valid_from,
            lead(loaded) OVER w AS valid_to, lead(loaded) OVER w IS NULL AS current_flag,
            CAST(row_number() OVER w AS INTEGER) AS version
     FROM starts WINDOW w AS (PARTITION BY customer ORDER BY loaded)"""
@@ -64,20 +64,94 @@ def _run_twice(t, spec_for):
     return result.frame
 
 
-@query("etl_flow", _VERSIONS)
-def etl_flow(t):
-    """Two feeds -> CDC -> union -> SQL -> type 2 dimension, in two runs."""
-
+def _dimension_flow(**settings):
     def spec(left, right, sink, state):
         cdc = {"enabled": True, "mode": "timestamp", "timestamp": {"column": "o_orderdate"}, "state": state}
         return (flow("customers")
                 .source("parquet", path=left, cdc=cdc, name="open")
                 .source("parquet", path=right, cdc=cdc, name="other")
                 .sql(_STATE_OF_CUSTOMER)
-                .target("s3", path=sink, format="parquet", scd2=_SCD2)
+                .target("s3", path=sink, format="parquet", scd2=_SCD2, **settings)
                 .spec())
 
-    return _run_twice(t, spec)
+    return spec
+
+
+@query("etl_flow", _VERSIONS)
+def etl_flow(t):
+    """Two feeds -> CDC -> union -> SQL -> type 2 dimension, in two runs."""
+    return _run_twice(t, _dimension_flow())
+
+
+@query("etl_flow_small", _VERSIONS)
+def etl_flow_small(t):
+    """The same with an increment that always counts as small enough to be broadcast."""
+    return _run_twice(t, _dimension_flow(broadcast_bytes=1 << 40))
+
+
+@query("etl_flow_large", _VERSIONS)
+def etl_flow_large(t):
+    """The same with an increment that never does: another plan, the same rows."""
+    return _run_twice(t, _dimension_flow(broadcast_bytes=-1))
+
+
+@query("etl_flow_self_overwrite", """
+    SELECT o_orderkey, o_custkey, o_totalprice * 4 AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'""")
+def etl_flow_self_overwrite(t):
+    """A plain folder that a flow reads and overwrites, twice."""
+    path = shared_folder(t.spark, "sink")
+    write_files(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), path, "parquet")
+    spec = (flow("again").source("parquet", path=path)
+            .sql("SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice, o_orderstatus FROM temp_table "
+                 "WHERE o_orderstatus <> 'P'")
+            .target("parquet", path=path, mode="overwrite").spec())
+    run_flow(t.spark, spec)
+    run_flow(t.spark, spec)
+    return t.spark.read.parquet(path).drop("o_orderstatus")
+
+
+@query("etl_flow_chained", """
+    SELECT o_custkey, COUNT(*) AS orders, MAX(o_orderkey) AS newest FROM orders GROUP BY o_custkey""")
+def etl_flow_chained(t):
+    """A flow reads what another one has merged in two loads: current rows, each once."""
+    middle, sink = shared_folder(t.spark, "sink"), shared_folder(t.spark, "sink")
+    early = F.col("o_orderdate") < F.lit(FIRST).cast("timestamp_ntz")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    for portion in (rows.filter(early), rows):
+        feed = shared_folder(t.spark, "feed")
+        write_files(portion, feed, "parquet")
+        run_flow(t.spark, flow("first").source("parquet", path=feed)
+                 .target("parquet", path=middle, mode="merge", merge_keys=["o_orderkey"]).spec())
+    second = (flow("second").source("s3", path=middle, format="parquet")
+              .sql("SELECT o_custkey, COUNT(*) AS orders, MAX(o_orderkey) AS newest FROM temp_table GROUP BY o_custkey")
+              .target("parquet", path=sink, mode="merge", merge_keys=["o_custkey"]).spec())
+    return run_flow(t.spark, second).frame
+
+
+_CONNECTED = """
+name: connected
+source:
+  type: parquet
+  connection: lake
+  config: {path: "a path that the connection replaces", schema: "c_custkey BIGINT, c_name STRING, c_nationkey INT"}
+transformations:
+  - {type: python, config: {function: not_null, args: {columns: [c_custkey]}}}
+target:
+  type: s3
+  connection: warehouse
+  config: {format: csv, mode: overwrite}
+"""
+
+
+@query("etl_flow_connections", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def etl_flow_connections(t):
+    """Named connections of file types; what they set comes before what the section sets."""
+    sink = shared_folder(t.spark, "sink")
+    connections = {"connections": {
+        "parquet": {"lake": {"path": t.path("customer")}},
+        "s3": {"warehouse": {"path": sink, "format": "parquet"}}}}
+    run_flow(t.spark, load_spec(_CONNECTED, connections))
+    return t.spark.read.parquet(sink)
 
 
 _YAML = """
@@ -134,21 +208,22 @@ def etl_flow_yaml(t):
 @query("etl_flow_change_log", """
     WITH log AS (SELECT o_custkey, o_orderpriority, o_orderstatus, o_orderdate >= TIMESTAMP '1998-10-03' AS late,
                         o_orderkey FROM orders),
-    last_entry AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY late DESC, o_orderkey DESC) AS rn FROM log)
+    mark AS (SELECT MAX(o_orderkey) AS seen FROM log WHERE NOT late),
+    last_entry AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY late DESC, o_orderkey DESC) AS rn
+                   FROM log, mark WHERE NOT late OR o_orderkey > seen OR seen IS NULL)
     SELECT o_custkey, o_orderpriority FROM last_entry WHERE rn = 1 AND o_orderstatus <> 'F'""")
 def etl_flow_change_log(t):
-    """Two portions of a change log, applied to the same target one after the other."""
+    """One growing change log with a cursor: the second run takes newer entries only, an old one cannot win."""
     op = (F.when(F.col("o_orderstatus") == "F", "D").when(F.col("o_orderstatus") == "O", "U")
            .otherwise("I"))
     log = t.orders.select("o_custkey", "o_orderpriority", "o_orderdate",
                           F.col("o_orderkey").alias("seq"), op.alias("op"))
     early = F.col("o_orderdate") < F.lit(FIRST).cast("timestamp_ntz")
-    sink = shared_folder(t.spark, "sink")
+    sink, feed, state = (shared_folder(t.spark, n) for n in ("sink", "feed", "state"))
+    spec = (flow("log").source("parquet", path=feed, cdc={"enabled": True, "mode": "binlog", "state": state,
+                                                         "binlog": {"keys": ["o_custkey"]}})
+            .target("parquet", path=sink).spec())
     for portion in (early, ~early):
-        feed = shared_folder(t.spark, "feed")
         write_files(log.filter(portion).drop("o_orderdate"), feed, "parquet")
-        spec = (flow("log").source("parquet", path=feed,
-                                   cdc={"enabled": True, "mode": "binlog", "binlog": {"keys": ["o_custkey"]}})
-                .target("parquet", path=sink).spec())
         result = run_flow(t.spark, spec)
     return result.frame

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from catalogue import query
 from millrace import SnapshotFolder, latest_per_key, staged_overwrite
-from millrace.functions.workspace import shared_folder
+from millrace.functions.workspace import shared_folder, stage
 from millrace.operators.merge import upsert
+from millrace.plans.run import run_flow
+from millrace.plans.spec import flow
 from millrace.sinks.files import write_files, write_table
 from millrace.sinks.snapshots import part_keys
 from millrace.sources import read_source, read_target
@@ -119,8 +121,8 @@ def sink_touched_partitions(t):
     folder = SnapshotFolder(t.spark, shared_folder(t.spark, "sink"))
     first = t.lineitem.select(*keys).distinct().withColumn("lines", F.lit(0))
     folder.commit(first, partition_by=["l_returnflag"])
-    news = (t.lineitem.filter(F.col("l_returnflag") == "R")
-            .groupBy(*keys).agg(F.max("l_linenumber").alias("lines")))
+    news = stage(t.lineitem.filter(F.col("l_returnflag") == "R")
+                 .groupBy(*keys).agg(F.max("l_linenumber").alias("lines"))).frame
     touched = part_keys(news, ["l_returnflag"])
     folder.commit(upsert(folder.read(touched), news, keys), partition_by=["l_returnflag"],
                   replace=touched)
@@ -142,6 +144,23 @@ def sink_table(t):
     return rows
 
 
+@query("sink_catalog_merge_external", """
+    SELECT c_custkey AS id, c_name AS name, c_acctbal + 1 AS balance FROM customer
+    UNION ALL SELECT -1 - s_suppkey, s_name, s_acctbal FROM supplier""")
+def sink_merge_external(t):
+    """Two merges into a catalog table whose files lie at a path of the user's."""
+    where, feed = shared_folder(t.spark, "table"), shared_folder(t.spark, "feed")
+    name = "millrace_" + where.rsplit("-", 1)[1]
+    for rows in (_accounts(t), _accounts(t).withColumn("balance", F.col("balance") + 1)
+                 .unionByName(_vendors(t).withColumn("id", -1 - F.col("id")))):
+        write_files(rows, feed, "parquet", "overwrite")
+        run_flow(t.spark, flow("merge").source("parquet", path=feed)
+                 .target("table", table=name, options={"path": where}, mode="merge", merge_keys=["id"]).spec())
+    rows = read_target(t.spark, "table", {"table": name})
+    t.spark.sql(f"DROP TABLE {name}")       # external: the rows stay
+    return rows
+
+
 @query("read_target_csv_options", """
     SELECT o_orderkey, o_orderpriority FROM (
         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)

@@ -8,28 +8,28 @@ from millrace import not_null, register_transform, sql_block
 from millrace.functions.transforms import chain, python_step, sql_step
 
 _ENRICH = """
-    -- upper-case the name; sort balances into two classes
-    CREATE OR REPLACE TEMP VIEW enriched AS
-    SELECT c_custkey AS id, UPPER(c_name) AS name, c_acctbal AS some_column,
-           CASE WHEN c_acctbal > 2500 THEN 'High' ELSE 'Low' END AS score_category
+    -- shipping labels: one upper-cased line, and how a line is to be handled
+    CREATE OR REPLACE TEMP VIEW labelled AS
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, UPPER(concat(l_returnflag, '/', l_linestatus)) AS mark,
+           CASE WHEN l_quantity >= 40 THEN 'pallet' WHEN l_quantity >= 10 THEN 'box' ELSE 'letter' END AS parcel
     FROM temp_table;
-    SELECT * FROM enriched;
+    SELECT * FROM labelled;
 """
 
 
 @query("sql_enrich_case", """
-    SELECT c_custkey AS id, UPPER(c_name) AS name, c_acctbal AS some_column,
-           CASE WHEN c_acctbal > 2500 THEN 'High' ELSE 'Low' END AS score_category
-    FROM customer""")
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, UPPER(concat(l_returnflag, '/', l_linestatus)) AS mark,
+           CASE WHEN l_quantity >= 40 THEN 'pallet' WHEN l_quantity >= 10 THEN 'box' ELSE 'letter' END AS parcel
+    FROM lineitem""")
 def sql_enrich_case(t):
-    return sql_block(t.customer, _ENRICH)
+    return sql_block(t.lineitem, _ENRICH)
 
 
 @query("sql_literal_semicolon", """
     SELECT p_partkey, concat(p_name, ';') AS name, '--' AS dashes FROM part""")
 def sql_literal_semicolon(t):
     return sql_block(t.part, """
-        /* a ; in a comment */
+        /* a ; in a comment /* and ; in one inside it */ ; */
         SELECT p_partkey, concat(p_name, ';') AS name, '--' AS dashes -- one more ; here
         FROM temp_table;
         -- the end
@@ -41,29 +41,29 @@ def sql_literal_semicolon(t):
     WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING COUNT(*) > 2""")
 def sql_chain_same_view(t):
     return chain(t.orders, [
-        sql_step("""CREATE OR REPLACE TEMP VIEW enriched AS
+        sql_step("""CREATE OR REPLACE TEMP VIEW step AS
                     SELECT * FROM temp_table WHERE o_orderstatus <> 'P';
-                    SELECT o_custkey, o_totalprice FROM enriched"""),
-        sql_step("""CREATE OR REPLACE TEMP VIEW enriched AS
+                    SELECT o_custkey, o_totalprice FROM step"""),
+        sql_step("""CREATE OR REPLACE TEMP VIEW step AS
                     SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top
                     FROM temp_table GROUP BY o_custkey;
-                    SELECT * FROM enriched WHERE n > 2"""),
+                    SELECT * FROM step WHERE n > 2"""),
     ])
 
 
-@register_transform("score_category")
-def score_category(df, column="score", above=250):
-    return (df.withColumn("name", F.upper("name"))
-              .withColumn("score_category", F.when(F.col(column) > above, "High").otherwise("Low")))
+@register_transform("price_band")
+def price_band(df, column, edges):
+    """The number of ``edges`` that a price reaches, and the type's first word."""
+    band = sum((F.when(F.col(column) >= edge, 1).otherwise(0) for edge in edges), F.lit(0))
+    return df.withColumn("band", band).withColumn("family", F.lower(F.substring_index("p_type", " ", 1)))
 
 
-@query("py_score_category", """
-    SELECT c_custkey AS id, UPPER(c_name) AS name, c_acctbal AS score,
-           CASE WHEN c_acctbal > 250 THEN 'High' ELSE 'Low' END AS score_category FROM customer""")
-def py_score_category(t):
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
-                             F.col("c_acctbal").alias("score"))
-    return rows.transform(python_step("score_category"))
+@query("py_price_band", """
+    SELECT p_partkey, p_type, p_retailprice, CAST((p_retailprice >= 950)::INT + (p_retailprice >= 1200)::INT AS INTEGER) AS band,
+           lower(split_part(p_type, ' ', 1)) AS family FROM part""")
+def py_price_band(t):
+    rows = t.part.select("p_partkey", "p_type", "p_retailprice")
+    return rows.transform(python_step("price_band", {"column": "p_retailprice", "edges": [950, 1200]}))
 
 
 @query("py_not_null", """
@@ -206,3 +206,9 @@ passthrough("scalar_array", """
     SELECT vec_id, label, size(embedding) AS width, embedding[0] AS first_value,
            array_max(embedding) AS top
     FROM embeddings""")
+
+passthrough("scalar_map", """
+    SELECT o_orderkey, o_orderstatus || ':' || o_orderpriority AS joined, CAST(2 AS INTEGER) AS entries,
+           o_orderpriority AS priority FROM orders""", "orders", spark_sql="""
+    SELECT o_orderkey, concat_ws(':', map_values(m)) AS joined, size(map_keys(m)) AS entries, m['priority'] AS priority
+    FROM (SELECT o_orderkey, map('status', o_orderstatus, 'priority', o_orderpriority) AS m FROM orders)""")

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from millrace.functions.workspace import literal_rows
 from millrace.operators.versions import changed_versions, latest
-from millrace.plans.run import run_flow
+from millrace.plans.run import compact_target, run_flow
 from millrace.plans.spec import load_spec
 from millrace.sources.files import path_is_missing
 
@@ -36,6 +36,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("flow", help="YAML specification")
     parser.add_argument("--connections", default="connections.yaml", help="YAML file of named connections")
     parser.add_argument("--as-of", help="moment of the load, e.g. '2025-01-01 00:00:00'")
+    parser.add_argument("--compact", action="store_true", help="afterwards, join the small files of a file target")
     parser.add_argument("--versions", help="folder in which versions of specifications are recorded")
     options = parser.parse_args(arguments)
 
@@ -43,6 +44,8 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(spec.name).getOrCreate()
     result = run_flow(spark, spec, options.as_of)
     print(f"{spec.name}: run {result.run_id} as of {result.as_of}, cursors {dict(result.cursors)}")
+    if options.compact:
+        compact_target(spark, spec)
     if options.versions:
         text = Path(options.flow).read_text(encoding="utf-8")
         print(f"{spec.name}: specification version {record_version(spark, options.versions, spec.name, text)}")

@@ -8,13 +8,15 @@ import re
 _TOKEN = re.compile(
     r"""
       (?P<quoted> '(?:\\.|''|[^'\\])*' | "(?:\\.|""|[^"\\])*" | `(?:``|[^`])*` )
-    | (?P<comment> --[^\n]* | /\*.*?\*/ )
+    | (?P<comment> --[^\n]* | /\* )
     | (?P<end> ; )
     | (?P<other> [^'"`;/-]+ | . )
     """,
     re.VERBOSE | re.DOTALL,
 )
 
+_COMMENT_MARK = re.compile(r"/\*|\*/")
+
 _TEMP_VIEW = re.compile(
     r"^\s*CREATE\s+(?:OR\s+REPLACE\s+)?TEMP(?:ORARY)?\s+VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?"
     r"(`(?:``|[^`])+`|\w+)",
@@ -26,11 +28,15 @@ def split_sql(text: str) -> list[str]:
     """Statements of ``text`` in order, without the pieces that hold only blanks and comments.
 
     A ``;`` inside quotes or a comment does not end a statement. Plain comments are dropped; hints
-    (``/*+ ... */``) are kept.
+    (``/*+ ... */``) are kept. Block comments nest, as they do in Spark.
     """
-    statements, piece = [], []
-    for match in _TOKEN.finditer(text or ""):
+    statements, piece, at, text = [], [], 0, text or ""
+    while at < len(text):
+        match = _TOKEN.match(text, at)
         token = match.group()
+        if token == "/*":
+            token = text[at:_comment_end(text, at)]
+        at += len(token)
         if match.lastgroup == "end":
             statements.append("".join(piece).strip())
             piece = []
@@ -42,6 +48,16 @@ def split_sql(text: str) -> list[str]:
     return [s for s in statements if s]
 
 
+def _comment_end(text: str, start: int) -> int:
+    """Where the block comment that begins at ``start`` ends; the end of ``text`` if it never does."""
+    depth = 0
+    for mark in _COMMENT_MARK.finditer(text, start):
+        depth += 1 if mark.group() == "/*" else -1
+        if depth == 0:
+            return mark.end()
+    return len(text)
+
+
 def created_temp_view(statement: str) -> str | None:
     """Name of the temporary view a statement creates, if it creates one."""
     match = _TEMP_VIEW.match(statement)

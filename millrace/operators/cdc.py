@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timezone
 from functools import reduce
 from typing import Any
@@ -17,11 +17,10 @@ from millrace.functions.keys import require_columns
 from millrace.functions.workspace import literal_rows
 from millrace.sources.files import path_is_missing
 
-# The modes, their default columns and where a load without any state starts.
+# The modes and their default columns.
 MODES = ("timestamp", "sequence", "binlog")
 DEFAULT_MODE = "timestamp"
 DEFAULT_COLUMNS = {"timestamp": "updated_at", "sequence": "sequence_number"}
-START = {"timestamp": "1970-01-01 00:00:00", "sequence": 0}
 
 _TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)
 
@@ -67,20 +66,24 @@ def _with_nulls(condition: Column, column: str, nulls: str) -> Column:
 
 
 def since_timestamp(df: DataFrame, column: str = DEFAULT_COLUMNS["timestamp"],
-                    last: Any = START["timestamp"], *, inclusive: bool = True, until: Any = None,
+                    last: Any = None, *, inclusive: bool = True, until: Any = None,
                     nulls: str = "drop", lookback: str | None = None) -> DataFrame:
     """Rows at or after ``last`` (after it with ``inclusive=False``), up to ``until`` if given.
 
+    ``None`` means a first run, which takes every moment, however long ago.
     ``lookback`` (such as ``"2 hours"``) reads a margin again, for rows that arrive late.
     """
     dtype = _cursor_type(df, column, "timestamp")
-    low = time_literal(last, dtype)
+    low = None if last is None else time_literal(last, dtype)
     if lookback:
         if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             raise ValueError(f"lookback needs a timestamp column, {column!r} is {dtype.simpleString()}")
-        low = low - F.expr(f"INTERVAL {lookback}")
+        low = None if low is None else low - F.expr(f"INTERVAL {lookback}")
     col = F.col(column)
-    condition = col >= low if inclusive or lookback else col > low
+    if low is None:
+        condition = col.isNotNull()
+    else:
+        condition = col >= low if inclusive or lookback else col > low
     if until is not None:
         condition = condition & (col <= time_literal(until, dtype))
     return df.filter(_with_nulls(condition, column, nulls))
@@ -118,6 +121,11 @@ class CdcConfig:
     op: str = "op"
     seq: str = "seq"
 
+    def on_log(self, dtype: T.DataType) -> CdcConfig:
+        """The window over a change log's order column: above the last applied entry, up to the newest there is."""
+        mode = "timestamp" if isinstance(dtype, _TIME_TYPES) else "sequence"
+        return replace(self, mode=mode, column=self.seq, inclusive=False, lookback=None)
+
     @classmethod
     def from_mapping(cls, raw: Mapping[str, Any] | None) -> CdcConfig:
         raw = dict(raw or {})
@@ -134,7 +142,7 @@ class CdcConfig:
             inclusive=bool(raw.get("inclusive", True)),
             nulls=raw.get("nulls", "drop"),
             lookback=raw.get("lookback"),
-            initial=raw.get("initial", START.get(mode)),
+            initial=raw.get("initial"),
             state=raw.get("state"),
             keys=(keys,) if isinstance(keys, str) else tuple(keys),
             op=section.get("op", "op"),
@@ -143,7 +151,7 @@ class CdcConfig:
 
 
 def apply_cdc(df: DataFrame, config: CdcConfig, last: Any = None, until: Any = None) -> DataFrame:
-    """The increment of ``df``; ``last`` overrides the configured start.
+    """The increment of ``df``; ``last`` overrides the configured start, and without either it is everything.
 
     A change log (mode ``binlog``) is itself the increment: it passes unchanged and is applied to
     the target by ``apply_change_log``.

@@ -11,12 +11,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.keys import (all_of, any_of, as_keys, fail_on_repeated_keys, has_order, keyed,
-                                     one_row_per_key, require_columns, require_comparable)
+from millrace.functions.keys import (all_of, any_of, as_keys, has_order, keyed, one_row_per_key, require_columns,
+                                     require_comparable)
 from millrace.operators.cdc import time_literal
 
 # The types a dimension's validity columns may get at the first load.
@@ -120,7 +120,12 @@ class _Load:
         self.in_target = F.col(f"t.{key}").isNotNull()
         self.in_source = F.col(f"s.{key}").isNotNull()
         differs = [~F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in tracked]
-        self.changed = self.in_target & self.in_source & (any_of(differs) if differs else F.lit(False))
+        differ = self.in_target & self.in_source & (any_of(differs) if differs else F.lit(False))
+        # A version may only be closed after it was opened; intervals must not be empty or run backwards.
+        opened = F.col(f"t.{config.valid_from}")
+        late = F.raise_error(F.concat(F.lit("as_of is not after the start of an open version that changes: "),
+                                      self.as_of.cast("string"), F.lit(" <= "), opened.cast("string"))).cast("boolean")
+        self.changed = F.when(~differ, F.lit(False)).when(opened >= self.as_of, late).otherwise(F.lit(True))
 
     def source_columns(self, source: DataFrame) -> list[Column]:
         """Keys and shared attributes in the target's types; columns the target lacks are left out."""
@@ -184,12 +189,14 @@ def _pieces(load: _Load, joined: DataFrame, old_version: Column) -> DataFrame:
 
 
 def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
-             broadcast_source: bool, only_changes: bool, history: DataFrame | None = None,
+             broadcast_source: bool, only_changes: bool, history: DataFrame | None,
              check_target: bool = False) -> DataFrame:
-    """Open rows of ``target`` after the load, together with the rows the load closed."""
+    """Open rows of ``target`` after the load, together with the rows the load closed.
+
+    ``history`` holds the closed rows that may number a key on; None if every key has an open row.
+    """
     load = _Load(target, source, config, as_of)
     keys = list(config.keys)
-    history = target if history is None else history
     open_rows = current_rows(target, config)
     matchable = open_rows.filter(keyed(keys))
 
@@ -207,11 +214,13 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
                                           "inner" if only_changes else "left")
         if only_changes:
             pairs = pairs.filter(load.changed)
-        versions = _pieces(load, pairs, F.col(f"t.{config.version}"))
+        versions = _pieces(load, pairs, F.coalesce(F.col(f"t.{config.version}"), F.lit(0)))
         wanted = prepared.filter(keyed(keys)).select(*keys).distinct()
         known = [*keys, config.is_current, config.version]
-        seen = (open_rows.select(*known).unionByName(closed_rows(history, config).select(*known))
-                .join(F.broadcast(wanted), keys, "left_semi")
+        past = open_rows.select(*known)
+        if history is not None:
+            past = past.unionByName(closed_rows(history, config).select(*known))
+        seen = (past.join(F.broadcast(wanted), keys, "left_semi")
                 .groupBy(*keys).agg(F.count_if(config.is_current).alias(_OPEN),
                                     F.max(config.version).alias(_CLOSED_VERSION)))
         added = unique.join(seen, keys, "left").filter(
@@ -221,15 +230,24 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
     else:
         # Both sides are hashed and sorted on the key once. Keys are unique on either side, so no key
         # weighs more than one row; closed versions are reduced to one number per key before they move.
-        before = (closed_rows(history, config).filter(keyed(keys))
-                  .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
+        if history is None:
+            known = unique.withColumn(_CLOSED_VERSION, F.lit(0))
+        else:
+            before = (closed_rows(history, config).filter(keyed(keys))
+                      .groupBy(*keys).agg(F.max(config.version).alias(_CLOSED_VERSION)))
+            known = unique.join(before, keys, "left")
+        if check_target:
+            matchable = matchable.withColumn(_OPEN, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+        pairs = matchable.alias("t").join(known.alias("s"), load.same_key(), "full_outer")
         if check_target:
-            matchable = fail_on_repeated_keys(matchable, keys, _OPEN_ROWS)
-        pairs = matchable.alias("t").join(unique.join(before, keys, "left").alias("s"),
-                                          load.same_key(), "full_outer")
+            # As in the other branch, only keys that are loaded matter.
+            pairs = pairs.filter(F.when(load.in_source & (F.col(f"t.{_OPEN}") > 1),
+                                        F.raise_error(F.lit(f"repeated key in {_OPEN_ROWS}")).cast("boolean"))
+                                 .otherwise(F.lit(True)))
         if only_changes:
             pairs = pairs.filter(load.in_source & (~load.in_target | load.changed))
-        old_version = F.coalesce(F.col(f"t.{config.version}"), F.col(f"s.{_CLOSED_VERSION}"), F.lit(0))
+        old_version = F.coalesce(F.when(load.in_target, F.coalesce(F.col(f"t.{config.version}"), F.lit(0)))
+                                 .otherwise(F.col(f"s.{_CLOSED_VERSION}")), F.lit(0))
         result = _pieces(load, pairs, old_version)
 
     result = result.unionByName(keyless)
@@ -238,12 +256,14 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
 
 def scd2_open(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
               broadcast_source: bool = False, history: DataFrame | None = None,
-              check_target: bool = False) -> DataFrame:
+              every_key_open: bool = False, check_target: bool = False) -> DataFrame:
     """What replaces the target's open rows: open rows after the load, and the rows it closed.
 
     Closed rows of earlier loads are not in it. ``history`` names where to look for them when
-    ``target`` holds open rows only.
+    ``target`` holds open rows only. With ``every_key_open`` - which loads keep so - no key has closed
+    rows alone, and closed rows are not read at all.
     """
+    history = None if every_key_open else target if history is None else history
     return _refresh(target, source, config, as_of, broadcast_source=broadcast_source,
                     only_changes=False, history=history, check_target=check_target)
 
@@ -252,7 +272,7 @@ def scd2_changes(target: DataFrame, source: DataFrame, config: Scd2Config, as_of
                  broadcast_source: bool = False, check_target: bool = False) -> DataFrame:
     """Only the rows the load closes or opens: what a MERGE on key and version would write."""
     return _refresh(target, source, config, as_of, broadcast_source=broadcast_source,
-                    only_changes=True, check_target=check_target)
+                    only_changes=True, history=target, check_target=check_target)
 
 
 def scd2_merge(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *,
@@ -264,7 +284,8 @@ def scd2_merge(target: DataFrame, source: DataFrame, config: Scd2Config, as_of:
     their value on a new version. A key that has only closed rows continues their numbering.
 
     A key must have one open row at most, which loads keep so. ``check_target`` makes the query fail
-    where a target from elsewhere breaks this (with ``broadcast_source`` that is always checked).
+    where a target from elsewhere breaks this for a loaded key (with ``broadcast_source`` that is always
+    checked). ``as_of`` must lie after the start of every version that the load closes.
     """
     return (scd2_open(target, source, config, as_of, broadcast_source=broadcast_source,
                       check_target=check_target)

@@ -39,33 +39,37 @@ def text_digest(payload: str):
 
 
 def changed_versions(history: DataFrame, incoming: DataFrame, keys: str | Sequence[str],
-                     payload: str, version: str = "version", *, order_by: Any = None) -> DataFrame:
+                     payload: str, version: str = "version", *, order_by: Any = None,
+                     digest: str | None = None) -> DataFrame:
     """The rows ``incoming`` adds to ``history``: new keys as 1, changed payloads as the next number.
 
     Payloads are compared without outer blanks, by digest: old texts are neither shuffled nor joined.
-    Keys with NULL in them equal nothing and always count as new.
+    Keys with NULL in them equal nothing and always count as new. ``digest`` names a column in which the
+    history keeps the fingerprint of each text: then no old text is read, and new rows get theirs.
     """
     names = as_keys(keys)
-    require_columns(history, [*names, payload, version], "history")
+    require_columns(history, [*names, payload, version, *([digest] if digest else [])], "history")
     require_columns(incoming, [*names, payload], "incoming")
     number = history.schema[version].dataType
-    others = [c for c in history.columns if c != version and c in incoming.columns]
+    others = [c for c in history.columns if c not in (version, digest) and c in incoming.columns]
+    marks = [text_digest(payload).alias(digest)] if digest else []
 
     known = latest(
         history.filter(keyed(names))
-               .select(*names, F.col(version).alias(_OLD_VERSION), text_digest(payload).alias(_OLD_DIGEST)),
+               .select(*names, F.col(version).alias(_OLD_VERSION), (F.col(digest) if digest else text_digest(payload)).alias(_OLD_DIGEST)),
         names, _OLD_VERSION)
     fresh = one_row_per_key(incoming.filter(keyed(names)), names, order_by, "incoming versions")
     compared = fresh.join(known, names, "left")
     same = F.col(_OLD_VERSION).isNotNull() & text_digest(payload).eqNullSafe(F.col(_OLD_DIGEST))
     added = compared.filter(~same).select(
-        *others, (F.coalesce(F.col(_OLD_VERSION), F.lit(0)) + 1).cast(number).alias(version))
-    keyless = incoming.filter(~keyed(names)).select(*others, F.lit(1).cast(number).alias(version))
+        *others, (F.coalesce(F.col(_OLD_VERSION), F.lit(0)) + 1).cast(number).alias(version), *marks)
+    keyless = incoming.filter(~keyed(names)).select(*others, F.lit(1).cast(number).alias(version), *marks)
     return added.unionByName(keyless)
 
 
 def append_if_changed(history: DataFrame, incoming: DataFrame, keys: str | Sequence[str],
-                      payload: str, version: str = "version", *, order_by: Any = None) -> DataFrame:
+                      payload: str, version: str = "version", *, order_by: Any = None,
+                      digest: str | None = None) -> DataFrame:
     """``history`` with the changed and new records of ``incoming`` appended as new versions."""
-    added = changed_versions(history, incoming, keys, payload, version, order_by=order_by)
+    added = changed_versions(history, incoming, keys, payload, version, order_by=order_by, digest=digest)
     return history.unionByName(added, allowMissingColumns=True)

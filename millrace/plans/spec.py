@@ -218,6 +218,12 @@ def _check_together(spec: FlowSpec) -> None:
         raise ValueError("a change log cannot be stacked with other sources")
     if any(logs) and spec.target.scd2:
         raise ValueError("a change log is applied to plain rows, not to an scd2 target")
+    if spec.target.mode == "append" and not spec.target.scd2 and not any(logs):
+        for source in spec.sources:
+            cdc = source.cdc
+            if cdc.enabled and cdc.state and cdc.mode == "timestamp" and (cdc.inclusive or cdc.lookback):
+                raise ValueError(f"{source.name}: an append target would get the rows at the cursor again with every run; "
+                                 "set 'inclusive: false' without 'lookback', or merge")
     if spec.target.scd2 and spec.target.mode == MERGE:
         raise ValueError("an scd2 target merges by itself; leave out mode 'merge'")
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.workspace import delete_folder
 from millrace.sources.dialects import check_connection, connection_options
 
 # The save modes Spark knows, and the one added here.
 SAVE_MODES = ("append", "overwrite", "ignore", "error", "errorifexists", "default")
 MERGE = "merge"
 DEFAULT_MODE = "append"
+_GENERATION = "__g"
 
 
 def mode_of(config: Mapping[str, Any], what: str, allowed: Sequence[str] = SAVE_MODES) -> str:
@@ -86,25 +90,50 @@ def replace_table(df: DataFrame, table: str, format: str = "parquet",
     """Replace a catalog table by rows computed from that same table.
 
     The rows go to a second table first; then two renames swap them. A run that dies in between
-    leaves the old rows as ``<table>__old``, which ``recover_table`` puts back.
+    leaves the old rows as ``<table>__old``, which ``recover_table`` puts back. With a ``path`` in
+    ``options`` each generation has a folder of its own beside it, and the replaced one's files go.
     """
     spark = df.sparkSession
     fresh, old = f"{table}__new", f"{table}__old"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-    write_table(df, fresh, "errorifexists", format, options, partition_by)
+    options = dict(options or {})
+    home = str(options["path"]).rstrip("/") if "path" in options else None
+    replaced = None
+    if home:
+        options["path"] = f"{home}{_GENERATION}{uuid.uuid4().hex[:12]}"
+        replaced = _location(spark, table) if spark.catalog.tableExists(table) else None
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
+    write_table(df, quoted(fresh), "errorifexists", format, options, partition_by)
     if spark.catalog.tableExists(table):
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
-        spark.sql(f"ALTER TABLE {table} RENAME TO {_last_part(old)}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {_last_part(table)}")
-    spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+        spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {_last_part(old)}")
+    spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {_last_part(table)}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+    if replaced and _is_generation(replaced, home):
+        delete_folder(spark, replaced)
+
+
+def _location(spark: SparkSession, table: str) -> str | None:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"] if rows else None
+
+
+def _is_generation(location: str, home: str) -> bool:
+    """Whether ``location`` is the folder ``home`` or one of its generations, however the scheme is written."""
+    plain = re.sub(r"^file:/+", "/", location.rstrip("/"))
+    return re.fullmatch(re.escape(re.sub(r"^file:/+", "/", home)) + f"({_GENERATION}[0-9a-f]{{12}})?", plain) is not None
 
 
 def recover_table(spark: SparkSession, table: str) -> None:
     """Undo the first half of a table swap that was cut short."""
     old = f"{table}__old"
     if not spark.catalog.tableExists(table) and spark.catalog.tableExists(old):
-        spark.sql(f"ALTER TABLE {old} RENAME TO {_last_part(table)}")
+        spark.sql(f"ALTER TABLE {quoted(old)} RENAME TO {_last_part(table)}")
+
+
+def quoted(table: str) -> str:
+    """A table name with every part in backticks; one that has backticks already is left alone."""
+    return table if "`" in table else ".".join(f"`{part}`" for part in table.split("."))
 
 
 def _last_part(table: str) -> str:
-    return table.split(".")[-1]
+    return quoted(table).rsplit(".", 1)[-1]

@@ -10,9 +10,11 @@ history and untouched partitions are carried over by name and never rewritten.
 
 Layout::
 
-    <path>/loads/load=<id>-<suffix>/<partition folders>/...     rows
+    <path>/_loads/load=<id>-<suffix>/<partition folders>/...    rows
     <path>/_listings/id=<id>/...                                listings
 
+Both names start with ``_``, so a reader that does not know listings finds nothing rather than rows of several loads.
+
 Partitions are named by a *part key*: the values of the partition columns as JSON, ``{}`` without
 partitioning. Listings and sets of part keys are layout, one short text per partition folder, as
 Spark's own file index keeps them; rows never pass through the driver. One writer per target at a time.
@@ -24,7 +26,7 @@ import json
 import re
 import uuid
 from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import unquote
 
@@ -36,8 +38,9 @@ from pyspark.sql import types as T
 from millrace.functions.workspace import literal_rows, no_rows
 from millrace.sources.files import path_is_missing
 
+# The schema is in one row of a listing only; it may be longer than all the rest.
 _LISTING = ("folder STRING, part STRING, format STRING, options STRING, schema STRING, "
-            "partition_by ARRAY<STRING>")
+            "partition_by ARRAY<STRING>, notes STRING")
 
 
 def part_key(columns: Sequence[str]) -> Column:
@@ -62,6 +65,7 @@ class Snapshot:
     schema: T.StructType
     partition_by: tuple[str, ...]
     folders: Mapping[str, str]          # folder name -> part key
+    notes: Mapping[str, Any] = field(default_factory=dict)      # what the last writer knows about the rows
 
     def parts(self) -> set[str]:
         return set(self.folders.values())
@@ -71,7 +75,7 @@ class SnapshotFolder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._loads = f"{self.path}/loads"
+        self._loads = f"{self.path}/_loads"
         self._listings = f"{self.path}/_listings"
 
     def _committed(self) -> list[int]:
@@ -90,10 +94,10 @@ class SnapshotFolder:
         if not numbers:
             return None
         rows = self.spark.read.schema(_LISTING).parquet(f"{self._listings}/id={numbers[-1]}").collect()
-        one = rows[0]
+        one = next(r for r in rows if r["schema"])
         return Snapshot(numbers[-1], one["format"], json.loads(one["options"]),
                         T.StructType.fromJson(json.loads(one["schema"])), tuple(one["partition_by"]),
-                        {r["folder"]: r["part"] for r in rows if r["folder"]})
+                        {r["folder"]: r["part"] for r in rows if r["folder"]}, json.loads(one["notes"] or "{}"))
 
     def read(self, parts: Collection[str] | None = None, at: Snapshot | None = None) -> DataFrame | None:
         """Committed rows, or None before the first commit.
@@ -114,12 +118,14 @@ class SnapshotFolder:
 
     def commit(self, df: DataFrame, format: str = "parquet", options: Mapping[str, Any] | None = None,
                partition_by: Sequence[str] = (), replace: Collection[str] | None = None,
-               rebalance_by: Sequence[str] | None = None, at: Snapshot | None = None) -> Snapshot:
+               rebalance_by: Sequence[str] | None = None, at: Snapshot | None = None,
+               notes: Mapping[str, Any] | None = None) -> Snapshot:
         """Write ``df`` as a new load and make it current.
 
         Without ``replace`` it is the whole new contents. With it, only those partitions are replaced
         and every other folder of the current state is kept. ``at`` is the state ``df`` was made from.
         Rows are rebalanced on the partition columns (or ``rebalance_by``) before they are written.
+        ``notes`` are what the writer knows about the new contents; without them nothing is known.
         """
         before = at or self.snapshot()
         format, layout = format.lower(), tuple(partition_by)
@@ -141,7 +147,7 @@ class SnapshotFolder:
         (writer.partitionBy(*layout) if layout else writer).save(f"{self._loads}/{load}")
         written = self._folders_of(load, format, options, schema, layout)
 
-        state = Snapshot(number, format, options, schema, layout, {**kept, **written})
+        state = Snapshot(number, format, options, schema, layout, {**kept, **written}, dict(notes or {}))
         if self._committed()[-1:] != ([before.id] if before else []):
             raise RuntimeError(f"another load was committed at {self.path} during this one")
         self._publish(state)
@@ -162,10 +168,9 @@ class SnapshotFolder:
 
         "overwrite" clears what an earlier, dead attempt at the same number left behind.
         """
-        how = {"format": state.format, "options": json.dumps(dict(state.options)),
-               "schema": state.schema.json(), "partition_by": list(state.partition_by)}
-        folders = list(state.folders.items()) or [(None, None)]
-        rows = [{"folder": f, "part": part, **how} for f, part in folders]
+        how = {"format": state.format, "options": json.dumps(dict(state.options)), "schema": state.schema.json(),
+               "partition_by": list(state.partition_by), "notes": json.dumps(dict(state.notes))}
+        rows = [{"folder": None, "part": None, **how}, *({"folder": f, "part": p} for f, p in state.folders.items())]
         literal_rows(self.spark, rows, _LISTING).coalesce(1).write.mode("overwrite").parquet(
             f"{self._listings}/id={state.id}")
 
@@ -176,16 +181,29 @@ class SnapshotFolder:
         rows = self.read(chosen, state)
         if not state.partition_by:
             rows = rows.hint("rebalance")
-        return self.commit(rows, state.format, state.options, state.partition_by, replace=chosen, at=state)
+        return self.commit(rows, state.format, state.options, state.partition_by, replace=chosen, at=state,
+                           notes=state.notes)
 
     def retired_folders(self) -> DataFrame:
         """Folders that only older listings name; safe to delete once nobody reads those loads."""
         numbers = self._committed()
-        every = self.spark.read.schema(f"{_LISTING}, id INT").parquet(self._listings)
+        every = self.spark.read.schema(f"{_LISTING}, id INT").parquet(self._listings).where("folder IS NOT NULL")
         live = every.filter(F.col("id") == numbers[-1]).select("folder")
         return every.select("folder").distinct().join(live, "folder", "left_anti")
 
 
+    def orphans(self) -> list[str]:
+        """Folders of loads that no listing names: loads that died before their listing, or are still being written."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._loads)
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        there = {s.getPath().getName() for s in store.listStatus(path)} if store.exists(path) else set()
+        numbers = self._committed()
+        named = self.spark.read.schema(f"{_LISTING}, id INT").parquet(self._listings).where("folder IS NOT NULL") if numbers else None
+        loads = F.substring_index("folder", "/", 1).alias("load")
+        known = {r["load"] for r in named.select(loads).distinct().collect()} if numbers else set()
+        return sorted(name for name in there - known if name.startswith("load="))
+
+
 def staged_overwrite(spark: SparkSession, path: str, df: DataFrame, **how: Any) -> DataFrame:
     """Replace the contents of ``path`` by ``df``, which may read ``path``; return the new contents."""
     folder = SnapshotFolder(spark, path)

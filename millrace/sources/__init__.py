@@ -36,11 +36,23 @@ def _files(format: str | None):
 
     def read(spark: SparkSession, config: Config) -> DataFrame:
         c = _typed(config)
+        committed = _committed_rows(spark, c["path"])
+        if committed is not None:
+            return committed
         return read_files(spark, c["path"], c["format"], c.get("options"), c.get("schema"))
 
     return check, read
 
 
+def _committed_rows(spark: SparkSession, path: Any) -> DataFrame | None:
+    """The current rows of a folder that flows commit loads to; None for any other path."""
+    from millrace.sinks.snapshots import SnapshotFolder
+
+    if not isinstance(path, str) or any(c in path for c in "*?[{"):
+        return None
+    return SnapshotFolder(spark, path).read()
+
+
 def _need(key: str, what: str) -> Callable[[Config], None]:
     def check(config: Config) -> None:
         if not config.get(key):
@@ -99,6 +111,14 @@ def read_source(spark: SparkSession, kind: str, config: Config) -> DataFrame:
     return read(spark, config)
 
 
+def reading_settings(config: Config) -> dict[str, Any]:
+    """A JDBC target's settings for reading it back: ``num_partitions`` alone bounds writing, and splits no scan."""
+    out = {**config, "query": None}
+    if not config.get("partition_column"):
+        out.pop("num_partitions", None)
+    return out
+
+
 def read_target(spark: SparkSession, kind: str, config: Config) -> DataFrame | None:
     """What a target holds now, or None if it does not exist yet. Any other failure is raised."""
     from millrace.sinks import target_type
@@ -107,7 +127,7 @@ def read_target(spark: SparkSession, kind: str, config: Config) -> DataFrame | N
 
     kind = target_type(kind)
     if kind == "jdbc":
-        return read_jdbc(spark, {**config, "query": None}) if jdbc_table_exists(spark, config) else None
+        return read_jdbc(spark, reading_settings(config)) if jdbc_table_exists(spark, config) else None
     if kind == "table":
         name = config["table"]
         recover_table(spark, name)

@@ -180,3 +180,13 @@ def test_change_log_errors(spark):
         apply_change_log(target, bad, "k").collect()
     with pytest.raises(ValueError, match="change log has no column v"):
         apply_change_log(target, bad.drop("v"), "k")
+
+
+def test_nothing_stored_means_everything(spark, rows):
+    df = spark.createDataFrame([(1, datetime(1931, 5, 5), -7), (2, datetime(2031, 5, 5), 0), (3, None, None)],
+                               "id INT, updated_at TIMESTAMP_NTZ, sequence_number INT")
+    assert rows(apply_cdc(df, CdcConfig.from_mapping({"enabled": True})), "id") == [(1,), (2,)]
+    assert rows(apply_cdc(df, CdcConfig.from_mapping({"enabled": True, "mode": "sequence"})), "id") == [(1,), (2,)]
+    assert rows(since_timestamp(df, lookback="1 day"), "id") == [(1,), (2,)]
+    chosen = CdcConfig.from_mapping({"enabled": True, "mode": "sequence", "initial": -7})
+    assert rows(apply_cdc(df, chosen), "id") == [(2,)]

@@ -10,30 +10,30 @@ from millrace.plans.run import build_increment, run_flow
 from millrace.plans.spec import flow, load_connections, load_spec
 
 SAMPLE = """
-name: TestFlow
+name: Harbour
 source:
   type: mysql
-  connection: testdb
+  connection: quay
   config:
-    table: reports
-    cdc: {enabled: false, mode: timestamp, timestamp: {column: some_column}}
+    table: arrivals
+    cdc: {enabled: false, mode: timestamp, timestamp: {column: berthed_at}}
 transformations:
   - type: sql
     config:
       query: |
-        -- enrich
-        CREATE OR REPLACE TEMP VIEW enriched AS SELECT id, UPPER(name) AS name FROM temp_table;
-        SELECT * FROM enriched;
+        -- ships by length class
+        CREATE OR REPLACE TEMP VIEW classed AS SELECT imo, length_m DIV 50 AS class FROM temp_table;
+        SELECT * FROM classed;
   - type: python
 target:
   type: jdbc
-  connection: testdb
-  config: {db_type: mysql, table: target_reports, mode: append}
+  connection: quay
+  config: {db_type: mysql, table: arrivals_by_class, mode: append}
 scheduler: cron
-schedule_cron: "0 2 * * *"
+schedule_cron: "15 4 * * 1"
 """
-CONNECTIONS = {"connections": {"mysql": {"testdb": {
-    "host": "localhost", "port": 3306, "database": "testdb", "user": "root", "password": "${DB_PASSWORD}"}}}}
+CONNECTIONS = {"connections": {"mysql": {"quay": {
+    "host": "db.harbour.test", "port": 3307, "database": "port", "user": "loader", "password": "${DB_PASSWORD}"}}}}
 
 
 # -- specification -----------------------------------------------------------------------------
@@ -41,11 +41,11 @@ CONNECTIONS = {"connections": {"mysql": {"testdb": {
 def test_sample(monkeypatch):
     monkeypatch.setenv("DB_PASSWORD", "s3cret")
     spec = load_spec(SAMPLE, CONNECTIONS)
-    assert spec.name == "TestFlow" and spec.sources[0].type == "mysql" and spec.target.type == "jdbc"
-    assert spec.sources[0].config["host"] == "localhost" and spec.target.config["password"] == "s3cret"
+    assert spec.name == "Harbour" and spec.sources[0].type == "mysql" and spec.target.type == "jdbc"
+    assert spec.sources[0].config["host"] == "db.harbour.test" and spec.target.config["password"] == "s3cret"
     assert [t.type for t in spec.transforms] == ["sql", "python"]
     assert not spec.sources[0].cdc.enabled and spec.target.scd2 is None and spec.target.mode == "append"
-    assert spec.schedule == {"scheduler": "cron", "schedule_cron": "0 2 * * *"}
+    assert spec.schedule == {"scheduler": "cron", "schedule_cron": "15 4 * * 1"}
     assert "s3cret" not in repr(spec)
 
 
@@ -53,7 +53,7 @@ def test_from_files(tmp_path, monkeypatch):
     monkeypatch.setenv("DB_PASSWORD", "x")
     (tmp_path / "flow.yaml").write_text(SAMPLE)
     (tmp_path / "connections.yaml").write_text(yaml.safe_dump(CONNECTIONS))
-    assert load_spec(tmp_path / "flow.yaml", tmp_path / "connections.yaml").name == "TestFlow"
+    assert load_spec(tmp_path / "flow.yaml", tmp_path / "connections.yaml").name == "Harbour"
     with pytest.raises(FileNotFoundError):
         load_spec(tmp_path / "missing.yaml")
     assert load_connections(tmp_path / "missing.yaml") == {}
@@ -63,16 +63,16 @@ def test_connection_lookup(monkeypatch):
     monkeypatch.delenv("DB_PASSWORD", raising=False)
     with pytest.raises(ValueError, match="DB_PASSWORD is not set"):
         load_spec(SAMPLE, CONNECTIONS)
-    with pytest.raises(ValueError, match="no connection 'testdb' of type 'mysql'"):
+    with pytest.raises(ValueError, match="no connection 'quay' of type 'mysql'"):
         load_spec(SAMPLE)
     raw = yaml.safe_load(SAMPLE)
     raw["source"]["config"]["host"] = "elsewhere"
-    known = {"mysql": {"testdb": {"host": "a", "port": 1, "database": "d", "user": "u", "password": "p"}}}
+    known = {"mysql": {"quay": {"host": "a", "port": 1, "database": "d", "user": "u", "password": "p"}}}
     assert load_spec(raw, known).sources[0].config["host"] == "a"        # the connection wins
     raw["target"]["config"]["db_type"] = "postgresql"
     with pytest.raises(ValueError, match="of type 'postgresql'"):
         load_spec(raw, known)
-    known["postgresql"] = {"testdb": {**known["mysql"]["testdb"], "host": "pg"}}
+    known["postgresql"] = {"quay": {**known["mysql"]["quay"], "host": "pg"}}
     assert load_spec(raw, known).target.config["host"] == "pg"
 
 
@@ -302,3 +302,122 @@ def test_session_is_left_alone(spark, folder):
         .target("parquet", path=folder()).spec())
     assert spark.range(1).select(F.lit(1)).count() == 1
     assert not [t for t in spark.catalog.listTables() if t.isTemporary]
+
+
+# -- loads that must neither lose nor double rows ---------------------------------------------------
+
+def _dimension(feed, sink, **more):
+    return (flow("d").source("parquet", path=feed, schema="k INT, v STRING")
+            .target("parquet", path=sink, scd2={"key_columns": ["k"], "time_type": "timestamp_ntz"}, **more).spec())
+
+
+def test_history_is_not_scanned_when_every_key_is_open(spark, folder, rows, monkeypatch):
+    """Own loads note that no key has closed rows alone; then no folder of closed rows is opened by a load."""
+    feed, sink, asked = folder(), folder(), []
+    read = SnapshotFolder.read
+    monkeypatch.setattr(SnapshotFolder, "read", lambda self, parts=None, at=None: asked.append(parts) or read(self, parts, at))
+    for n, value in enumerate("abc"):
+        spark.createDataFrame([(1, value), (2, "same")], "k INT, v STRING").write.mode("overwrite").parquet(feed)
+        asked.clear()
+        out = run_flow(spark, _dimension(feed, sink), as_of=datetime(2020 + n, 1, 1)).frame
+    assert [p for p in asked if p] == [{'{"is_current":"true"}'}]
+    assert rows(out, "k", "v", "version") == [(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "same", 1)]
+
+
+def test_foreign_dimension_numbers_on(spark, folder, rows):
+    feed, sink = folder(), folder()
+    spark.createDataFrame([(1, "old", datetime(2019, 1, 1), datetime(2019, 6, 1), False, 4)],
+                          "k INT, v STRING, valid_from TIMESTAMP_NTZ, valid_to TIMESTAMP_NTZ, is_current BOOLEAN, version INT"
+                          ).write.parquet(sink)
+    for n, key in enumerate((2, 1)):
+        spark.createDataFrame([(key, "new")], "k INT, v STRING").write.mode("overwrite").parquet(feed)
+        out = run_flow(spark, _dimension(feed, sink), as_of=datetime(2020 + n, 1, 1)).frame
+    assert rows(out, "k", "v", "version") == [(1, "new", 5), (1, "old", 4), (2, "new", 1)]
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 40])
+def test_a_broken_target_fails_alike_whatever_the_size(spark, folder, limit):
+    feed, sink = folder(), folder()
+    spark.createDataFrame([(1, "a", datetime(2019, 1, 1), None, True, n) for n in (1, 2)],
+                          "k INT, v STRING, valid_from TIMESTAMP_NTZ, valid_to TIMESTAMP_NTZ, is_current BOOLEAN, version INT"
+                          ).write.parquet(sink)
+    spark.createDataFrame([(1, "b")], "k INT, v STRING").write.parquet(feed)
+    with pytest.raises(Exception, match="repeated key in open rows"):
+        run_flow(spark, _dimension(feed, sink, broadcast_bytes=limit), as_of=datetime(2020, 1, 1))
+
+
+def test_self_overwrite_keeps_the_rows(spark, folder, rows):
+    path = folder()
+    spark.range(5).write.parquet(path)
+    spec = flow("o").source("parquet", path=path).sql("SELECT id + 1 AS id FROM temp_table").target("parquet", path=path, mode="overwrite").spec()
+    assert rows(run_flow(spark, spec).frame) == [(i,) for i in range(1, 6)]
+    assert rows(spark.read.parquet(path)) == [(i,) for i in range(1, 6)]
+
+
+def test_a_committed_target_is_a_source(spark, folder, rows):
+    feed, middle = folder(), folder()
+    spark.range(3).write.parquet(feed)
+    first = flow("a").source("parquet", path=feed).target("parquet", path=middle, mode="merge", merge_keys=["id"]).spec()
+    run_flow(spark, first)
+    run_flow(spark, first)
+    second = flow("b").source("parquet", path=middle).target("parquet", path=folder(), mode="overwrite").spec()
+    out = build_increment(spark, second)
+    assert out.columns == ["id"] and rows(out) == [(0,), (1,), (2,)]
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        spark.read.parquet(middle)
+
+
+def test_append_with_an_inclusive_cursor_is_refused(folder):
+    cdc = {"enabled": True, "mode": "timestamp", "timestamp": {"column": "ts"}, "state": folder()}
+    with pytest.raises(ValueError, match="inclusive: false"):
+        flow("a").source("parquet", path="x", cdc=cdc).target("parquet", path="y").spec()
+    flow("a").source("parquet", path="x", cdc={**cdc, "inclusive": False}).target("parquet", path="y").spec()
+    flow("a").source("parquet", path="x", cdc=cdc).target("parquet", path="y", mode="merge", merge_keys=["k"]).spec()
+
+
+def test_change_log_cursor(spark, folder, rows, monkeypatch):
+    """The second run stages new entries only, and an entry that arrives late with an old number changes nothing."""
+    feed, sink, staged = folder(), folder(), []
+    stage = run_module.stage
+    monkeypatch.setattr(run_module, "stage", lambda *a, **k: staged.append(stage(*a, **k)) or staged[-1])
+    spec = (flow("log").source("parquet", path=feed, cdc={"enabled": True, "mode": "binlog", "binlog": {"keys": ["k"]}, "state": folder()})
+            .target("parquet", path=sink).spec())
+    ddl = "k INT, v STRING, op STRING, seq LONG"
+    spark.createDataFrame([(1, "a", "I", -3), (2, "b", "I", 4), (1, "c", "U", 5)], ddl).write.parquet(feed)
+    assert rows(run_flow(spark, spec).frame) == [(1, "c"), (2, "b")]
+    spark.createDataFrame([(1, "late", "U", 2), (2, None, "D", 6), (3, "d", "I", 7)], ddl).write.mode("append").parquet(feed)
+    assert rows(run_flow(spark, spec).frame) == [(1, "c"), (3, "d")]
+    assert [s.rows for s in staged] == [3, 2]
+
+
+def test_staged_copies_go_after_the_load(spark, folder, monkeypatch):
+    feed, staged = folder(), []
+    stage = run_module.stage
+    monkeypatch.setattr(run_module, "stage", lambda *a, **k: staged.append(stage(*a, **k)) or staged[-1])
+    spark.range(3).write.parquet(feed)
+    run_flow(spark, flow("a").source("parquet", path=feed).target("parquet", path=folder(), mode="merge", merge_keys=["id"]).spec())
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged[0].path)
+    assert not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store)
+
+
+def test_compaction_and_orphans(spark, folder, rows):
+    feed, sink = folder(), folder()
+    spec = flow("a").source("parquet", path=feed).target("parquet", path=sink, mode="merge", merge_keys=["id"]).spec()
+    assert run_module.compact_target(spark, spec) is None
+    spark.range(30).repartition(6).write.parquet(feed)
+    run_flow(spark, spec)
+    spark.range(1).write.parquet(f"{sink}/_loads/load=000009-died")
+    assert SnapshotFolder(spark, sink).orphans() == ["load=000009-died"]
+    out = run_module.compact_target(spark, spec)
+    assert out.count() == 30 and len(out.inputFiles()) == 1
+
+
+def test_external_table_takes_a_second_merge(spark, folder, rows):
+    where, feed = folder(), folder()
+    for top in (3, 5):
+        spark.range(top).write.mode("overwrite").parquet(feed)
+        spec = (flow("t").source("parquet", path=feed)
+                .target("table", table="external_merge", options={"path": where}, mode="merge", merge_keys=["id"]).spec())
+        out = run_flow(spark, spec).frame
+    assert rows(out) == [(i,) for i in range(5)]
+    spark.sql("DROP TABLE external_merge")

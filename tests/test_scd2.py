@@ -203,3 +203,29 @@ def test_plans(spark, folder):
     assert "PartitionFilters: [isnotnull(is_current" in plan
     small = scd2_merge(target, source, CFG, T3, broadcast_source=True)._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in small and "BroadcastHashJoin" in small
+
+
+@BOTH
+def test_open_row_without_a_version(spark, rows, broadcast):
+    target = dim(spark, [(1, "a", T0, None, True, None), (1, "z", T0, T0, False, 7)])
+    out = scd2_merge(target, src(spark, [(1, "b")]), CFG, T1, broadcast_source=broadcast, check_target=True)
+    assert rows(current_rows(out, CFG), "v", "version") == [("b", 1)]
+
+
+@BOTH
+def test_repeated_open_rows_fail_for_loaded_keys_only(spark, rows, broadcast):
+    target = dim(spark, [(1, "a", T0, None, True, 1), (1, "b", T0, None, True, 2), (2, "c", T0, None, True, 1)])
+    out = scd2_merge(target, src(spark, [(2, "d")]), CFG, T1, broadcast_source=broadcast, check_target=True)
+    assert out.count() == 4
+    with pytest.raises(Exception, match="repeated key in open rows"):
+        scd2_merge(target, src(spark, [(1, "d")]), CFG, T1, broadcast_source=broadcast, check_target=True).collect()
+
+
+@BOTH
+@pytest.mark.parametrize("moment", [T0, T1])
+def test_as_of_must_lie_after_what_it_closes(spark, rows, broadcast, moment):
+    target = dim(spark, [(1, "a", T1, None, True, 1), (2, "b", T1, None, True, 1)])
+    with pytest.raises(Exception, match="as_of is not after"):
+        scd2_merge(target, src(spark, [(1, "x"), (2, "b")]), CFG, moment, broadcast_source=broadcast).collect()
+    same = scd2_merge(target, src(spark, [(1, "a"), (3, "new")]), CFG, moment, broadcast_source=broadcast)
+    assert rows(same) == sorted([tuple(r) for r in target.collect()] + [(3, "new", moment, None, True, 1)], key=repr)

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from millrace.functions.workspace import shared_folder, stage
+from millrace.functions import workspace
+from millrace.functions.workspace import Staged, shared_folder, stage
 from millrace.sinks import check_target, target_config, write_plain
 from millrace.sinks.files import jdbc_write_options, recover_table, replace_table, write_files, write_table
-from millrace.sources import check_source, read_source, read_target
-from millrace.sources.jdbc import bounds_query, exists_query, relation, scan_options
+from millrace.sources import check_source, read_source, read_target, reading_settings
+from millrace.sources.jdbc import bounds_query, check_jdbc_source, exists_query, relation, scan_options
 
 DB = {"host": "h", "port": 1, "database": "d", "user": "u", "password": "p"}
 
@@ -201,3 +202,19 @@ def test_staging_measures_and_cuts_lineage(spark, rows):
     assert "Range" not in staged.frame._jdf.queryExecution().toString()
     empty = stage(df.limit(0))
     assert empty.rows == 0 and empty.bytes == 0 and empty.frame.columns == ["id", "t"]
+
+
+def test_write_parallelism_does_not_split_the_read_back():
+    target = {**DB, "db_type": "mysql", "table": "t", "num_partitions": 8}
+    assert "numPartitions" in jdbc_write_options(target)
+    again = reading_settings(target)
+    check_jdbc_source(again)
+    assert "num_partitions" not in again
+    assert reading_settings({**target, "partition_column": "id"})["num_partitions"] == 8
+
+
+def test_staged_sizes(spark):
+    wide = spark.range(1000).selectExpr("transform(sequence(1, 100), x -> cast(x AS DOUBLE)) AS v")
+    assert stage(wide).bytes == 800_000
+    assert not stage(wide, limit=1000).small and stage(wide).small
+    assert not Staged(wide, rows=workspace.BROADCAST_ROWS + 1, bytes=8).small

@@ -26,7 +26,7 @@ def test_split(text, expected):
 
 
 @pytest.mark.parametrize("text, name", [
-    ("CREATE OR REPLACE TEMP VIEW enriched AS SELECT 1", "enriched"),
+    ("CREATE OR REPLACE TEMP VIEW parcels AS SELECT 1", "parcels"),
     ("create temporary view if not exists `a b` as select 1", "a b"),
     ("SELECT 1", None), ("CREATE TABLE t (a INT)", None)])
 def test_created_view(text, name):
@@ -45,12 +45,12 @@ def test_block_errors(spark):
 
 
 def test_views_are_given_back(spark, rows):
-    spark.range(5).createOrReplaceTempView("enriched")
-    out = sql_block(spark.range(2), """CREATE OR REPLACE TEMP VIEW enriched AS SELECT id + 10 AS id FROM temp_table;
-                                       SELECT * FROM enriched""")
+    spark.range(5).createOrReplaceTempView("parcels")
+    out = sql_block(spark.range(2), """CREATE OR REPLACE TEMP VIEW parcels AS SELECT id + 10 AS id FROM temp_table;
+                                       SELECT * FROM parcels""")
     assert rows(out) == [(10,), (11,)]
-    assert spark.table("enriched").count() == 5
-    spark.catalog.dropTempView("enriched")
+    assert spark.table("parcels").count() == 5
+    spark.catalog.dropTempView("parcels")
 
 
 def test_chained_blocks_reuse_names(spark, rows):
@@ -59,17 +59,23 @@ def test_chained_blocks_reuse_names(spark, rows):
 
 
 def test_python_steps(spark, rows):
-    df = spark.createDataFrame([(1, None), (2, "x"), (None, "y")], "a INT, some_column STRING")
+    df = spark.createDataFrame([(1, None), (2, "x"), (None, "y")], "a INT, b STRING")
     assert rows(not_null(df)) == [(2, "x"), (None, "y")]
-    assert rows(df.transform(python_step("not_null", {"columns": ["a", "some_column"]}))) == [(2, "x")]
+    assert rows(df.transform(python_step("not_null", {"columns": ["a", "b"]}))) == [(2, "x")]
     with pytest.raises(ValueError, match="no transform is registered"):
         python_step("unheard_of")
 
 
-def test_case_treats_null_as_low(spark, rows):
-    df = spark.createDataFrame([(None,), (251,)], "some_column INT")
-    out = sql_block(df, "SELECT CASE WHEN some_column > 250 THEN 'High' ELSE 'Low' END AS c FROM temp_table")
-    assert rows(out) == [("High",), ("Low",)]
+def test_case_takes_the_last_branch_for_null(spark, rows):
+    df = spark.createDataFrame([(None,), (12,)], "weight INT")
+    out = sql_block(df, "SELECT CASE WHEN weight >= 10 THEN 'box' ELSE 'letter' END AS parcel FROM temp_table")
+    assert rows(out) == [("box",), ("letter",)]
+
+
+def test_block_comments_nest():
+    assert split_sql("/* a /* b */ ; c */ SELECT 1; SELECT 2") == ["SELECT 1", "SELECT 2"]
+    assert split_sql("SELECT /*+ BROADCAST(t) */ 1; /* open /* never closed */ ;") == ["SELECT /*+ BROADCAST(t) */ 1"]
+    assert split_sql("SELECT '/*' AS a; SELECT 1 - 2 / 3") == ["SELECT '/*' AS a", "SELECT 1 - 2 / 3"]
 
 
 def test_no_python_in_the_plan(spark):

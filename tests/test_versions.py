@@ -1,6 +1,9 @@
+import re
+
 import pytest
 
 from millrace import append_if_changed, at_version, changed_versions, latest, version_history
+from millrace.operators.versions import text_digest
 
 DDL = "name STRING, version INT, body STRING"
 
@@ -49,3 +52,18 @@ def test_old_texts_stay_put(spark, folder):
     plan = changed_versions(spark.read.parquet(old), spark.read.parquet(new), "name", "body")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "sha2" in text and "row_number(), 1, Partial" in text
+
+
+def test_a_kept_digest_spares_the_old_texts(spark, folder, rows):
+    path = folder()
+    history = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k INT, text STRING, version INT")
+    history.withColumn("digest", text_digest("text")).write.parquet(path)
+    incoming = spark.createDataFrame([(1, " a "), (2, "c"), (3, "d")], "k INT, text STRING")
+    kept = spark.read.parquet(path)
+    added = changed_versions(kept, incoming, "k", "text", digest="digest")
+    assert rows(added, "k", "text", "version") == [(2, "c", 2), (3, "d", 1)]
+    assert added.where("digest IS NULL").count() == 0
+    scans = re.findall(r"ReadSchema: (struct<[^>]*>)", added._jdf.queryExecution().executedPlan().toString())
+    assert scans and all("text" not in s for s in scans)
+    whole = append_if_changed(kept, incoming, "k", "text", digest="digest")
+    assert rows(changed_versions(whole, incoming, "k", "text", digest="digest")) == []
