@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.workspace import shared_folder
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+PACKAGE = Path(__file__).resolve().parents[1]
+_SHIPPED: set[str] = set()
+
 # The white space of all word rules, for Java's and Python's regular expressions alike.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
@@ -15,16 +24,37 @@ WORD = rf"[^{BLANK}]+"
 BROADCAST_ROWS = 50_000
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand the package's source to the executors, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED and PACKAGE.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="millrace-source-")) / "millrace.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                out.write(file, Path(PACKAGE.name) / file.relative_to(PACKAGE))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text, NULL as the empty one."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read from there: fixed rows, short lineage, known size."""
+    """``df`` written once to the shared folder and read from there: fixed rows, short lineage, known size.
+
+    The write's shuffle files go as soon as it is done, as nothing else can read them.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan, suffix_dedup
+from millrace.llm.common import ship
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return ship(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
