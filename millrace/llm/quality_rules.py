@@ -2,8 +2,9 @@
 
 The second is a log-likelihood ratio of two multinomials over hashed byte 4-grams: one counted on trusted documents
 (labelled good), one on the whole raw corpus. A text's score is the mean ratio per 4-gram, in whole millionths per
-4-gram, so sums are exact and the same in any order; a text below ``LEAST`` is rejected. Counts cover every whole
-text. What is sent to the tasks is one number per hash bucket, of which there are always ``BUCKETS``; no document's
+4-gram, so sums are exact and the same in any order; a text below ``LEAST`` is rejected. The raw counts cover every whole
+text. The trusted counts cover the whole texts of at most ``TRUSTED`` documents labelled good, the first in the order of a
+hash of their ids - a bounded set of ids, which is sent to the tasks, so that no text is shuffled to meet its label. What is sent to the tasks is one number per hash bucket, of which there are always ``BUCKETS``; no document's
 4-gram crosses into the next one.
 
 Defined cases: NULL text has no words, lines or 4-grams and fails the base rules; a text of fewer than four bytes
@@ -28,6 +29,7 @@ BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 4
 SMOOTHING = 1.0
+TRUSTED = 50_000
 # A text must score at least this many millionths per 4-gram: it is rejected where raw text explains it better by half a nat each.
 LEAST = -500_000
 LEAST_WORDS = 50
@@ -123,10 +125,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], names=["bucket", "raw", "trusted"])
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+def gram_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
     """The log-likelihood ratio of each bucket in millionths, from every whole text of ``docs``."""
-    trusted = labels.where("quality = 1").select(F.col("doc_id").alias("good_id"), F.lit(True).alias("trusted")).distinct()
-    flagged = docs.join(trusted, F.col("doc_id") == F.col("good_id"), "left").select("text", "trusted")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("good_id")).distinct()
+    trusted = staged(good.orderBy(F.xxhash64("good_id"), "good_id").limit(most).withColumn("trusted", F.lit(True)), "rules-trusted")
+    flagged = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("good_id"), "left").select("text", "trusted")
     counted = (flagged.mapInArrow(_count_grams, "bucket bigint, raw bigint, trusted bigint")
                .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")))
     counts = np.zeros((2, BUCKETS))
