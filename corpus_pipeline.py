@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules
-from millrace.llm.common import staged
+from millrace.llm.common import ship, staged
 from millrace.llm.queries import PIECE_MODEL
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or read unlike trusted text, go."""
-    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+    return quality_rules.keep_good(docs, ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    ship(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -40,6 +41,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix as token ids."""
+    ship(spark)
     coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
