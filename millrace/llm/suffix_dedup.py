@@ -8,10 +8,12 @@ Suffixes are sorted by sampling and induction, in the external sorts of Spark's
 2. *Sort the sample.* Tuples whose head occurs once have no common prefix of ``LENGTH`` with anything and leave.
 3. *Induce from whole runs.* Runs with equal heads and equal bytes (of all their windows) have equal windows throughout: all but
    the earliest are removed as they stand, and the earliest alone goes on.
-4. *Recur where runs differ.* Earliest runs that share a head and not their bytes are taken apart into windows, which
-   are sorted among themselves; all but the earliest of equal windows are removed.
+4. *Recur where runs differ.* Earliest runs that share a head and not their bytes are taken apart into blocks of
+   ``BLOCK`` neighbouring windows by their distance from the anchor. The bytes common to all windows of a block are its head,
+   and steps 2 and 3 are repeated: only blocks whose heads meet go on, equal ones are removed, and the rest is taken
+   apart into windows; all but the earliest of equal windows are removed.
 
-Comparisons use two 64-bit digests together (head and run, head and window). Repeated tuples are pre-aggregated before a shuffle; joins
+Comparisons use two digests together (64 bits of a head, 64 of a run or block or 32 of a window). Repeated tuples are pre-aggregated before a shuffle; joins
 back to rows can be split at hot keys. A task holds one chunk of texts, or its longest text, some forty times over.
 
 Defined cases: NULL text is empty; texts shorter than ``LENGTH`` lose nothing; bytes are those of UTF-8, so a cut may fall inside a
@@ -34,6 +36,7 @@ from millrace.llm.common import staged
 
 LENGTH = 100
 HEAD = 32
+BLOCK = 8
 _LAST = 2 ** 63 - 1
 
 _U = np.uint64
@@ -57,10 +60,10 @@ class Bytes:
 
 
 def runs(data: Bytes, length: int = LENGTH, head: int = HEAD) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows, head digest, run digest) of all runs, in order."""
+    """(text number, first window, windows, head digest, run digest, anchor less first window) of all runs, in order."""
     total = len(data.prefix) - 1
     if total < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, np.int64))
     bits = _U(total.bit_length())
     grams = data.digest(np.arange(total - head + 1), head, 41)
     key = ((grams >> bits) << bits) | np.arange(len(grams), dtype=_U)
@@ -73,13 +76,13 @@ def runs(data: Bytes, length: int = LENGTH, head: int = HEAD) -> tuple[np.ndarra
     owner = np.repeat(np.arange(len(data.sizes)), data.sizes + 1)[:len(anchor)]
     inside = np.flatnonzero(np.arange(len(anchor)) + length <= data.ends[owner])
     if not len(inside):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U, np.int64))
     breaks = np.flatnonzero((anchor[inside][1:] != anchor[inside][:-1]) | (inside[1:] != inside[:-1] + 1)) + 1
     first = inside[np.concatenate(([0], breaks))]
     last = inside[np.concatenate((breaks - 1, [len(inside) - 1]))]
     at = anchor[first]
     whole = data.digest(first, last + length - first, 42) ^ shingles.mixed((at - first).astype(_U), 43)
-    return owner[first], first - data.starts[owner[first]], last - first + 1, grams[at], whole
+    return owner[first], first - data.starts[owner[first]], last - first + 1, grams[at], whole, at - first
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -101,26 +104,39 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids = _texts(batch), _ids(batch)
         for a, b in shingles.chunks(texts):
-            owner, first, windows, head, whole = runs(Bytes(texts[a:b]))
+            owner, first, windows, head, whole, reach = runs(Bytes(texts[a:b]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[a:b][owner]),
-                 pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))], names=["head", "run", "id", "first", "windows"])
+                 pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(reach.astype(np.int16))],
+                names=["head", "run", "id", "first", "windows", "reach"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text, parts: list of first, windows, head) to one row per window of the parts."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (id, text, parts: list of first, windows, reach) to one row per block of each part, with digests of its windows."""
     for batch in batches:
         for number, text, parts in zip(batch.column("id").to_pylist(), _texts(batch), batch.column("parts").to_pylist()):
             data = Bytes([text])
-            many = np.array([p["windows"] for p in parts])
-            first = np.array([p["first"] for p in parts])
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            first, many, reach = (np.array([p[c] for p in parts], np.int64) for c in ("first", "windows", "reach"))
+            part = np.repeat(np.arange(len(parts)), many)
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[part]
             fits = at + LENGTH <= len(text)               # ids that repeat may have other texts
-            head = np.repeat(np.array([p["head"] for p in parts], np.int64), many)[fits]
-            at = at[fits]
+            part, at = part[fits], at[fits]
+            if not len(at):
+                continue
+            anchor = (first + reach)[part]
+            block = (anchor - at) // BLOCK
+            begins = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (block[1:] != block[:-1]))))
+            ends = np.concatenate((begins[1:], [len(at)]))
+            low, count, number_of = at[begins], ends - begins, block[begins]
+            head_at = anchor[begins] - number_of * BLOCK
+            head = data.digest(head_at, LENGTH - BLOCK + 1, 45) ^ shingles.mixed(number_of.astype(_U), 46)
+            whole = data.digest(low, LENGTH + count - 1, 47) ^ shingles.mixed((head_at - low + BLOCK).astype(_U), 48)
+            windows = (data.digest(at, LENGTH, 44) >> _U(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(head), pa.array(data.digest(at, LENGTH, 44).view(np.int64)), pa.array(np.full(len(at), number, np.int64)),
-                 pa.array(at.astype(np.int32))], names=["head", "window", "id", "at"])
+                [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(low), number, np.int64)),
+                 pa.array(low.astype(np.int32)), pa.array(count.astype(np.int16)),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate((begins, [len(at)])), pa.int32()), pa.array(windows))],
+                names=["head", "run", "id", "first", "windows", "digests"])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -153,36 +169,60 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, begin, end) of the removed stretches, which may overlap; NULL ids as the largest number."""
+def _classes(tuples: DataFrame) -> DataFrame:
+    """Tuples with equal heads and bytes as one: head, run, windows, the earliest one's id and first, and their number."""
+    grouped = tuples.groupBy("head", "run", "windows").agg(F.min(F.struct("id", "first")).alias("e"), F.count(F.lit(1)).alias("n"))
+    return staged(grouped.select("head", "run", "windows", F.col("e.id").alias("id1"), F.col("e.first").alias("first1"), "n"), "suffix-classes")
+
+
+def _later(tuples: DataFrame, classes: DataFrame) -> DataFrame:
+    """The stretches of all but the earliest tuple of each class."""
+    several = classes.where("n > 1").drop("n")
+    return (tuples.join(several, ["head", "run", "windows"]).where("id <> id1 OR first <> first1")
+            .select("id", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")))
+
+
+def _differing(tuples: DataFrame, classes: DataFrame) -> DataFrame:
+    """The earliest tuple of each class, where other classes have its head."""
+    heads = classes.groupBy("head").agg(F.count(F.lit(1)).alias("heads")).where("heads > 1").select("head")
+    open_classes = classes.join(heads, "head", "left_semi").drop("n")
+    return (tuples.join(open_classes, ["head", "run", "windows"])
+            .where("id = id1 AND first = first1").drop("id1", "first1"))
+
+
+def repeated_spans(docs: DataFrame) -> list[DataFrame]:
+    """(id, begin, end) of the removed stretches, which may overlap, level by level; NULL ids as the largest number."""
     texts = docs.select("id", "text")
     repeated = staged(texts.mapInArrow(_heads, "head bigint").groupBy("head").agg(F.count(F.lit(1)).alias("n"))
                       .where("n > 1").select("head"), "suffix-heads")
-    tuples = texts.mapInArrow(_runs, "head bigint, run bigint, id bigint, first int, windows int")
+    tuples = texts.mapInArrow(_runs, "head bigint, run bigint, id bigint, first int, windows smallint, reach smallint")
     tuples = staged(tuples.join(repeated.hint("shuffle_hash"), "head", "left_semi"), "suffix-runs")
-    classes = staged(tuples.groupBy("head", "run", "windows")
-                     .agg(F.min(F.struct("id", "first")).alias("e"), F.count(F.lit(1)).alias("n"))
-                     .select("head", "run", "windows", F.col("e.id").alias("id"), F.col("e.first").alias("first"), "n"), "suffix-classes")
-    several = classes.where("n > 1").select("head", "run", "windows", F.col("id").alias("id1"), F.col("first").alias("first1"))
-    copies = (tuples.join(several, ["head", "run", "windows"]).where("id <> id1 OR first <> first1")
-              .select("id", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")))
-    differing = classes.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    parts = (classes.join(differing, "head", "left_semi").groupBy("id")
-             .agg(F.collect_list(F.struct("first", "windows", "head")).alias("parts")))       # at most a text's runs
-    windows = staged(texts.join(parts, "id").select("id", "text", "parts")
-                     .mapInArrow(_windows, "head bigint, window bigint, id bigint, at int"), "suffix-windows")
-    earliest = (windows.groupBy("head", "window").agg(F.min(F.struct("id", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                .select("head", "window", F.col("e.id").alias("id1"), F.col("e.at").alias("at1")))
-    again = (windows.join(staged(earliest, "suffix-earliest"), ["head", "window"]).where("id <> id1 OR at <> at1")
+    classes = _classes(tuples)
+    spans = [staged(_later(tuples, classes), "suffix-spans")]
+    parts = (_differing(tuples, classes).groupBy("id")
+             .agg(F.collect_list(F.struct("first", "windows", "reach")).alias("parts")))          # at most a text's runs
+    blocks = texts.join(staged(parts, "suffix-parts"), "id").select("id", "text", "parts")
+    blocks = staged(blocks.mapInArrow(_blocks, "head bigint, run bigint, id bigint, first int, windows smallint, digests array<int>"), "suffix-blocks")
+    plain = blocks.drop("digests")
+    classes = _classes(plain)
+    spans.append(staged(_later(plain, classes), "suffix-spans"))
+    windows = staged(_differing(blocks, classes)
+                     .select("head", "id", "first", F.posexplode("digests").alias("k", "window"))
+                     .select("head", "window", "id", (F.col("first") + F.col("k")).alias("at")), "suffix-windows")
+    earliest = staged(windows.groupBy("head", "window").agg(F.min(F.struct("id", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                      .select("head", "window", F.col("e.id").alias("id1"), F.col("e.at").alias("at1")), "suffix-earliest")
+    again = (windows.join(earliest, ["head", "window"]).where("id <> id1 OR at <> at1")
              .select("id", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")))
-    return copies.unionByName(again)
+    return [*spans, staged(again, "suffix-spans")]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (what is left)."""
     number = F.col("doc_id").cast("bigint")
     texts = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    spans = (staged(repeated_spans(texts), "suffix-spans").groupBy("id")
-             .agg(F.collect_list(F.struct("begin", "end")).alias("spans")))                   # at most a text's windows
+    first, *more = repeated_spans(texts)
+    for other in more:
+        first = first.unionByName(other)
+    spans = staged(first.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "suffix-spans")    # at most a text's windows
     return (texts.join(spans, "id", "left").select("doc_id", "text", "spans")
             .mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"))
