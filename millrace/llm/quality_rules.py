@@ -146,7 +146,9 @@ def _judge(weights: np.ndarray):
             for a, b in shingles.chunks(texts):
                 data, starts, ends = _laid_out(texts[a:b])
                 grams = np.maximum(ends - starts - GRAM + 1, 0)
-                ratio = _sums(weights[gram_buckets(data)], starts, starts + grams)
+                gains = weights[gram_buckets(data)]
+                first = np.minimum(starts, len(gains))          # a short last text starts behind the last 4-gram
+                ratio = _sums(gains, first, first + grams)
                 counts = measure(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), *(pa.array(c) for c in counts.T), pa.array(ratio), pa.array(grams)],
