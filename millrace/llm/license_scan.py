@@ -156,11 +156,11 @@ def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) ->
         starts = np.cumsum(counts) - counts
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for k in hit:
-            place = int(prints[k, 0])
-            text = int(np.searchsorted(starts + counts, place, "right"))
+            text = int(np.searchsorted(starts + counts, prints[k, 0], "right"))
+            place = int(prints[k, 0]) - int(starts[text])
             for entry in range(low[k], np.searchsorted(index.hashes, prints[k, 1], "right")):
                 template, position = index.entries[entry]
-                hits.setdefault(text, []).append((int(template), place - int(starts[text]) - int(position), place))
+                hits.setdefault(text, []).append((int(template), place - int(position), place))
         for text, own in hits.items():
             out[a + text] = matches(texts[a + text], words[starts[text]:starts[text] + counts[text]], own, index, least)
     return out
