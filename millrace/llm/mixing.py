@@ -43,8 +43,9 @@ def _units(docs: DataFrame) -> DataFrame:
 def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, share: float = 1.0) -> DataFrame:
     """One row per source: source, source_no, weight, source_size, target, level (the finish time of the cut).
 
-    The level is found in one pass over the sources by how early each one runs dry: a source is at its limit
-    as long as the level that the rest would reach without it lies above the point where it runs dry.
+    The level is found in one pass over the sources by how early each one runs dry. A source is at its limit if the
+    level that it and the later ones would reach lies above the point where it runs dry; the first for which that is
+    not so has the level, which is the greatest of those that follow.
     """
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -57,7 +58,7 @@ def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
             .withColumn("budget", F.sum("source_size").over(all_sources) * share)
             .withColumn("dry_before", F.sum(F.col("source_size") * passes).over(dry) - F.col("source_size") * passes)
             .withColumn("weight_left", F.sum("weight").over(all_sources) - F.sum("weight").over(dry) + F.col("weight"))
-            .withColumn("level", F.min(cut).over(all_sources))
+            .withColumn("level", F.max(cut).over(all_sources))
             .withColumn("target", F.when(F.col("level").isNull(), (F.col("source_size") * passes).cast("double"))
                         .otherwise(F.least((F.col("source_size") * passes).cast("double"), F.col("level") * F.col("weight"))))
             .select("source", "source_no", "weight", "source_size", "budget", "level", "target"))

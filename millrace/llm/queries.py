@@ -102,7 +102,7 @@ dry AS (
          (sum(weight) OVER () - sum(weight) OVER o + weight)::DOUBLE AS weight_left
   FROM weighed WINDOW o AS (ORDER BY source_size * 3 / weight, source_no)),
 levels AS (
-  SELECT *, min(CASE WHEN (budget - dry_before) / weight_left <= source_size * 3 / weight
+  SELECT *, max(CASE WHEN (budget - dry_before) / weight_left <= source_size * 3 / weight
                      THEN (budget - dry_before) / weight_left END) OVER () AS level FROM dry),
 targets AS (
   SELECT source, source_no, weight, source_size, budget,
