@@ -8,7 +8,7 @@ hash of their ids - a bounded set of ids, which is sent to the tasks, so that no
 4-gram crosses into the next one.
 
 Defined cases: NULL text has no words, lines or 4-grams and fails the base rules; a text of fewer than four bytes
-scores 0; without any trusted document, trusted and raw counts differ in size only and all scores are about 0; a document is trusted if any row
+scores 0; without any trusted document all scores are 0; a document is trusted if any row
 of ``labels`` says so, whatever the others say, NULLs do not; rows that repeat are judged alike; an empty table gives an
 empty result. Other columns are not looked at. A task's memory is some twenty times its longest text.
 """
@@ -28,7 +28,7 @@ from millrace.llm.common import same, staged
 BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 4
-SMOOTHING = 1.0
+SMOOTHING = 10.0             # pseudo-count of every bucket, so that a rare 4-gram says little either way
 TRUSTED = 50_000
 # A text must score at least this many millionths per 4-gram: it is rejected where raw text explains it better by half a nat each.
 LEAST = -500_000
@@ -135,8 +135,11 @@ def gram_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.
     counts = np.zeros((2, BUCKETS))
     for row in counted.collect():                      # at most BUCKETS rows
         counts[:, row.bucket] = row.trusted, row.raw
-    share = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-    return np.rint(1e6 * (share[0] - share[1])).astype(np.int64)
+    if not counts[0].any():
+        return np.zeros(BUCKETS, np.int64)
+    # Trusted counts at the corpus' scale, so that the same pseudo-count draws both multinomials to the same point.
+    scaled = counts[0] * (counts[1].sum() / counts[0].sum())
+    return np.rint(1e6 * (np.log(scaled + SMOOTHING) - np.log(counts[1] + SMOOTHING))).astype(np.int64)
 
 
 def _judge(weights: np.ndarray):
