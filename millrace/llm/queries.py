@@ -133,6 +133,59 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+_SUFFIX_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM d)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+marked AS (
+  SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100
+                           OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS fresh FROM later),
+numbered AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(s) AS b, max(s) + 100 AS e FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT spans.doc_id, b, e, substr(h, 2 * lag(e, 1, 0) OVER o + 1, 2 * (b - lag(e, 1, 0) OVER o)) AS before,
+         substr(h, 2 * e + 1) AS rest, row_number() OVER (PARTITION BY spans.doc_id ORDER BY b DESC) = 1 AS is_last
+  FROM spans JOIN d USING (doc_id) WINDOW o AS (PARTITION BY spans.doc_id ORDER BY b)),
+cut AS (
+  SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(before || CASE WHEN is_last THEN rest ELSE '' END, '' ORDER BY b) AS left_over
+  FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END) AS s
+  FROM words),
+keyed AS (SELECT doc_id, s, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS k FROM sets),
+reps AS (SELECT min(doc_id) AS doc_id, any_value(s) AS s, any_value(n) AS n FROM keyed WHERE n > 0 GROUP BY k),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM reps),
+close AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM close UNION SELECT b, a FROM close),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM reps
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+tops AS (SELECT doc_id, min(other) AS top FROM reach GROUP BY doc_id),
+named AS (
+  SELECT k.doc_id, k.n, CASE WHEN k.n = 0 THEN k.doc_id ELSE min(k.doc_id) OVER (PARTITION BY k.k) END AS rep FROM keyed k)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT named.doc_id, named.n, coalesce(tops.top, named.rep) AS component_id
+      FROM named LEFT JOIN tops ON named.n > 0 AND tops.doc_id = named.rep)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
@@ -146,7 +199,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+# The likelihood ratio of op7 has SQL too, but its 4-grams take minutes on small tables; tests compare it with brute force.
 SQL: dict[str, str] = {
+    "op3_suffix_dedup": _SUFFIX_SQL,
     "op6_mix_sources": _MIX_SQL,
     "op9_exact_dedup": _EXACT_SQL,
+    "op10_minhash_near_dedup": _NEAR_SQL,
 }
