@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.workspace import no_rows, shared_folder
+from millrace.functions.workspace import shared_folder
 from millrace.llm.common import BLANK, same, staged, text_of
 
 INDEX = T.StructType([T.StructField("text_sha256", T.StringType()),
@@ -27,10 +27,11 @@ INDEX = T.StructType([T.StructField("text_sha256", T.StringType()),
 
 
 def open_index(spark: SparkSession, table: str, location: str, buckets: int) -> str:
-    """Create the index table at ``location``, or register the one that is there."""
-    if not spark.catalog.tableExists(table):
-        (no_rows(spark, INDEX).write.mode("append").bucketBy(buckets, "text_sha256").sortBy("text_sha256")
-         .option("path", location).saveAsTable(table))
+    """Create the index table at ``location``, or register the one whose files are there (with the same buckets)."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX.fields)
+    place = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (text_sha256) "
+              f"SORTED BY (text_sha256) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
     return table
 
 

@@ -59,6 +59,13 @@ def test_exact_index_persists(spark, docs_of):
     again = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.verdicts(docs_of([(1, "ab"), (2, "d"), (3, "d")]), index, buckets).collect()}
     assert again == {1: (5, False), 2: (2, True), 3: (2, False)}
     assert spark.table(index).count() == 3
+    location = spark.sql(f"DESCRIBE TABLE EXTENDED {index}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {index}")                            # as in another session: the files are all there is
+    exact_dedup.open_index(spark, index, location, buckets)
+    later = exact_dedup.verdicts(docs_of([(9, "c c"), (8, "c")]), index, buckets).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in later} == {(8, 6, False), (9, 9, True)}
+    joined = spark.createDataFrame([("x",)], "text_sha256 STRING").hint("merge").join(spark.table(index), "text_sha256", "left_anti")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1   # not of the index
 
 
 def test_exact_hot_text(docs_of):
