@@ -145,11 +145,11 @@ def matches(text: str, words: np.ndarray, hits: list[tuple[int, int, int]], inde
             for matched, share, name, first, last in sorted(kept, key=lambda k: k[3])]
 
 
-def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) -> list[list[dict]]:
-    out: list[list[dict]] = [[] for _ in texts]
-    coded = [t.encode() for t in texts]
-    for a, b in shingles.chunks(coded):
-        words, counts = shingles.word_hashes(coded[a:b], blanks=shingles.PLAIN)
+def scan_texts(column: pa.Array, index: Index, least: float = LEAST_COVERAGE) -> list[list[dict]]:
+    """The matches of each text of a column."""
+    out: list[list[dict]] = [[] for _ in range(len(column))]
+    for a, _, texts in shingles.text_chunks(column):
+        words, counts = shingles.word_hashes(texts, blanks=shingles.PLAIN)
         prints = fingerprints(words, counts)
         low = np.searchsorted(index.hashes, prints[:, 1], "left")
         hit = np.flatnonzero((low < len(index.hashes)) & (index.hashes[np.minimum(low, len(index.hashes) - 1)] == prints[:, 1]))
@@ -162,7 +162,7 @@ def scan_texts(texts: list[str], index: Index, least: float = LEAST_COVERAGE) ->
                 template, position = index.entries[entry]
                 hits.setdefault(text, []).append((int(template), place - int(position), place))
         for text, own in hits.items():
-            out[a + text] = matches(texts[a + text], words[starts[text]:starts[text] + counts[text]], own, index, least)
+            out[a + text] = matches(texts[text].decode(), words[starts[text]:starts[text] + counts[text]], own, index, least)
     return out
 
 
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = NOTICES, least: float = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan_texts([t or "" for t in batch.column(1).to_pylist()], index, least)
+            found = scan_texts(batch.column(1), index, least)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

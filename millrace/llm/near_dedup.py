@@ -81,9 +81,9 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for start, end in shingles.chunks(texts):
-                values, counts = shingles.shingle_hashes(texts[start:end])
+            ids = batch.column(0)
+            for start, end, texts in shingles.text_chunks(batch.column(1)):
+                values, counts = shingles.shingle_hashes(texts)
                 keys = band_keys(sketches(values, counts, bands * rows), rows)
                 ends = np.cumsum(counts)
                 sums = np.concatenate(([np.uint64(0)], np.cumsum(shingles.mixed(values, 501))))
@@ -102,9 +102,9 @@ def _sign(bands: int, rows: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for start, end in shingles.chunks(texts):
-            values, counts = shingles.shingle_hashes(texts[start:end])
+        ids = batch.column(0)
+        for start, end, texts in shingles.text_chunks(batch.column(1)):
+            values, counts = shingles.shingle_hashes(texts)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(start, end - start),
@@ -123,11 +123,11 @@ def _against_centre(percent: int):
         centre, own = None, None
         for batch in batches:
             a, b = [], []
-            for at, member, hashes in zip(batch.column("centre").to_pylist(), batch.column("member").to_pylist(),
-                                          batch.column("hashes").to_pylist()):
-                values = np.frombuffer(hashes, np.uint64)
+            ends, data = shingles.stretches(batch.column("hashes"))
+            for k, (at, member) in enumerate(zip(batch.column("centre").to_pylist(), batch.column("member").to_pylist())):
+                values = np.frombuffer(data[ends[k]:ends[k + 1]], np.uint64)
                 if member is None:
-                    centre, own = at, values
+                    centre, own = at, values.copy()
                 elif centre == at:
                     found = np.searchsorted(own, values)
                     found[found == len(own)] = 0
@@ -181,12 +181,14 @@ def _in_cells(percent: int):
             return pa.RecordBatch.from_pandas(pd.DataFrame(pairs, columns=["a", "b"], dtype="int64"), preserve_index=False)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "component", "hashes"))):
+            ends, data = shingles.stretches(batch.column("hashes"))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "node", "component")))
+            for k, row in enumerate(rows):
                 if row[:3] != cell:
                     if cell is not None:
                         yield links()
                     cell, left, right = row[:3], [], []
-                (right if row[3] else left).append(row[4:])
+                (right if row[3] else left).append((*row[4:], bytes(data[ends[k]:ends[k + 1]])))
         if cell is not None:
             yield links()
 

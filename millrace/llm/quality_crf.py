@@ -189,9 +189,8 @@ def fit(features: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [b"\n".join((t or "").encode().split(b"\n")[:LINES]) for t in batch.column(0).to_pylist()]
-        for a, b in shingles.chunks(texts):
-            features, counts, sizes = line_features(texts[a:b])
+        for a, b, texts in shingles.text_chunks(batch.column(0)):
+            features, counts, sizes = line_features([b"\n".join(t.split(b"\n")[:LINES]) for t in texts])
             cuts = np.cumsum(counts)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(a, b - a),
@@ -225,9 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 def _score(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in shingles.chunks(texts):
-                features, counts, sizes = line_features(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in shingles.text_chunks(batch.column(1)):
+                features, counts, sizes = line_features(texts)
                 good, _, _ = field.marginals(features, counts)
                 share = document_share(good, counts, sizes)
                 score = 1 / (1 + np.exp(-np.clip(field.slope * share + field.shift, -500, 500)))

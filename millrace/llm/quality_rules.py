@@ -64,17 +64,15 @@ def gram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def _gram_counts(texts: list[bytes]) -> np.ndarray:
-    counts = np.zeros(BUCKETS + 1, np.int64)
-    for a, b in shingles.chunks(texts):
-        data, starts, ends = _laid_out(texts[a:b])
-        at = gram_buckets(data).astype(np.int64)
-        across = (ends[:, None] - np.arange(GRAM)[None, :]).ravel()       # starts whose 4 bytes reach past the end
-        at[np.unique(across[(across >= 0) & (across < len(at))])] = BUCKETS
-        short = np.flatnonzero(ends - starts < GRAM)
-        for i in short:
-            at[starts[i]:ends[i] + 1] = BUCKETS
-        counts += np.bincount(at, minlength=BUCKETS + 1)
-    return counts[:BUCKETS]
+    if not texts:
+        return np.zeros(BUCKETS, np.int64)
+    data, starts, ends = _laid_out(texts)
+    at = gram_buckets(data).astype(np.int64)
+    across = (ends[:, None] - np.arange(GRAM)[None, :]).ravel()           # starts whose 4 bytes reach past the end
+    at[np.unique(across[(across >= 0) & (across < len(at))])] = BUCKETS
+    for i in np.flatnonzero(ends - starts < GRAM):
+        at[starts[i]:ends[i] + 1] = BUCKETS
+    return np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS]
 
 
 def repeated_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -115,12 +113,11 @@ def measure(texts: list[bytes]) -> np.ndarray:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for wanted, into in ((True, trusted), (False, None)):
-            counts = _gram_counts([t.encode() for t, f in zip(texts, flags) if t and bool(f) == wanted])
-            raw += counts
-            if into is not None:
-                into += counts
+        flags = batch.column(1).to_pylist()
+        for a, b, texts in shingles.text_chunks(batch.column(0)):
+            good = _gram_counts([t for t, f in zip(texts, flags[a:b]) if f])
+            raw += good + _gram_counts([t for t, f in zip(texts, flags[a:b]) if not f])
+            trusted += good
     some = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], names=["bucket", "raw", "trusted"])
 
@@ -145,14 +142,14 @@ def gram_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.
 def _judge(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in shingles.chunks(texts):
-                data, starts, ends = _laid_out(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in shingles.text_chunks(batch.column(1)):
+                data, starts, ends = _laid_out(texts)
                 grams = np.maximum(ends - starts - GRAM + 1, 0)
                 gains = weights[gram_buckets(data)]
                 first = np.minimum(starts, len(gains))          # a short last text starts behind the last 4-gram
                 ratio = _sums(gains, first, first + grams)
-                counts = measure(texts[a:b])
+                counts = measure(texts)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), *(pa.array(c) for c in counts.T), pa.array(ratio), pa.array(grams)],
                     names=["doc_id", *_COUNTS, "ratio_sum", "n_grams"])

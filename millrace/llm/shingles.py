@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WIDTH = 5
 # Bytes of text that are hashed together; a longer text is a chunk of its own.
@@ -53,16 +54,26 @@ def power_table(n: int, base: int) -> np.ndarray:
     return table[:n]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about CHUNK bytes each."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def stretches(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where the values of a text or binary column begin and end, and the bytes they lie in; nothing is copied."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, ends, data = column.buffers()
+    kind = np.int64 if wide else np.int32
+    if ends is None or not len(column):
+        return np.zeros(len(column) + 1, kind), memoryview(b"")
+    ends = np.frombuffer(ends, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize)
+    return ends, memoryview(data) if data is not None else memoryview(b"")
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A text column in ranges of about CHUNK bytes, as UTF-8; NULL is empty. Only one range is copied at a time."""
+    ends, data = stretches(column)
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    start, n = 0, len(column)
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK, "right")) - 1)
+        yield start, end, [b"" if null[k] else bytes(data[ends[k]:ends[k + 1]]) for k in range(start, end)]
+        start = end
 
 
 # Letters, digits and everything beyond ASCII are words, all else is between them.

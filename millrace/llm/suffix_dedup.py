@@ -85,26 +85,21 @@ def runs(data: Bytes, length: int = LENGTH, head: int = HEAD) -> tuple[np.ndarra
     return owner[first], first - data.starts[owner[first]], last - first + 1, grams[at], whole, at - first
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [(t or "").encode() for t in batch.column(column).to_pylist()]
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("id").to_numpy(zero_copy_only=False)
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (text for _, _, texts in shingles.text_chunks(batch.column("text")) for text in texts)
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _texts(batch)
-        for a, b in shingles.chunks(texts):
-            yield pa.RecordBatch.from_arrays([pa.array(runs(Bytes(texts[a:b]))[3].view(np.int64))], names=["head"])
+        for _, _, texts in shingles.text_chunks(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(runs(Bytes(texts))[3].view(np.int64))], names=["head"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ids = _texts(batch), _ids(batch)
-        for a, b in shingles.chunks(texts):
-            owner, first, windows, head, whole, reach = runs(Bytes(texts[a:b]))
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for a, b, texts in shingles.text_chunks(batch.column("text")):
+            owner, first, windows, head, whole, reach = runs(Bytes(texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[a:b][owner]),
                  pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(reach.astype(np.int16))],

@@ -5,6 +5,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import EDGES, LONG, prose
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def test_matches_equal_unbanded_alignment():
             at = draw.randrange(2, len(words) - 2)
             words[at:at + 1] = draw.choice([[], ["changed"], [words[at], "added"]])
         text = f"{prose(number, 30)} {' '.join(words)} {prose(number + 90, 30)}"
-        found = license_scan.scan_texts([text], index)[0]
+        found = license_scan.scan_texts(pa.array([text]), index)[0]
         plain = license_scan._WORDS.findall(text.lower())
         scores = {n: local_alignment(license_scan._WORDS.findall(NOTICES[n].lower()), plain) for n in NOTICES}
         match = next(m for m in found if m["license"] == name)
