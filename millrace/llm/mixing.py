@@ -89,8 +89,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASS
     copies = sent.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     finish = (F.col("pass") * F.col("source_size") + F.col("sent_before")).cast("double") / F.col("weight")
     copies = copies.withColumn("finish", finish)
-    # Slices of equal width up to the cut; what finishes far beyond it shares the last one.
-    at = F.when(F.col("level") > 0, F.least(F.floor(F.col("finish") / F.col("level") * slices), F.lit(2 * slices))).otherwise(F.lit(0))
+    # Slices of equal width up to twice the cut, of growing width beyond; either way later finishes have later slices.
+    far = F.col("finish") / F.col("level")
+    at = F.when(F.col("level") > 0, F.when(far <= 2, F.floor(far * slices)).otherwise(2 * slices + 1 + F.floor(F.log2(far / 2) * slices))
+                ).otherwise(F.lit(0))
     copies = copies.withColumn("finish_slice", at.cast("bigint"))
     order = ["finish", "source_no", "shuffled", "doc_id", "size", "pass"]
     lead = ["doc_id", "source", "source_no", "size", "rows", "words", "source_size", "budget", "pass", "finish", "shuffled"]
