@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 MARK = "▁"
 # Cuts up to this many characters are looked up; so many of them, and so many pairs, are remembered by one worker.
 REMEMBERED_CHARS = 48
-REMEMBERED = 1 << 18
-REMEMBERED_PAIRS = 1 << 19
+REMEMBERED = 1 << 17
+REMEMBERED_PAIRS = 1 << 18
 # Kinds of pieces and of models in the file format, and what an unknown character costs a unigram model.
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
