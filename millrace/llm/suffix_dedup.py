@@ -13,7 +13,8 @@ Suffixes are sorted by sampling and induction, in the external sorts of Spark's
    and steps 2 and 3 are repeated: only blocks whose heads meet go on, equal ones are removed, and the rest is taken
    apart into windows; all but the earliest of equal windows are removed.
 
-Comparisons use two digests together (64 bits of a head, 64 of a run or block or 32 of a window). Repeated tuples are pre-aggregated before a shuffle; joins
+Comparisons use two numbers together: 64 bits of a head's digest, and 64 of a run's or block's. Of a window, all bytes outside its block's head
+and its place are kept as they are, so windows under one head are never confused. Repeated tuples are pre-aggregated before a shuffle; joins
 back to rows can be split at hot keys. A task holds one chunk of texts, or its longest text, some forty times over.
 
 Defined cases: NULL text is empty; texts shorter than ``LENGTH`` lose nothing; bytes are those of UTF-8, so a cut may fall inside a
@@ -36,7 +37,7 @@ from millrace.llm.common import staged
 
 LENGTH = 100
 HEAD = 32
-BLOCK = 8
+BLOCK = 8                    # at most 8: a window's bytes outside its block's head, and its place, are one 64-bit number
 _LAST = 2 ** 63 - 1
 
 _U = np.uint64
@@ -85,6 +86,15 @@ def runs(data: Bytes, length: int = LENGTH, head: int = HEAD) -> tuple[np.ndarra
     return owner[first], first - data.starts[owner[first]], last - first + 1, grams[at], whole, at - first
 
 
+def window_rests(text: bytes, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The ``BLOCK - 1`` bytes of each window at ``at`` that its block's head leaves out, ``before`` of them ahead of the head."""
+    data = np.frombuffer(text, np.uint8)
+    rest = before.astype(_U)
+    for k in range(BLOCK - 1):
+        rest = (rest << _U(8)) | data[at + k + np.where(k < before, 0, LENGTH - BLOCK + 1)].astype(_U)
+    return rest.view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (text for _, _, texts in shingles.text_chunks(batch.column("text")) for text in texts)
 
@@ -107,7 +117,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text, parts: list of first, windows, reach) to one row per block of each part, with digests of its windows."""
+    """Rows of (id, text, parts: list of first, windows, reach) to one row per block of each part, with the rests of its windows."""
     for batch in batches:
         for number, text, parts in zip(batch.column("id").to_pylist(), _texts(batch), batch.column("parts").to_pylist()):
             data = Bytes([text])
@@ -126,12 +136,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head_at = anchor[begins] - number_of * BLOCK
             head = data.digest(head_at, LENGTH - BLOCK + 1, 45) ^ shingles.mixed(number_of.astype(_U), 46)
             whole = data.digest(low, LENGTH + count - 1, 47) ^ shingles.mixed((head_at - low + BLOCK).astype(_U), 48)
-            windows = (data.digest(at, LENGTH, 44) >> _U(32)).astype(np.uint32).view(np.int32)
+            windows = window_rests(text, at, (anchor - at) % BLOCK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(low), number, np.int64)),
                  pa.array(low.astype(np.int32)), pa.array(count.astype(np.int16)),
                  pa.ListArray.from_arrays(pa.array(np.concatenate((begins, [len(at)])), pa.int32()), pa.array(windows))],
-                names=["head", "run", "id", "first", "windows", "digests"])
+                names=["head", "run", "id", "first", "windows", "rests"])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -197,12 +207,12 @@ def repeated_spans(docs: DataFrame) -> list[DataFrame]:
     parts = (_differing(tuples, classes).groupBy("id")
              .agg(F.collect_list(F.struct("first", "windows", "reach")).alias("parts")))          # at most a text's runs
     blocks = texts.join(staged(parts, "suffix-parts"), "id").select("id", "text", "parts")
-    blocks = staged(blocks.mapInArrow(_blocks, "head bigint, run bigint, id bigint, first int, windows smallint, digests array<int>"), "suffix-blocks")
-    plain = blocks.drop("digests")
+    blocks = staged(blocks.mapInArrow(_blocks, "head bigint, run bigint, id bigint, first int, windows smallint, rests array<bigint>"), "suffix-blocks")
+    plain = blocks.drop("rests")
     classes = _classes(plain)
     spans.append(staged(_later(plain, classes), "suffix-spans"))
     windows = staged(_differing(blocks, classes)
-                     .select("head", "id", "first", F.posexplode("digests").alias("k", "window"))
+                     .select("head", "id", "first", F.posexplode("rests").alias("k", "window"))
                      .select("head", "window", "id", (F.col("first") + F.col("k")).alias("at")), "suffix-windows")
     earliest = staged(windows.groupBy("head", "window").agg(F.min(F.struct("id", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
                       .select("head", "window", F.col("e.id").alias("id1"), F.col("e.at").alias("at1")), "suffix-earliest")
