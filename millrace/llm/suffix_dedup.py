@@ -18,8 +18,9 @@ and its place are kept as they are, so windows under one head are never confused
 back to rows can be split at hot keys. A task holds one chunk of texts, or its longest text, some forty times over.
 
 Defined cases: NULL text is empty; texts shorter than ``LENGTH`` lose nothing; bytes are those of UTF-8, so a cut may fall inside a
-character; a NULL id comes after all others; rows that repeat an id are one place, so none of them is earlier than the
-other, and what is removed in one is removed in all; an empty table gives an empty result; other columns are not looked at.
+character; a row is a place of its own: places are ordered by id, NULL ids after all others, and by a digest of the text where ids are NULL or
+repeat; only rows that repeat both an id and its text are one place, so none of them is earlier than the other;
+an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles
-from millrace.llm.common import staged
+from millrace.llm.common import small, staged
 
 LENGTH = 100
 HEAD = 32
 BLOCK = 8                    # at most 8: a window's bytes outside its block's head, and its place, are one 64-bit number
 _LAST = 2 ** 63 - 1
+_LOOSE = 2 ** 62                # ties from here on are those of NULL ids
 
 _U = np.uint64
 
@@ -107,27 +109,23 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
         for a, b, texts in shingles.text_chunks(batch.column("text")):
             owner, first, windows, head, whole, reach = runs(Bytes(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[a:b][owner]),
+                [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[a:b][owner]), pa.array(ties[a:b][owner]),
                  pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16)), pa.array(reach.astype(np.int16))],
-                names=["head", "run", "id", "first", "windows", "reach"])
+                names=["head", "run", "id", "tie", "first", "windows", "reach"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text, parts: list of first, windows, reach) to one row per block of each part, with the rests of its windows."""
+    """Rows of (id, tie, text, parts: list of first, windows, reach) to one row per block of each part, with the rests of its windows."""
     for batch in batches:
-        for number, text, parts in zip(batch.column("id").to_pylist(), _texts(batch), batch.column("parts").to_pylist()):
+        for number, tie, text, parts in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), _texts(batch), batch.column("parts").to_pylist()):
             data = Bytes([text])
             first, many, reach = (np.array([p[c] for p in parts], np.int64) for c in ("first", "windows", "reach"))
             part = np.repeat(np.arange(len(parts)), many)
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[part]
-            fits = at + LENGTH <= len(text)               # ids that repeat may have other texts
-            part, at = part[fits], at[fits]
-            if not len(at):
-                continue
             anchor = (first + reach)[part]
             block = (anchor - at) // BLOCK
             begins = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (block[1:] != block[:-1]))))
@@ -138,10 +136,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = data.digest(low, LENGTH + count - 1, 47) ^ shingles.mixed((head_at - low + BLOCK).astype(_U), 48)
             windows = window_rests(text, at, (anchor - at) % BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(low), number, np.int64)),
+                [pa.array(head.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(low), number, np.int64)), pa.array(np.full(len(low), tie, np.int64)),
                  pa.array(low.astype(np.int32)), pa.array(count.astype(np.int16)),
                  pa.ListArray.from_arrays(pa.array(np.concatenate((begins, [len(at)])), pa.int32()), pa.array(windows))],
-                names=["head", "run", "id", "first", "windows", "rests"])
+                names=["head", "run", "id", "tie", "first", "windows", "rests"])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -175,16 +173,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(tuples: DataFrame) -> DataFrame:
-    """Tuples with equal heads and bytes as one: head, run, windows, the earliest one's id and first, and their number."""
-    grouped = tuples.groupBy("head", "run", "windows").agg(F.min(F.struct("id", "first")).alias("e"), F.count(F.lit(1)).alias("n"))
-    return staged(grouped.select("head", "run", "windows", F.col("e.id").alias("id1"), F.col("e.first").alias("first1"), "n"), "suffix-classes")
+    """Tuples with equal heads and bytes as one: head, run, windows, the earliest one's id, tie and first, and their number."""
+    grouped = tuples.groupBy("head", "run", "windows").agg(F.min(F.struct("id", "tie", "first")).alias("e"), F.count(F.lit(1)).alias("n"))
+    return staged(grouped.select("head", "run", "windows", F.col("e.id").alias("id1"), F.col("e.tie").alias("tie1"),
+                                 F.col("e.first").alias("first1"), "n"), "suffix-classes")
 
 
 def _later(tuples: DataFrame, classes: DataFrame) -> DataFrame:
     """The stretches of all but the earliest tuple of each class."""
     several = classes.where("n > 1").drop("n")
-    return (tuples.join(several, ["head", "run", "windows"]).where("id <> id1 OR first <> first1")
-            .select("id", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")))
+    return (tuples.join(several, ["head", "run", "windows"]).where("id <> id1 OR tie <> tie1 OR first <> first1")
+            .select("id", "tie", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("end")))
 
 
 def _differing(tuples: DataFrame, classes: DataFrame) -> DataFrame:
@@ -192,42 +191,65 @@ def _differing(tuples: DataFrame, classes: DataFrame) -> DataFrame:
     heads = classes.groupBy("head").agg(F.count(F.lit(1)).alias("heads")).where("heads > 1").select("head")
     open_classes = classes.join(heads, "head", "left_semi").drop("n")
     return (tuples.join(open_classes, ["head", "run", "windows"])
-            .where("id = id1 AND first = first1").drop("id1", "first1"))
+            .where("id = id1 AND tie = tie1 AND first = first1").drop("id1", "tie1", "first1"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, id, tie, text: ``id`` and ``tie`` order the rows and tell them apart, but for those that repeat both id and text.
+
+    Where ids are there and differ, ``tie`` is 0. Rows without an id are numbered in the order of their texts, and staged, so
+    that a number stays with its row.
+    """
+    number = F.col("doc_id").cast("bigint")
+    texts = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    known, loose = texts.where("doc_id IS NOT NULL"), texts.where("doc_id IS NULL")
+    digest = F.xxhash64("text").bitwiseAND(F.lit(_LOOSE - 1))
+    again = staged(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "suffix-again")
+    tie = F.lit(0).cast("bigint")
+    if not again.isEmpty():
+        known, tie = known.join(small(again), "doc_id", "left"), F.when(F.col("again"), digest).otherwise(tie)
+    known = known.select("doc_id", "id", tie.alias("tie"), "text")
+    if loose.select("doc_id").isEmpty():
+        return known
+    loose = loose.orderBy(F.xxhash64("text"), "text").withColumn("tie", F.monotonically_increasing_id() + F.lit(_LOOSE))
+    return known.unionByName(staged(loose.select("doc_id", "id", "tie", "text"), "suffix-loose"))
 
 
 def repeated_spans(docs: DataFrame) -> list[DataFrame]:
-    """(id, begin, end) of the removed stretches, which may overlap, level by level; NULL ids as the largest number."""
-    texts = docs.select("id", "text")
+    """(id, tie, begin, end) of the removed stretches of :func:`placed` rows; stretches may overlap, level by level."""
+    texts = docs.select("id", "tie", "text")
     repeated = staged(texts.mapInArrow(_heads, "head bigint").groupBy("head").agg(F.count(F.lit(1)).alias("n"))
                       .where("n > 1").select("head"), "suffix-heads")
-    tuples = texts.mapInArrow(_runs, "head bigint, run bigint, id bigint, first int, windows smallint, reach smallint")
+    tuples = texts.mapInArrow(_runs, "head bigint, run bigint, id bigint, tie bigint, first int, windows smallint, reach smallint")
     tuples = staged(tuples.join(repeated.hint("shuffle_hash"), "head", "left_semi"), "suffix-runs")
     classes = _classes(tuples)
     spans = [staged(_later(tuples, classes), "suffix-spans")]
-    parts = (_differing(tuples, classes).groupBy("id")
-             .agg(F.collect_list(F.struct("first", "windows", "reach")).alias("parts")))          # at most a text's runs
-    blocks = texts.join(staged(parts, "suffix-parts"), "id").select("id", "text", "parts")
-    blocks = staged(blocks.mapInArrow(_blocks, "head bigint, run bigint, id bigint, first int, windows smallint, rests array<bigint>"), "suffix-blocks")
+    # Rows that repeat id and text give the same tuples, of which one is enough.
+    parts = (_differing(tuples, classes).groupBy("id", "tie")
+             .agg(F.collect_set(F.struct("first", "windows", "reach")).alias("parts")))           # at most a text's runs
+    blocks = texts.join(staged(parts, "suffix-parts"), ["id", "tie"]).select("id", "tie", "text", "parts")
+    blocks = staged(blocks.mapInArrow(_blocks, "head bigint, run bigint, id bigint, tie bigint, first int, windows smallint, rests array<bigint>"),
+                    "suffix-blocks")
     plain = blocks.drop("rests")
     classes = _classes(plain)
     spans.append(staged(_later(plain, classes), "suffix-spans"))
     windows = staged(_differing(blocks, classes)
-                     .select("head", "id", "first", F.posexplode("rests").alias("k", "window"))
-                     .select("head", "window", "id", (F.col("first") + F.col("k")).alias("at")), "suffix-windows")
-    earliest = staged(windows.groupBy("head", "window").agg(F.min(F.struct("id", "at")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                      .select("head", "window", F.col("e.id").alias("id1"), F.col("e.at").alias("at1")), "suffix-earliest")
-    again = (windows.join(earliest, ["head", "window"]).where("id <> id1 OR at <> at1")
-             .select("id", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")))
+                     .select("head", "id", "tie", "first", F.posexplode("rests").alias("k", "window"))
+                     .select("head", "window", "id", "tie", (F.col("first") + F.col("k")).alias("at")), "suffix-windows")
+    earliest = staged(windows.groupBy("head", "window").agg(F.min(F.struct("id", "tie", "at")).alias("e"), F.count(F.lit(1)).alias("n"))
+                      .where("n > 1").select("head", "window", F.col("e.id").alias("id1"), F.col("e.tie").alias("tie1"), F.col("e.at").alias("at1")),
+                      "suffix-earliest")
+    again = (windows.join(earliest, ["head", "window"]).where("id <> id1 OR tie <> tie1 OR at <> at1")
+             .select("id", "tie", F.col("at").alias("begin"), (F.col("at") + LENGTH).alias("end")))
     return [*spans, staged(again, "suffix-spans")]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (what is left)."""
-    number = F.col("doc_id").cast("bigint")
-    texts = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    texts = placed(docs)
     first, *more = repeated_spans(texts)
     for other in more:
         first = first.unionByName(other)
-    spans = staged(first.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "suffix-spans")    # at most a text's windows
-    return (texts.join(spans, "id", "left").select("doc_id", "text", "spans")
+    spans = staged(first.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "suffix-spans")    # at most a text's windows
+    return (texts.join(spans, ["id", "tie"], "left").select("doc_id", "text", "spans")
             .mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"))
