@@ -1,7 +1,9 @@
 """Secrets in texts: long tokens are findings, a random forest removes the false positives.
 
-A finding is a word with a core of at least ``LEAST_CORE`` characters of the alphabets that secrets use; what
-follows a name and ``=`` or ``:`` in it is its value. The forest sees, for the value: its length; shares of digits, capitals and
+Words are split at quotes, brackets, commas, semicolons, ``?``, ``&``, ``|``, backslashes and what is not ASCII. A finding is a part with
+a core of at least ``LEAST_CORE`` characters of the alphabets that secrets use, or else each such stretch in it; and a part of any
+length where a name that speaks of a secret, and an assignment, stand before it. What
+follows a name and ``=`` or ``:`` in a part is its value, so a value that holds one of those marks is found up to the mark. The forest sees, for the value: its length; shares of digits, capitals and
 distinct characters; how often the character class changes and how usual its letter transitions are, against
 those of the corpus' own words; the part covered by dictionary words; marks of paths and addresses; and from
 its surroundings, whether the words before it, or its own name, speak of a secret, and whether an assignment stands there.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import WORD, staged, text_of
 
 LEAST_CORE = 16
+LEAST_CLEAR = 8              # an announced, assigned value must be as long for a rule to call it a secret
 DICTIONARY_COUNT = 5
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 40, 8, 11
@@ -41,31 +44,62 @@ PLACEHOLDER = r"(?i)(example|changeme|your[_-]|placeholder|xxxx|dummy|sample)"
 _CLASSES = 38                      # 26 letters, 10 digits, anything else, the start
 _FEATURES = ["length", "digits", "capitals", "distinct", "changes", "unusual", "covered", "slashes", "dots", "at_sign",
              "announced", "assigned"]
+# Where words are split; control characters too, as no alphabet has them.
+_MARKS = r'''\x00-\x1F\x7F"'`(){}\[\]<>,;?&|\\\x80-\x{10FFFF}'''
+_ALPHABET = "[A-Za-z0-9_+/=.:@%~-]"
+ASSIGNED = r"[=:]\W*$"
 _LETTERS = r"\p{L}{3,}"
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, position (word number from 1), value, and the text around it: name, before, after."""
+    """doc_id, position (word number from 1), part (number of the part in its word, and of the stretch in it), value, and the text around it:
+    name, before, after."""
     words = F.regexp_extract_all(text_of(), F.lit(f"({WORD})"))
 
-    def core(word: Column) -> Column:
-        return F.regexp_replace(word, r"^[^A-Za-z0-9+/]+|[^A-Za-z0-9+/=]+$", "")
-
     def at(i: Column) -> Column:
-        return F.coalesce(F.try_element_at("words", i.cast("int")), F.lit(""))
+        return F.coalesce(F.get("words", (i - 1).cast("int")), F.lit(""))
+
+    def speaks(i: Column) -> Column:
+        near = F.concat_ws(" ", at(i - 2), at(i - 1), at(i))
+        return near.rlike("[=:]") & near.rlike(ANNOUNCES)
 
-    def finding(i: Column) -> Column:
-        return F.struct(i.alias("position"), core(at(i)).alias("core"), at(i + 1).alias("after"),
-                        F.when(i > 2, F.concat(at(i - 2), F.lit(" "), at(i - 1))).when(i > 1, at(i - 1)).otherwise("").alias("before"))
+    def word(i: Column) -> Column:
+        return F.struct(i.alias("position"), at(i).alias("word"), at(i + 1).alias("next"),
+                        F.when(i > 2, F.concat(at(i - 2), F.lit(" "), at(i - 1))).when(i > 1, at(i - 1)).otherwise("").alias("previous"))
 
     places = F.filter(F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>")),
-                      lambda i: (F.length(at(i)) >= LEAST_CORE) & core(at(i)).rlike(rf"^[A-Za-z0-9_+/=.:@%~-]{{{LEAST_CORE},}}$"))
+                      lambda i: (F.length(at(i)) >= LEAST_CORE) | speaks(i))
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words"))
-            .select("doc_id", F.inline(F.transform(places, finding))))
+            .select("doc_id", F.inline(F.transform(places, word)))
+            .withColumn("items", F.regexp_extract_all("word", F.lit(f"([{_MARKS}]+|[^{_MARKS}]+)"))))
+
+    def item(i: Column) -> Column:
+        return F.coalesce(F.get("items", (i - 1).cast("int")), F.lit(""))
+
+    def part(i: Column) -> Column:
+        # The word's own text before the item: its name at most, with the marks around it.
+        return F.struct(i.alias("item"), item(i).alias("own"), F.concat(item(i - 4), item(i - 3), item(i - 2), item(i - 1)).alias("ahead"),
+                        (i == F.size("items")).alias("last"), item(i + 1).alias("behind"))
+
+    parts = (rows.select("doc_id", "position", "next", "previous",
+                         F.inline(F.transform(F.sequence(F.lit(1), F.size("items")), part)))
+             .where(~F.col("own").rlike(f"^[{_MARKS}]"))
+             .withColumn("core", F.regexp_replace("own", r"^[^A-Za-z0-9+/]+|[^A-Za-z0-9+/=]+$", ""))
+             .where("core <> ''")
+             # Another pair, or more of the word than was taken, stands between the item and the words before.
+             .withColumn("before", F.when((F.col("item") > 5) | F.col("ahead").rlike("[,;&{}]"), F.regexp_extract("ahead", "[^,;&{}]*$", 0))
+                         .when(F.col("ahead") == "", F.col("previous")).otherwise(F.concat_ws(" ", "previous", "ahead")))
+             .withColumn("after", F.when(F.col("last"), F.col("next")).otherwise(F.col("behind"))))
     named = r"^([A-Za-z_.-]{2,30}[=:]+)(.*)$"
-    return rows.select("doc_id", F.col("position").cast("bigint").alias("position"),
-                       F.regexp_replace("core", named, "$2").alias("value"),
-                       F.regexp_extract("core", named, 1).alias("name"), "before", "after")
+    around = F.concat_ws(" ", "before", F.regexp_extract("core", named, 1))
+    assigned = around.rlike(ANNOUNCES) & around.rlike(ASSIGNED) & (F.regexp_replace("core", named, "$2") != "")
+    cores = (F.when(F.col("core").rlike(f"^{_ALPHABET}{{{LEAST_CORE},}}$") | assigned, F.array("core"))
+             .otherwise(F.regexp_extract_all("core", F.lit(f"({_ALPHABET}{{{LEAST_CORE},}})"))))
+    found = parts.select("doc_id", "position", "item", "before", "after", F.posexplode(cores).alias("stretch", "core"))
+    return found.select("doc_id", F.col("position").cast("bigint").alias("position"),
+                        F.concat_ws(".", "item", F.col("stretch") + 1).alias("part"),
+                        F.regexp_replace("core", named, "$2").alias("value"),
+                        F.regexp_extract("core", named, 1).alias("name"), "before", "after")
 
 
 def dictionary(docs: DataFrame, least: int = DICTIONARY_COUNT) -> DataFrame:
@@ -121,7 +155,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     around = F.concat_ws(" ", "before", "name")
     return (found.join(own, "value")
             .withColumn("announced", around.rlike(ANNOUNCES).cast("double"))
-            .withColumn("assigned", around.rlike(r"[=:]\W*$").cast("double")))
+            .withColumn("assigned", around.rlike(ASSIGNED).cast("double")))
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -131,7 +165,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
     plain = value.rlike("^[A-Za-z]+$") & (F.col("covered") > 0.5) | value.rlike("^[0-9]+$") | value.rlike("^[a-z]+([-_][a-z]+)*$")
     return found.withColumn("label", F.when(value.rlike(ADDRESS) | value.rlike(PLACEHOLDER), 0.0)
                             .when(value.rlike(KEY_FORMATS), 1.0).when(plain, 0.0)
-                            .when((F.col("announced") + F.col("assigned") == 2) & (F.col("digits") > 0.1) & (F.col("covered") < 0.3), 1.0))
+                            .when((F.col("announced") + F.col("assigned") == 2) & (F.length(value) >= LEAST_CLEAR)
+                                  & (F.col("digits") > 0.1) & (F.col("covered") < 0.3), 1.0))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
@@ -159,13 +194,18 @@ def judge(found: DataFrame, model: PipelineModel | None) -> DataFrame:
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """One row per finding: doc_id, position, length, value_sha256, announced, score, is_secret.
+    """One row per finding: doc_id, position, part, length, value_sha256, announced, score, is_secret.
 
-    ``labels``: checked findings (doc_id, position, label 0 or 1) to train on; :func:`rule_labels` without.
+    ``labels``: checked findings (doc_id, position, label 0 or 1, and part where a word holds several) to train on;
+    :func:`rule_labels` without.
     """
     words = staged(dictionary(docs), "secret-dictionary")
     found = staged(features(staged(findings(docs), "secret-findings"), words), "secret-features")
-    labelled = rule_labels(found) if labels is None else found.join(labels.select("doc_id", "position", "label"), ["doc_id", "position"])
+    if labels is None:
+        labelled = rule_labels(found)
+    else:
+        keys = [c for c in ("doc_id", "position", "part") if c != "part" or c in labels.columns]
+        labelled = found.join(labels.select(*keys, "label"), keys)
     return judge(found, train(labelled)).select(
-        "doc_id", "position", F.col("length").cast("bigint").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+        "doc_id", "position", "part", F.col("length").cast("bigint").alias("length"), F.sha2("value", 256).alias("value_sha256"),
         (F.col("announced") == 1).alias("announced"), "score", "is_secret")
