@@ -9,7 +9,7 @@ those of the corpus' own words; the part covered by dictionary words; marks of p
 its surroundings, whether the words before it, or its own name, speak of a secret, and whether an assignment stands there.
 
 The dictionary - letter runs found ``DICTIONARY_COUNT`` times or more - and the transition table (at most 38 x 38) are counted
-over all texts. The forest is trained on labelled findings, at most ``SAMPLE``, the first in hash order, given by the caller or by
+over all texts. The forest is trained on labelled findings, at most ``SAMPLE``, half of each kind where there are so many, the first in hash order, given by the caller or by
 :func:`rule_labels`, which labels only the clear cases. All steps are DataFrame functions; spark.ml runs in the JVM.
 
 Defined cases: NULL and empty texts have no findings; the same token twice is two findings; rows that repeat are scanned
@@ -170,10 +170,11 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
-    """A forest from the first ``sample`` labelled findings in hash order; None if they are all of one kind."""
+    """A forest from ``sample`` labelled findings in hash order, half of each kind where there are so many; None if all are of one kind."""
     drawn = F.xxhash64("doc_id", "position", "value")
-    rows = staged(labelled.where("label IN (0, 1)").orderBy(drawn, "doc_id", "position", "value").limit(sample)
-                  .select(*_FEATURES, "label"), "secret-sample")
+    chosen = [labelled.where(F.col("label") == k).orderBy(drawn, "doc_id", "position", "value").limit(sample // 2).select(*_FEATURES, "label")
+              for k in (0, 1)]
+    rows = staged(chosen[0].unionByName(chosen[1]), "secret-sample")
     if rows.select("label").distinct().count() < 2:
         return None
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="vector")

@@ -27,3 +27,15 @@ def test_secrets_inside_words_are_judged(docs_of):
     rows = [(n, f'{prose(n, 20)} {{"token":"{GITHUB[:30]}{n:06d}x{n * 7919 % 9973}","page":"/usr/{prose(n, 1)}/{prose(n + 1, 1)}/index.html"}}') for n in range(60)]
     found = secret_scan.scan(docs_of(rows)).withColumn("secret", F.col("is_secret").cast("int")).collect()
     assert {r.doc_id for r in found if r.secret} == set(range(60)) and len(found) == 120 and sum(r.secret for r in found) == 60
+
+
+def test_rare_kinds_are_in_the_sample(spark):
+    """Ten labelled secrets among thousands of others still train a forest, however small the sample."""
+    zero = {c: F.lit(0.0) for c in secret_scan._FEATURES}
+    rows = (spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("position"), F.col("id").cast("string").alias("value"))
+            .withColumn("label", (F.col("doc_id") % 300 == 7).cast("double")).withColumns(zero).withColumn("digits", F.col("label")))
+    model = secret_scan.train(rows, 20)
+    assert model is not None
+    judged = secret_scan.judge(rows, model)
+    assert judged.where("is_secret <> (label = 1)").count() == 0
+    assert secret_scan.train(rows.where("label = 0"), 20) is None
