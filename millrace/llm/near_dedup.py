@@ -19,9 +19,9 @@ Sets travel as sorted 64-bit hashes, once for each centre or cell, in streams so
 centre is dealt over many salted copies. A task holds one centre's set, or one cell.
 
 Defined cases: NULL or blank texts have no shingles, are linked with nothing and stay; a text of fewer than five
-words has its word sequence as one shingle; a NULL id counts as the largest one, and texts that only have NULL
-ids are linked with their equals alone; rows that repeat an id are one node, linked whatever their texts; an empty
-table gives an empty result. Other columns are not looked at. A task's memory is some thirty times its longest text.
+words has its word sequence as one shingle; a NULL id counts as the largest one; nodes are sets, not ids, so rows without an id are
+linked like any others and so is each text of an id that has several; of those, and of groups without any id, the set with the
+smallest print is the one that is kept; an empty table gives an empty result. Other columns are not looked at. A task's memory is some thirty times its longest text.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.llm import shingles
 from millrace.llm.common import same, staged
@@ -46,6 +47,7 @@ CELL = 1_000
 # Columns of a cell's matrix that are multiplied at once.
 SLAB = 2_048
 
+_PRINT = "_near_print"
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,33 +87,52 @@ def _sign(bands: int, rows: int):
             for start, end, texts in shingles.text_chunks(batch.column(1)):
                 values, counts = shingles.shingle_hashes(texts)
                 keys = band_keys(sketches(values, counts, bands * rows), rows)
-                ends = np.cumsum(counts)
-                sums = np.concatenate(([np.uint64(0)], np.cumsum(shingles.mixed(values, 501))))
-                more = np.concatenate(([np.uint64(0)], np.cumsum(shingles.mixed(values, 502))))
-                prints = np.stack([sums[ends] - sums[ends - counts], more[ends] - more[ends - counts]], axis=1)
                 some = counts > 0
                 rows_of_keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))), pa.int32()),
                                                         pa.array(keys[some].ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, end - start), pa.array(counts.astype(np.int64)),
-                     pa.array([p.tobytes() if s else None for p, s in zip(prints, some)], pa.binary()), rows_of_keys],
+                     pa.array(_prints(values, counts), pa.binary()), rows_of_keys],
                     names=["doc_id", "n_shingles", "set_print", "bands"])
 
     return run
 
 
+def _prints(values: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """A 128-bit print of each set; an empty one has none."""
+    ends = np.cumsum(counts)
+    sums, more = (np.concatenate(([np.uint64(0)], np.cumsum(shingles.mixed(values, seed)))) for seed in (501, 502))
+    prints = np.stack([sums[ends] - sums[ends - counts], more[ends] - more[ends - counts]], axis=1)
+    return [p.tobytes() if n else None for p, n in zip(prints, counts)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (node, wanted print, text) to (node, hashes), where the text's set has that print."""
     for batch in batches:
-        ids = batch.column(0)
-        for start, end, texts in shingles.text_chunks(batch.column(1)):
+        nodes, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for start, end, texts in shingles.text_chunks(batch.column(2)):
             values, counts = shingles.shingle_hashes(texts)
             ends = np.cumsum(counts)
+            own = [k for k, p in enumerate(_prints(values, counts)) if p == wanted[start + k]]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, end - start),
-                 pa.array([values[b - n:b].tobytes() for b, n in zip(ends, counts)], pa.binary())],
+                [pa.array(nodes[start:end][own], pa.int64()), pa.array([values[ends[k] - counts[k]:ends[k]].tobytes() for k in own], pa.binary())],
                 names=["node", "hashes"])
 
 
+def _with_print(text_at: int):
+    """Whole rows with their sets' prints as one more column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(text_at)
+            if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+                column = column.cast(pa.string())
+            for start, end, texts in shingles.text_chunks(column):
+                prints = pa.array(_prints(*shingles.shingle_hashes(texts)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, prints], names=[*batch.schema.names, _PRINT])
+
+    return run
+
+
 def _linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (100 * common >= percent * (a + b - common)) & (common > 0)
 
@@ -237,42 +258,70 @@ def _outsider_links(members: DataFrame, groups: DataFrame, sets: DataFrame, perc
     return cells.select("key", "i", "j", "side", "node", "component", "hashes").mapInArrow(_in_cells(percent), "a bigint, b bigint")
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-           id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id of its group), kept."""
+def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
+    """One row per document: doc_id, n_shingles, set_print, component_id, kept; staged tables below it."""
     texts = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_sign(bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>"),
                     "near-signed")
-    classes = staged(signed.where("n_shingles > 0").groupBy("set_print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")),
-                     "near-classes")
-    members = classes.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    # A class is a set of shingles, its node 64 bits of the set's print, its own id the smallest that has it.
+    classes = staged(signed.where("n_shingles > 0").groupBy("set_print").agg(F.min("doc_id").alias("own_id"), F.first("bands").alias("bands"))
+                     .withColumn("node", F.xxhash64("set_print")), "near-classes")
+    members = classes.select("node", F.explode("bands").alias("key"))
     centre = F.min(F.struct(F.xxhash64("key", "node").alias("drawn"), "node"))
     buckets = staged(members.groupBy("key").agg(centre.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
                      .select("key", F.col("c.node").alias("centre")), "near-buckets")
     members = staged(members.join(buckets.select("key"), "key"), "near-members")
-    wanted = staged(members.select("node").distinct(), "near-wanted")
-    sets = (texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-            .mapInArrow(_sets, "node bigint, hashes binary"))
-    if not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+    wanted = staged(classes.join(members.select("node").distinct(), "node", "left_semi")
+                    .select("node", "set_print", F.col("own_id").alias("doc_id")), "near-wanted")
+    sets = texts.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("node", "set_print", "text").mapInArrow(_sets, "node bigint, hashes binary")
+    twice = not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    unnamed = wanted.where("doc_id IS NULL").drop("doc_id")
+    if not unnamed.isEmpty():
+        loose = texts.where("doc_id IS NULL").select("text").mapInArrow(_with_print(0), f"text string, {_PRINT} binary").dropDuplicates([_PRINT])
+        sets = sets.unionByName(loose.join(unnamed, F.col(_PRINT) == F.col("set_print")).select("node", "set_print", "text")
+                                .mapInArrow(_sets, "node bigint, hashes binary"))
+    if twice:
         sets = sets.dropDuplicates(["node"])
     sets = staged(sets, "near-sets")
     stars = staged(_star_links(members, buckets, sets, percent), "near-links")
     first = staged(components(stars), "near-components")
     links = stars.unionByName(_outsider_links(members, first, sets, percent))
     final = staged(components(links), "near-components")
-    ids = (signed.join(classes.select("set_print", "node"), "set_print", "left")
-           .join(final, "node", "left")
-           .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
-                   .otherwise(F.col("doc_id")).alias("component_id")))
-    return ids.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
+    placed = staged(classes.drop("bands").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    tops = (placed.groupBy("component").agg(F.min(F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "set_print")).alias("top"))
+            .select("component", F.col("top.own_id").alias("top_id"), F.col("top.set_print").alias("top_print")))
+    verdicts = placed.join(tops, "component").select("set_print", "top_id", (F.col("set_print") == F.col("top_print")).alias("is_top"))
+    ids = signed.drop("bands").join(verdicts, "set_print", "left")
+    some = F.col("n_shingles") > 0
+    return ids.select("doc_id", "n_shingles", "set_print", F.when(some, F.col("top_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.when(some, F.col("is_top") & same(F.col("doc_id"), F.col("top_id"))).otherwise(F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+           id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id of its group), kept."""
+    return _grouped(docs, percent, bands, rows, id_column, text_column).drop("set_print")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay - the smallest id of each group - with all columns as they were."""
-    kept = staged(groups(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "near-kept")
-    on = same(docs["doc_id"].cast("bigint"), F.col("kept_id"))
-    stay = docs.join(kept.select(F.col("doc_id").alias("kept_id")), on, "left_semi")
-    repeated = kept.where("rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"))
-    if repeated.isEmpty():
+    """The documents that stay - the smallest id of each group, rows without shingles all - with all columns as they were.
+
+    Rows without an id, or with a repeated one, are told apart by their sets' prints; of rows that have both in common one stays.
+    """
+    found = staged(_grouped(docs, PERCENT, BANDS, ROWS, "doc_id", "text").select("doc_id", "set_print", "kept"), "near-verdicts")
+    repeated = staged(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+                      .select(F.col("doc_id").alias("repeated_id")), "near-repeated")
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("set_print").alias("kept_print"))
+    number = docs["doc_id"].cast("bigint")
+    stay = docs.join(kept.select("kept_id"), number == F.col("kept_id"), "left_semi")
+    unsure = docs.where(F.col("doc_id").isNull())
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, number == F.col("repeated_id"), "left_anti")
+        unsure = unsure.unionByName(docs.join(repeated, number == F.col("repeated_id"), "left_semi"))
+    elif found.where("doc_id IS NULL").isEmpty():
         return stay
-    return stay.join(repeated, on, "left_anti").unionByName(docs.join(repeated, on, "left_semi").dropDuplicates(["doc_id"]))
+    schema = StructType([*docs.schema.fields, StructField(_PRINT, BinaryType())])
+    printed = unsure.mapInArrow(_with_print(docs.columns.index("text")), schema)
+    on = same(F.col("doc_id").cast("bigint"), F.col("kept_id")) & (F.col(_PRINT) == F.col("kept_print"))
+    tops = printed.where(F.col(_PRINT).isNotNull()).join(kept, on, "left_semi").dropDuplicates(["doc_id", _PRINT])
+    return stay.unionByName(tops.drop(_PRINT)).unionByName(printed.where(F.col(_PRINT).isNull()).drop(_PRINT))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles
-from millrace.llm.common import same, staged
+from millrace.llm.common import staged
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -139,17 +139,21 @@ def gram_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.
     return np.rint(1e6 * (np.log(scaled + SMOOTHING) - np.log(counts[1] + SMOOTHING))).astype(np.int64)
 
 
+def _judged(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts of a column in ranges: (begin, end, counts, sum of the 4-grams' ratios, number of 4-grams)."""
+    for a, b, texts in shingles.text_chunks(column):
+        data, starts, ends = _laid_out(texts)
+        grams = np.maximum(ends - starts - GRAM + 1, 0)
+        gains = weights[gram_buckets(data)]
+        first = np.minimum(starts, len(gains))          # a short last text starts behind the last 4-gram
+        yield a, b, measure(texts), _sums(gains, first, first + grams), grams
+
+
 def _judge(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, b, texts in shingles.text_chunks(batch.column(1)):
-                data, starts, ends = _laid_out(texts)
-                grams = np.maximum(ends - starts - GRAM + 1, 0)
-                gains = weights[gram_buckets(data)]
-                first = np.minimum(starts, len(gains))          # a short last text starts behind the last 4-gram
-                ratio = _sums(gains, first, first + grams)
-                counts = measure(texts)
+            for a, b, counts, ratio, grams in _judged(batch.column(1), weights):
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), *(pa.array(c) for c in counts.T), pa.array(ratio), pa.array(grams)],
                     names=["doc_id", *_COUNTS, "ratio_sum", "n_grams"])
@@ -157,6 +161,21 @@ def _judge(weights: np.ndarray):
     return run
 
 
+def _keep(weights: np.ndarray, text_at: int, least: int):
+    """Whole rows, those that pass; the same decision as in :func:`rules`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(text_at)
+            if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+                column = column.cast(pa.string())
+            for a, b, counts, ratio, grams in _judged(column, weights):
+                n_words, repeated = counts[:, _COUNTS.index("n_words")], counts[:, _COUNTS.index("n_repeat_words")]
+                failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n_words)
+                yield batch.slice(a, b - a).filter(pa.array(~failed & (ratio >= least * grams)))
+
+    return run
+
+
 def rules(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, and the ratio's sum and number of 4-grams."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,8 +187,7 @@ def rules(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
             .withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= least * F.col("n_grams"))))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all columns as they were. Rows under one id go if any of them fails."""
-    verdicts = rules(docs, labels)
-    rejected = staged(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("rejected_id")).distinct(), "rules-rejected")
-    return docs.join(rejected, same(F.col("doc_id").cast("bigint"), F.col("rejected_id")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows that pass, with all columns as they were. Every row is judged by its own text, whatever others share its id."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_keep(gram_weights(texts, labels), docs.columns.index("text"), least), docs.schema)
