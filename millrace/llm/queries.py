@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan, suffix_dedup
+from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan, suffix_dedup, token_alignment, url_filters, whitening
 from millrace.llm.common import ship
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +88,22 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.groups(_table(spark, folder, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts over all pages; ``pattern`` names the general rule where no listed one decides."""
+    return url_filters.judge(_table(spark, folder, "pages"), url_filters.rule_table(spark, url_filters.compiled()))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, folder, "embeddings"))
+    # Beyond a long the sum is NULL here; the operator's own column is a decimal.
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_alignment.align(_table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 _MIX_SQL = r"""
 WITH units AS (
   SELECT doc_id, source, md5(doc_id::VARCHAR) AS shuffled,
@@ -186,6 +203,33 @@ FROM (SELECT named.doc_id, named.n, coalesce(tops.top, named.rep) AS component_i
       FROM named LEFT JOIN tops ON named.n > 0 AND tops.doc_id = named.rep)
 """
 
+def _url_sql() -> str:
+    """Listed rules by plain text comparison, general ones by their regular expressions; every rule against every page."""
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    rules = url_filters.compiled()
+    listed = ", ".join(f"({text(r.action)}, {text(r.text)}, {text(r.text.split('/', 1)[0])}, {text('/' + r.text.split('/', 1)[1])})" for r in rules if r.listed)
+    general = ", ".join(f"({text(r.action)}, {text(r.text)}, {text(r.regex)})" for r in rules if not r.listed)
+    return rf"""
+WITH listed(action, rule, rule_host, rule_path) AS (VALUES {listed}),
+general(action, pattern, regex) AS (VALUES {general}),
+rests AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+urls AS (
+  SELECT n, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rests),
+first_hits AS (
+  SELECT n, first(rule ORDER BY len(rule) DESC, rule) AS rule, first(action ORDER BY len(rule) DESC, rule) AS action
+  FROM urls JOIN listed ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n),
+other_hits AS (
+  SELECT n, first(pattern ORDER BY len(pattern) DESC, pattern) AS pattern, first(action ORDER BY len(pattern) DESC, pattern) AS action
+  FROM urls JOIN general
+    ON regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '#', regex) GROUP BY n)
+SELECT page_id, host, path, f.rule, coalesce(f.action, o.action, 'allow') AS verdict, CASE WHEN f.rule IS NULL THEN o.pattern END AS pattern
+FROM urls LEFT JOIN first_hits f USING (n) LEFT JOIN other_hits o USING (n)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
@@ -197,6 +241,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_crf": op8_quality_crf,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # The likelihood ratio of op7 has SQL too, but its 4-grams take minutes on small tables; tests compare it with brute force.
@@ -205,4 +252,5 @@ SQL: dict[str, str] = {
     "op6_mix_sources": _MIX_SQL,
     "op9_exact_dedup": _EXACT_SQL,
     "op10_minhash_near_dedup": _NEAR_SQL,
+    "op11_url_filters": _url_sql(),
 }
