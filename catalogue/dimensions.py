@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from catalogue import query
 from catalogue.merges import _REVIEWED, reviewed
 from millrace import Scd2Config, current_rows, latest_per_key, scd2_changes, scd2_init, scd2_merge
-from millrace.functions.workspace import stage
+from millrace.functions.workspace import shared_folder, stage
+from millrace.plans.run import run_flow
+from millrace.plans.spec import flow
+from millrace.sinks.files import write_files
 
 FIRST, SECOND, THIRD = "1997-01-01 00:00:00", "1999-01-01 00:00:00", "2001-08-02 00:00:00"
 CUSTOMER = Scd2Config(keys=("o_custkey",), time_type="timestamp_ntz")
@@ -168,3 +171,92 @@ def null_keys(t):
     config = Scd2Config(keys=("k",), time_type="timestamp_ntz")
     docs, web = reviewed(t)
     return scd2_merge(scd2_init(docs, config, FIRST), web, config, SECOND)
+
+
+def _all_loads(t):
+    """Six increments: the newest order of each customer in each period."""
+    moments = ["1995-01-01", "1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01", "2001-08-02"]
+    rows = t.orders.select("o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_orderdate", "o_orderkey")
+    since = None
+    for until in moments:
+        portion = rows.filter(F.col("o_orderdate") < at(until))
+        if since:
+            portion = portion.filter(F.col("o_orderdate") >= at(since))
+        yield latest_per_key(portion, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "status", "priority"), until
+        since = until
+
+
+_BY_YEAR = """
+    facts AS (
+        SELECT o_custkey, o_orderstatus AS status, o_orderpriority AS priority, o_orderdate, o_orderkey,
+               CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN TIMESTAMP '1995-01-01' WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN TIMESTAMP '1996-01-01'
+                    WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN TIMESTAMP '1997-01-01' WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN TIMESTAMP '1998-01-01'
+                    WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN TIMESTAMP '1999-01-01' ELSE TIMESTAMP '2001-08-02' END AS loaded
+        FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-02'),
+    states AS (
+        SELECT o_custkey, status, priority, loaded FROM (
+            SELECT *, row_number() OVER (PARTITION BY o_custkey, loaded ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM facts) WHERE rn = 1)"""
+
+
+@query("scd2_backdated", f"""
+    WITH {_BY_YEAR},
+    marked AS (
+        SELECT *, row_number() OVER w = 1 OR status <> lag(status) OVER w OR priority <> lag(priority) OVER w AS opens
+        FROM states WINDOW w AS (PARTITION BY o_custkey ORDER BY loaded))
+    SELECT o_custkey, status, priority, loaded AS valid_from, lead(loaded) OVER w AS valid_to, lead(loaded) OVER w IS NULL AS is_current,
+           CAST(row_number() OVER w AS INTEGER) AS version
+    FROM marked WHERE opens WINDOW w AS (PARTITION BY o_custkey ORDER BY loaded)""")
+def scd2_backdated_loads(t):
+    """Six loads in shuffled order into hash buckets; the oracle sees them in the order of their dates."""
+    feed, sink = shared_folder(t.spark, "feed"), shared_folder(t.spark, "sink")
+    scd2 = {"key_columns": ["o_custkey"], "time_type": "timestamp_ntz", "backdated": True}
+    spec = flow("late").source("parquet", path=feed).target("parquet", path=sink, scd2=scd2, buckets=8).spec()
+    loads_by_date = list(_all_loads(t))
+    for n in (3, 0, 5, 1, 4, 2):
+        rows, moment = loads_by_date[n]
+        write_files(rows, feed, "parquet", "overwrite")
+        result = run_flow(t.spark, spec, as_of=moment)
+    return result.frame.drop("confirmed_at")
+
+
+_SNAPSHOTS = f"""
+    WITH {_BY_YEAR},
+    days(loaded) AS (SELECT DISTINCT loaded FROM facts),
+    seen AS (
+        SELECT c.o_custkey, d.loaded, s.status, s.priority, s.o_custkey IS NOT NULL AS there
+        FROM (SELECT DISTINCT o_custkey FROM facts) c CROSS JOIN days d LEFT JOIN states s ON s.o_custkey = c.o_custkey AND s.loaded = d.loaded),
+    marked AS (
+        SELECT *, coalesce(there <> lag(there) OVER w, there) OR (there AND (status <> lag(status) OVER w OR priority <> lag(priority) OVER w)) AS turns
+        FROM seen WINDOW w AS (PARTITION BY o_custkey ORDER BY loaded)),
+    turns AS (SELECT *, lead(loaded) OVER (PARTITION BY o_custkey ORDER BY loaded) AS ends FROM marked WHERE turns)
+    SELECT o_custkey, status, priority, loaded AS valid_from, ends AS valid_to, ends IS NULL AS is_current,
+           CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY loaded) AS INTEGER) AS version
+    FROM turns WHERE there"""
+
+
+def _snapshot_loads(t, **settings):
+    feed, sink = shared_folder(t.spark, "feed"), shared_folder(t.spark, "sink")
+    scd2 = {"key_columns": ["o_custkey"], "time_type": "timestamp_ntz", "deletes": "close"}
+    spec = flow("full").source("parquet", path=feed).target("parquet", path=sink, scd2=scd2, **settings).spec()
+    for rows, moment in _all_loads(t):
+        write_files(rows, feed, "parquet", "overwrite")
+        result = run_flow(t.spark, spec, as_of=moment)
+    return result.frame
+
+
+@query("scd2_snapshot_deletes", _SNAPSHOTS)
+def snapshot_deletes(t):
+    """Each period's customers as a full snapshot: who orders nothing is closed, and opened again later with the next number."""
+    return _snapshot_loads(t)
+
+
+@query("scd2_snapshot_deletes_small", _SNAPSHOTS)
+def snapshot_deletes_small(t):
+    """The same with sources that always count as small enough to be broadcast, in buckets."""
+    return _snapshot_loads(t, broadcast_bytes=1 << 40, buckets=4)
+
+
+@query("scd2_snapshot_deletes_large", _SNAPSHOTS)
+def snapshot_deletes_large(t):
+    """The same with sources that never do."""
+    return _snapshot_loads(t, broadcast_bytes=-1)

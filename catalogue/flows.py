@@ -7,6 +7,7 @@ from millrace.functions.workspace import shared_folder
 from millrace.plans.run import run_flow
 from millrace.plans.spec import flow, load_spec
 from millrace.sinks.files import write_files
+from millrace.sinks.snapshots import SnapshotFolder, part_keys
 
 FIRST, SECOND = "1998-10-03 00:00:00", "2001-08-02 00:00:00"
 
@@ -227,3 +228,100 @@ def etl_flow_change_log(t):
         write_files(log.filter(portion).drop("o_orderdate"), feed, "parquet")
         result = run_flow(t.spark, spec)
     return result.frame
+
+
+# -- targets laid out by a hash of the key ------------------------------------------------------------
+
+@query("scd2_bucketed", _VERSIONS)
+def scd2_bucketed(t):
+    """The dimension flow into 16 hash buckets: the second run reads and replaces only those its keys fall into."""
+    return _run_twice(t, _dimension_flow(buckets=16))
+
+
+_NEWEST = """
+    SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+        FROM orders) WHERE rn = 1"""
+
+
+@query("upsert_bucketed", _NEWEST)
+def upsert_bucketed(t):
+    """Newest order of each customer, upserted into 32 hash buckets in four portions."""
+    feed, sink = shared_folder(t.spark, "feed"), shared_folder(t.spark, "sink")
+    spec = (flow("newest").source("parquet", path=feed)
+            .sql("SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM (SELECT *, row_number() OVER "
+                 "(PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM temp_table) WHERE rn = 1")
+            .target("parquet", path=sink, mode="merge", merge_keys=["o_custkey"], buckets=32).spec())
+    moments = ["1996-01-01", "1997-06-01", "1999-01-01", "2100-01-01"]
+    since = None
+    for until in moments:
+        day = F.col("o_orderdate")
+        portion = t.orders.filter(day < F.lit(until).cast("timestamp_ntz"))
+        if since:
+            portion = portion.filter(day >= F.lit(since).cast("timestamp_ntz"))
+        write_files(portion, feed, "parquet", "overwrite")
+        result = run_flow(t.spark, spec)
+        since = until
+    return result.frame
+
+
+@query("sink_delta_listing", """
+    SELECT o_orderkey, o_custkey, CAST(YEAR(o_orderdate) AS INTEGER) AS year FROM orders WHERE MONTH(o_orderdate) <> 2
+    UNION ALL SELECT o_orderkey, -o_custkey, CAST(YEAR(o_orderdate) AS INTEGER) FROM orders WHERE MONTH(o_orderdate) = 2
+    UNION ALL SELECT o_orderkey, o_custkey, CAST(YEAR(o_orderdate) AS INTEGER) FROM orders WHERE MONTH(o_orderdate) <= 8""")
+def sink_delta_listing(t):
+    """Twenty commits by year: twelve months and eight again appended, but February replaces what its years hold by then."""
+    folder = SnapshotFolder(t.spark, shared_folder(t.spark, "sink"))
+    year = F.year("o_orderdate").alias("year")
+    rows = t.orders.select("o_orderkey", "o_custkey", year, F.month("o_orderdate").alias("month"))
+    for number in range(20):
+        month = number % 12 + 1
+        mine = rows.filter(F.col("month") == month)
+        if number == 1:
+            # What is there, and the month with another sign, in place of the partitions of its years.
+            touched = part_keys(mine, ["year"])
+            new = folder.read(touched).unionByName(mine.select("o_orderkey", (-F.col("o_custkey")).alias("o_custkey"), "year"))
+            folder.commit(new, partition_by=["year"], replace=touched)
+        else:
+            folder.commit(mine.drop("month"), partition_by=["year"], replace=() if number else None)
+    return folder.read()
+
+
+@query("etl_flow_scd2_after_merge", f"""
+    WITH newest AS ({_NEWEST})
+    SELECT o_custkey AS customer, o_orderpriority AS priority, m.valid_from, m.valid_to, m.current_flag, CAST(m.version AS INTEGER) AS version
+    FROM newest, (VALUES (TIMESTAMP '1998-10-03', TIMESTAMP '2001-08-02', FALSE, 1), (TIMESTAMP '2001-08-02', NULL, FALSE, 2))
+         AS m(valid_from, valid_to, current_flag, version)
+    WHERE o_custkey % 2 = 0 OR version = 1
+    UNION ALL
+    SELECT o_custkey, 'AGAIN', TIMESTAMP '2003-01-01', NULL, TRUE, CAST(3 AS INTEGER) FROM newest WHERE o_custkey % 2 = 0
+    UNION ALL
+    SELECT o_custkey, 'AGAIN', TIMESTAMP '2003-01-01', NULL, TRUE, CAST(2 AS INTEGER) FROM newest WHERE o_custkey % 2 = 1""")
+def scd2_after_merge(t):
+    """Two type 2 loads, a merge of the same layout that closes every open row, and a third load: numbers go on."""
+    return _after_merge(t)
+
+
+def _after_merge(t, **settings):
+    feed, sink = shared_folder(t.spark, "feed"), shared_folder(t.spark, "sink")
+    newest = t.orders.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("priority"))
+    newest = newest.withColumnRenamed("o_custkey", "customer")
+    type2 = flow("d").source("parquet", path=feed).target("parquet", path=sink, scd2=_SCD2, **settings).spec()
+
+    def load(rows, moment):
+        write_files(rows, feed, "parquet", "overwrite")
+        return run_flow(t.spark, type2, as_of=moment).frame
+
+    load(newest, FIRST)
+    # Every second customer gets a second version with the same priority in the end.
+    even = F.col("customer") % 2 == 0
+    load(newest.filter(even).withColumn("priority", F.lit("between")), SECOND)
+    # A merge flow that writes the same columns: it closes what is open, and gives the second versions their priority back.
+    closing = (flow("close").source("parquet", path=feed)
+               .target("parquet", path=sink, mode="merge", merge_keys=["customer", "version"], partition_by=["current_flag"], **settings).spec())
+    there = SnapshotFolder(t.spark, sink).read().filter("current_flag").drop("priority").join(newest, "customer")
+    closed = there.withColumn("current_flag", F.lit(False)).withColumn(
+        "valid_to", F.when(F.col("version") == 1, F.lit(SECOND).cast("timestamp_ntz")))
+    write_files(closed, feed, "parquet", "overwrite")
+    run_flow(t.spark, closing)
+    return load(newest.withColumn("priority", F.lit("AGAIN")), "2003-01-01 00:00:00")

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.sqltext import created_temp_view, split_sql
 
-# The view a SQL block reads, and the column the unnamed Python step checks.
+# Fixed value: the view a SQL block reads.
 INPUT_VIEW = "temp_table"
-UNNAMED_STEP_COLUMN = "some_column"
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -36,9 +35,9 @@ def registered(name: str) -> Callable[..., DataFrame]:
 
 
 @register_transform("not_null")
-def not_null(df: DataFrame, columns: str | Sequence[str] = UNNAMED_STEP_COLUMN) -> DataFrame:
-    """Rows where every one of ``columns`` has a value."""
-    names = [columns] if isinstance(columns, str) else list(columns)
+def not_null(df: DataFrame, columns: str | Sequence[str] | None = None) -> DataFrame:
+    """Rows where every one of ``columns`` has a value; without ``columns``, where every column has."""
+    names = df.columns if columns is None else [columns] if isinstance(columns, str) else list(columns)
     return df.dropna(how="any", subset=names)
 
 

@@ -42,6 +42,9 @@ class Scd2Config:
     track: tuple[str, ...] | None = None
     order_by: Any = None
     time_type: str = "timestamp"
+    deletes: str = "keep"               # "close": a source is a full snapshot, open rows it lacks are closed
+    backdated: bool = False             # loads may be dated inside history
+    confirmed: str = "confirmed_at"     # the column in which a backdated target keeps the later loads of a version
 
     def __post_init__(self):
         object.__setattr__(self, "keys", tuple(as_keys(self.keys)))
@@ -49,6 +52,10 @@ class Scd2Config:
             object.__setattr__(self, "track", tuple(as_keys(self.track)))
         if self.time_type not in TIME_TYPES:
             raise ValueError(f"time_type {self.time_type!r} is not one of {sorted(TIME_TYPES)}")
+        if self.deletes not in ("keep", "close"):
+            raise ValueError(f"deletes must be 'keep' or 'close', not {self.deletes!r}")
+        if self.backdated and self.deletes == "close":
+            raise ValueError("backdated loads name the keys they change; they close no others")
 
     @classmethod
     def from_mapping(cls, raw: Mapping[str, Any] | None) -> Scd2Config | None:
@@ -66,11 +73,19 @@ class Scd2Config:
             track=raw.get("track"),
             order_by=raw.get("order_by"),
             time_type=raw.get("time_type", "timestamp"),
+            deletes=str(raw.get("deletes") or "keep"),
+            backdated=bool(raw.get("backdated", False)),
+            confirmed=raw.get("confirmed_column", "confirmed_at"),
         )
 
     @property
-    def own_columns(self) -> tuple[str, str, str, str]:
-        return (self.valid_from, self.valid_to, self.is_current, self.version)
+    def closes_absent(self) -> bool:
+        return self.deletes == "close"
+
+    @property
+    def own_columns(self) -> tuple[str, ...]:
+        own = (self.valid_from, self.valid_to, self.is_current, self.version)
+        return (*own, self.confirmed) if self.backdated else own
 
 
 def current_rows(dimension: DataFrame, config: Scd2Config) -> DataFrame:
@@ -89,12 +104,14 @@ def scd2_init(source: DataFrame, config: Scd2Config, as_of: Any) -> DataFrame:
     names = [c for c in source.columns if c not in config.own_columns]
     stamp = TIME_TYPES[config.time_type]
     unique = one_row_per_key(source.filter(keyed(config.keys)), config.keys, config.order_by, "scd2 source")
+    confirmed = [F.array().cast(T.ArrayType(stamp)).alias(config.confirmed)] if config.backdated else []
     return unique.unionByName(source.filter(~keyed(config.keys))).select(
         *names,
         time_literal(as_of, stamp).alias(config.valid_from),
         F.lit(None).cast(stamp).alias(config.valid_to),
         F.lit(True).alias(config.is_current),
-        F.lit(1).alias(config.version))
+        F.lit(1).alias(config.version),
+        *confirmed)
 
 
 class _Load:
@@ -121,11 +138,13 @@ class _Load:
         self.in_source = F.col(f"s.{key}").isNotNull()
         differs = [~F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in tracked]
         differ = self.in_target & self.in_source & (any_of(differs) if differs else F.lit(False))
+        self.gone = self.in_target & ~self.in_source if config.closes_absent else F.lit(False)
         # A version may only be closed after it was opened; intervals must not be empty or run backwards.
         opened = F.col(f"t.{config.valid_from}")
         late = F.raise_error(F.concat(F.lit("as_of is not after the start of an open version that changes: "),
                                       self.as_of.cast("string"), F.lit(" <= "), opened.cast("string"))).cast("boolean")
-        self.changed = F.when(~differ, F.lit(False)).when(opened >= self.as_of, late).otherwise(F.lit(True))
+        ends = differ | self.gone
+        self.changed = F.when(~ends, F.lit(False)).when(opened >= self.as_of, late).otherwise(F.lit(True))
 
     def source_columns(self, source: DataFrame) -> list[Column]:
         """Keys and shared attributes in the target's types; columns the target lacks are left out."""
@@ -181,7 +200,7 @@ class _Load:
 def _pieces(load: _Load, joined: DataFrame, old_version: Column) -> DataFrame:
     """One output row per kept, closed or opened version of a joined pair."""
     count = (F.when(~load.in_target, F.array(F.lit(1)))
-              .when(F.col(_CHANGED), F.array(F.lit(0), F.lit(1)))
+              .when(F.col(_CHANGED) & load.in_source, F.array(F.lit(0), F.lit(1)))
               .otherwise(F.array(F.lit(0))))
     return (joined.withColumn(_CHANGED, load.changed)
                   .withColumn(_PIECE, F.explode(count))
@@ -211,7 +230,7 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
         # The source is small: no row of the dimension is shuffled. It is read once in full, and its
         # keys and versions once more to see which source keys have no open row.
         pairs = matchable.alias("t").join(F.broadcast(unique.alias("s")), load.same_key(),
-                                          "inner" if only_changes else "left")
+                                          "inner" if only_changes and not config.closes_absent else "left")
         if only_changes:
             pairs = pairs.filter(load.changed)
         versions = _pieces(load, pairs, F.coalesce(F.col(f"t.{config.version}"), F.lit(0)))
@@ -245,7 +264,7 @@ def _refresh(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: An
                                         F.raise_error(F.lit(f"repeated key in {_OPEN_ROWS}")).cast("boolean"))
                                  .otherwise(F.lit(True)))
         if only_changes:
-            pairs = pairs.filter(load.in_source & (~load.in_target | load.changed))
+            pairs = pairs.filter((load.in_source & ~load.in_target) | load.changed)
         old_version = F.coalesce(F.when(load.in_target, F.coalesce(F.col(f"t.{config.version}"), F.lit(0)))
                                  .otherwise(F.col(f"s.{_CLOSED_VERSION}")), F.lit(0))
         result = _pieces(load, pairs, old_version)
@@ -290,3 +309,73 @@ def scd2_merge(target: DataFrame, source: DataFrame, config: Scd2Config, as_of:
     return (scd2_open(target, source, config, as_of, broadcast_source=broadcast_source,
                       check_target=check_target)
             .unionByName(closed_rows(target, config)))
+
+
+def scd2_backdated(target: DataFrame, source: DataFrame, config: Scd2Config, as_of: Any, *, broadcast_source: bool = False) -> DataFrame:
+    """The whole dimension after loading ``source``, which may be dated inside history.
+
+    Loads in any order give what loads in the order of their dates give. A state dated inside a version cuts it: the version
+    ends there, the new one lasts until the next date at which something was loaded for the key, and later versions are renumbered. For
+    that, versions keep the dates of later loads that found them unchanged (``config.confirmed``): a cut before such a date leaves the rest as a
+    version of its own. Without these dates a load that changed nothing would leave no trace.
+
+    Only keys of the source are worked on; a key's versions, one per load at most, meet in one window. Rows without a key are kept, or added as they
+    are by :func:`scd2_init`. Two different states of one key and date fail; the same one again changes nothing. Where a version ends and
+    none begins, nothing is opened. Columns the target lacks are dropped; columns the source lacks take the values of the version before. Where ``track``
+    leaves columns out, a version that is cut keeps their first values.
+    """
+    load = _Load(target, source, config, as_of)
+    keys, c = list(config.keys), config
+    tracked = list(config.track) if config.track is not None else load.shared
+    require_columns(target, [c.confirmed], "backdated scd2 target")
+    stamp = target.schema[c.valid_from].dataType
+    attributes = [f for f in target.schema.fields if f.name not in (*keys, *c.own_columns)]
+    extra = [x for x in source.columns if x not in (*keys, *load.shared)] if has_order(config.order_by) else []
+    prepared = source.select(*load.source_columns(source), *extra)
+    unique = one_row_per_key(prepared.filter(keyed(keys)), keys, config.order_by, "scd2 source").select(*keys, *load.shared)
+
+    mine = F.broadcast(unique.select(*keys)) if broadcast_source else unique.select(*keys)
+    reached = target.filter(keyed(keys)).join(mine, keys, "left_semi")
+    others = target.filter(keyed(keys)).join(mine, keys, "left_anti").unionByName(target.filter(~keyed(keys)))
+
+    def state(carries: bool) -> Column:
+        return F.struct(*[(F.col(f.name).cast(f.dataType) if f.name in load.shared or not carries else F.lit(None).cast(f.dataType)).alias(f.name)
+                          for f in attributes])
+
+    at, gone, new, values = "__at", "__gone", "__new", "__values"
+    versions = Window.partitionBy(*keys).orderBy(c.valid_from)
+    ends = F.col(c.valid_to).isNotNull() & ~F.col(c.valid_to).eqNullSafe(F.lead(c.valid_from).over(versions))
+    dated = F.array_union(F.array(c.valid_from), F.coalesce(c.confirmed, F.array().cast(T.ArrayType(stamp))))
+    past = reached.withColumn("__ends", ends)
+    seen = past.select(*keys, F.explode(dated).alias(at), F.lit(False).alias(gone), F.lit(False).alias(new), state(False).alias(values))
+    ended = past.filter("__ends").select(*keys, F.col(c.valid_to).alias(at), F.lit(True).alias(gone), F.lit(False).alias(new), state(False).alias(values))
+    now = unique.select(*keys, load.as_of.alias(at), F.lit(False).alias(gone), F.lit(True).alias(new), state(True).alias(values))
+
+    # Everything that was ever loaded for these keys, in order. A state that is loaded again takes no second place.
+    in_order = Window.partitionBy(*keys).orderBy(at, F.desc(gone), new)
+    same = all_of([F.col(f"{values}.{x}").eqNullSafe(F.col(f"__before.{x}")) for x in tracked]) if tracked else F.lit(True)
+    conflict = F.raise_error(F.concat(F.lit("two states of one key at "), F.col(at).cast("string"))).cast("boolean")
+    twice = F.col("__before_at").eqNullSafe(F.col(at)) & ~F.col("__before_gone")
+    own = [f.name for f in attributes if f.name not in load.shared]
+    carried = [F.last(F.when(~F.col(new), F.struct(F.col(f"{values}.{x}").alias("v"))), ignorenulls=True).over(in_order)["v"].alias(x) for x in own]
+    filled = F.struct(*[carried[own.index(f.name)] if f.name in own else F.col(f"{values}.{f.name}").alias(f.name) for f in attributes])
+    events = (seen.unionByName(ended).unionByName(now).withColumn(values, filled)
+              .withColumn("__before", F.lag(values).over(in_order)).withColumn("__before_at", F.lag(at).over(in_order))
+              .withColumn("__before_gone", F.coalesce(F.lag(gone).over(in_order), F.lit(True)))
+              .filter(F.when(F.col(new) & twice & ~same, conflict).otherwise(~(F.col(new) & twice)))
+              # A version that begins where another one ends is no end.
+              .withColumn("__opens", F.when(F.col(gone), F.lit(True)).otherwise(F.col("__before_gone") | ~same)))
+    # An end dated like the load itself gives way to it.
+    events = events.withColumn("__next_at", F.lead(at).over(in_order)).filter(~(F.col(gone) & F.col("__next_at").eqNullSafe(F.col(at))))
+    numbered = events.withColumn("__group", F.sum(F.col("__opens").cast("int")).over(in_order))
+    group = numbered.groupBy(*keys, "__group").agg(F.min(at).alias(c.valid_from), F.bool_or(gone).alias(gone), F.min_by(values, F.struct(at, new)).alias(values),
+                                                   F.array_sort(F.collect_set(at)).alias("__dates"))
+    by_start = Window.partitionBy(*keys).orderBy("__group")
+    closed = group.withColumn(c.valid_to, F.lead(c.valid_from).over(by_start)).filter(~F.col(gone))
+    closed = closed.withColumn(c.version, F.row_number().over(by_start)).withColumn(c.is_current, F.col(c.valid_to).isNull())
+    closed = closed.withColumn(c.confirmed, F.slice("__dates", 2, F.greatest(F.size("__dates") - 1, F.lit(0))))
+    rebuilt = closed.select(*[(F.col(f"{values}.{f.name}") if f.name not in (*keys, *c.own_columns) else F.col(f.name)).cast(f.dataType).alias(f.name)
+                              for f in target.schema.fields])
+    keyless = scd2_init(prepared.filter(~keyed(keys)).select(*keys, *load.shared), config, as_of)
+    keyless = keyless.select(*[(F.col(f.name) if f.name in keyless.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    return others.unionByName(rebuilt).unionByName(keyless)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -19,14 +18,13 @@ from millrace.functions.workspace import Staged, stage
 from millrace.operators.cdc import CdcConfig, CursorStore, apply_cdc, bounded_increment, upper_bounds
 from millrace.operators.changelog import apply_change_log
 from millrace.operators.merge import merge_into_table, upsert
-from millrace.operators.scd2 import scd2_changes, scd2_init, scd2_merge, scd2_open
-from millrace.plans.spec import BY_POSITION, FlowSpec, TargetSpec
+from millrace.operators.scd2 import scd2_backdated, scd2_changes, scd2_init, scd2_merge, scd2_open
+from millrace.plans.spec import BY_POSITION, FILE_TARGETS, FlowSpec, TargetSpec
 from millrace.sinks import MERGE, merge_keys, write_plain
 from millrace.sinks.files import replace_table, write_iceberg, write_jdbc
-from millrace.sinks.snapshots import Snapshot, SnapshotFolder, part_keys
+from millrace.sinks.snapshots import BUCKET, Buckets, Snapshot, SnapshotFolder, part_keys
 from millrace.sources import read_source, read_target
 
-_FILE_TARGETS = ("s3", "files", "csv", "parquet")
 # Noted in a listing: no key of a type 2 target has closed rows alone. True after a first load, kept by later ones.
 _EVERY_KEY_OPEN = "every_key_open"
 
@@ -117,7 +115,7 @@ def load_increment(spark: SparkSession, spec: FlowSpec, increment: DataFrame, as
     limit = target.config.get("broadcast_bytes")
     staged = stage(increment, limit=None if limit is None else int(limit))
     try:
-        if target.type in _FILE_TARGETS:
+        if target.type in FILE_TARGETS:
             return _merge_folder(spark, spec, staged, as_of)
         if target.type == "iceberg":
             return _merge_iceberg(spark, spec, staged, as_of)
@@ -126,24 +124,15 @@ def load_increment(spark: SparkSession, spec: FlowSpec, increment: DataFrame, as
         staged.discard()
 
 
-def _reads_from(rows: DataFrame, path: str) -> bool:
-    """Whether ``rows`` come from files under ``path``."""
-    home = re.sub(r"^file:/+", "/", path.rstrip("/")) + "/"
-    return any(re.sub(r"^file:/+", "/", f).startswith(home) for f in rows.inputFiles())
-
-
 def _write_as_is(spark: SparkSession, target: TargetSpec, rows: DataFrame) -> DataFrame:
-    if target.type in _FILE_TARGETS:
+    if target.type in FILE_TARGETS:
         folder = SnapshotFolder(spark, target.config["path"])
         before = folder.snapshot()
         if before is not None:
             return _write_to_folder(folder, before, target, rows)
-        if target.mode == "overwrite" and _reads_from(rows, target.config["path"]):
-            # Spark deletes the files before it reads them: the new contents are written elsewhere first, and stay
-            # there should the overwrite fail half-way.
-            copy = stage(rows, "overwrite")
-            write_plain(copy.frame, target.type, target.config)
-            copy.discard()
+        if target.mode == "overwrite":
+            # The old files, which the rows may come from, are gone by then.
+            write_plain(rows, target.type, target.config)
             return read_target(spark, target.type, target.config)
     write_plain(rows, target.type, target.config)
     return rows
@@ -159,7 +148,7 @@ def _write_to_folder(folder: SnapshotFolder, before: Snapshot, target: TargetSpe
     if target.mode == "append":
         rows = rows.select(*[f"`{f.name}`" for f in before.schema.fields])
         after = folder.commit(rows, before.format, before.options, before.partition_by, replace=(),
-                              at=before)
+                              at=before, buckets=before.buckets)
     else:
         after = folder.commit(rows, target.config["format"], target.config.get("options"),
                               target.partition_by, at=before)
@@ -177,6 +166,8 @@ def _merged(spec: FlowSpec, current: DataFrame | None, staged: Staged, as_of: An
     if target.scd2:
         if current is None:
             return scd2_init(staged.frame, target.scd2, as_of)
+        if target.scd2.backdated:
+            return scd2_backdated(current, staged.frame, target.scd2, as_of, broadcast_source=small)
         # Such a target may have been written by anyone.
         return scd2_merge(current, staged.frame, target.scd2, as_of, broadcast_source=small, check_target=True)
     if current is None:
@@ -192,45 +183,60 @@ def _merge_folder(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: An
     folder = SnapshotFolder(spark, target.config["path"])
     layout = (*target.partition_by, scd2.is_current) if scd2 else tuple(target.partition_by)
     how = {"format": target.config["format"].lower(), "options": target.config.get("options"),
-           "partition_by": layout, "rebalance_by": target.partition_by}
+           "partition_by": layout, "rebalance_by": target.partition_by, "buckets": _buckets(spec)}
     before = folder.snapshot()
-    if before is None or (before.format, before.partition_by) != (how["format"], layout):
+    if before is None or (before.format, before.partition_by, before.buckets) != (how["format"], layout, how["buckets"]):
         current = read_target(spark, target.type, target.config)
         rows = _merged(spec, current, staged, as_of)
+        # What other writers than type 2 loads leave behind is not known: they may close or remove any row.
         notes = {_EVERY_KEY_OPEN: True} if scd2 and current is None else None
         return folder.read(at=folder.commit(rows, at=before, notes=notes, **how))
 
     reached = _reached_parts(spec, staged.frame, before)
-    if scd2:
+    notes = None
+    if scd2 and not scd2.backdated:
         open_parts = {p for p in reached if json.loads(p).get(scd2.is_current) == "true"}
         every_key_open = bool(before.notes.get(_EVERY_KEY_OPEN))
         rows = scd2_open(folder.read(open_parts, before), staged.frame, scd2, as_of,
                          broadcast_source=staged.small, check_target=True, every_key_open=every_key_open,
                          history=None if every_key_open else folder.read(reached - open_parts, before))
         reached = open_parts        # closed rows are only added to
+        notes = {_EVERY_KEY_OPEN: every_key_open and not scd2.closes_absent}
     else:
         rows = _merged(spec, folder.read(reached, before), staged, as_of)
-    return folder.read(at=folder.commit(rows, replace=reached, at=before, notes=before.notes, **how))
+    return folder.read(at=folder.commit(rows, replace=reached, at=before, notes=notes, **how))
+
+
+def _keys(spec: FlowSpec) -> list[str]:
+    if spec.change_log:
+        return list(spec.change_log.keys)
+    return list(spec.target.scd2.keys) if spec.target.scd2 else list(merge_keys(spec.target.config))
+
+
+def _buckets(spec: FlowSpec) -> Buckets | None:
+    n = spec.target.config.get("buckets")
+    return Buckets(tuple(_keys(spec)), int(n), bool(spec.target.config.get("null_safe"))) if n else None
 
 
 def _reached_parts(spec: FlowSpec, increment: DataFrame, before: Snapshot) -> set[str]:
     """Partitions that may hold keys of the increment.
 
-    Rows of one key share a partition only if the partition columns belong to the key; otherwise
-    every partition may be meant.
+    Rows of one key share a bucket, and a partition only if the partition columns belong to the key; otherwise
+    every partition may be meant. A full source also means the keys it lacks.
     """
-    target = spec.target
-    if spec.change_log:
-        keys = spec.change_log.keys
-    else:
-        keys = target.scd2.keys if target.scd2 else merge_keys(target.config)
+    target, parts = spec.target, before.parts()
+    if target.scd2 and target.scd2.closes_absent:
+        return parts
+    if before.buckets:
+        known = before.buckets.reached(increment, before.schema)
+        parts = {p for p in parts if json.loads(p).get(BUCKET) in known}
     columns = target.partition_by
-    if not columns or not set(columns) <= set(keys):
-        return before.parts()
+    if not columns or not set(columns) <= set(_keys(spec)):
+        return parts
     typed = increment.select(*[F.col(c).cast(before.schema[c].dataType).alias(c) for c in columns])
     wanted = [json.loads(p) for p in part_keys(typed, columns)]
     known = {tuple(w.get(c) for c in columns) for w in wanted}
-    return {p for p in before.parts() if tuple(json.loads(p).get(c) for c in columns) in known}
+    return {p for p in parts if tuple(json.loads(p).get(c) for c in columns) in known}
 
 
 def _merge_iceberg(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: Any) -> DataFrame:

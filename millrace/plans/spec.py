@@ -116,6 +116,10 @@ class FlowSpec:
         return cdc if cdc.enabled and cdc.mode == "binlog" and cdc.keys else None
 
 
+# Targets whose files this library lays out itself.
+FILE_TARGETS = ("s3", "files", "csv", "parquet")
+
+
 def load_connections(source: str | os.PathLike | Mapping | None) -> dict[str, dict[str, Any]]:
     """``{type: {name: settings}}`` from a YAML file or a mapping; a missing file holds none."""
     if source is None:
@@ -224,7 +228,17 @@ def _check_together(spec: FlowSpec) -> None:
             if cdc.enabled and cdc.state and cdc.mode == "timestamp" and (cdc.inclusive or cdc.lookback):
                 raise ValueError(f"{source.name}: an append target would get the rows at the cursor again with every run; "
                                  "set 'inclusive: false' without 'lookback', or merge")
-    if spec.target.scd2 and spec.target.mode == MERGE:
+    scd2, buckets = spec.target.scd2, spec.target.config.get("buckets")
+    if scd2 and scd2.closes_absent and any(s.cdc.enabled for s in spec.sources):
+        raise ValueError("'deletes: close' needs full sources; an increment lacks most keys")
+    if scd2 and scd2.backdated and spec.target.type == "iceberg":
+        raise ValueError("backdated loads rewrite versions of their keys, which the iceberg merge does not")
+    if buckets is not None:
+        if isinstance(buckets, bool) or not isinstance(buckets, int) or buckets < 1:
+            raise ValueError(f"'buckets' must be a positive number, not {buckets!r}")
+        if spec.target.type not in FILE_TARGETS or not (scd2 or spec.target.mode == MERGE or any(logs)):
+            raise ValueError("'buckets' lays out file targets that are merged by key")
+    if scd2 and spec.target.mode == MERGE:
         raise ValueError("an scd2 target merges by itself; leave out mode 'merge'")
 
 

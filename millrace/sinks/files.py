@@ -33,13 +33,50 @@ def write_files(df: DataFrame, path: str, format: str, mode: str = DEFAULT_MODE,
 
     The rebalance hint lets Spark merge small and split large partition values at run time, so a
     value that holds a third of all rows is written by many tasks.
+
+    ``overwrite`` writes aside and swaps folders when all is written: a job that fails leaves the old rows, and
+    the rows may come from ``path`` itself. With the option ``partitionOverwriteMode: dynamic`` only the partitions
+    that the rows fall into are replaced; these the rows may not come from.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.format(format.lower()).mode(mode).options(**dict(options or {}))
+    options = dict(options or {})
+    dynamic = {k.lower(): str(v).lower() for k, v in options.items()}.get("partitionoverwritemode") == "dynamic"
+    swap = mode == "overwrite" and not (partition_by and dynamic)
+    there = f"{_parent(path)}/.{path.rstrip('/').rsplit('/', 1)[-1]}-{uuid.uuid4().hex[:12]}" if swap else path
+    writer = df.write.format(format.lower()).mode("errorifexists" if swap else mode).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    if not swap:
+        writer.save(path)
+        return
+    try:
+        writer.save(there)
+    except BaseException:
+        delete_folder(df.sparkSession, there)
+        raise
+    _swap(df.sparkSession, there, path.rstrip("/"))
+
+
+def _parent(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[0] if "/" in path.rstrip("/") else "."
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path``: two renames, and a third to undo the first if the second fails."""
+    old = f"{fresh}-old"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = store.exists(place(path))
+    if had and not store.rename(place(path), place(old)):
+        raise RuntimeError(f"{path} cannot be moved aside")
+    if not store.rename(place(fresh), place(path)):
+        if had:
+            store.rename(place(old), place(path))
+        raise RuntimeError(f"{fresh} cannot be moved to {path}")
+    if had:
+        store.delete(place(old), True)
+    spark.catalog.refreshByPath(path)
 
 
 def check_jdbc_target(config: Mapping[str, Any]) -> None:

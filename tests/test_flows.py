@@ -421,3 +421,102 @@ def test_external_table_takes_a_second_merge(spark, folder, rows):
         out = run_flow(spark, spec).frame
     assert rows(out) == [(i,) for i in range(5)]
     spark.sql("DROP TABLE external_merge")
+
+
+# -- buckets, notes, overwrites ------------------------------------------------------------------------
+
+def test_an_increment_reaches_its_buckets_only(spark, folder, rows):
+    feed, sink = folder(), folder()
+    ddl = "k STRING, v STRING"
+    for settings in ({"mode": "merge", "merge_keys": ["k"]}, {"scd2": {"key_columns": ["k"], "time_type": "timestamp_ntz"}}):
+        sink = folder()
+        spec = flow("b").source("parquet", path=feed, schema=ddl).target("parquet", path=sink, buckets=8, **settings).spec()
+        spark.createDataFrame([(str(n) if n else None, "old") for n in range(60)], ddl).write.mode("overwrite").parquet(feed)
+        run_flow(spark, spec, as_of=datetime(2020, 1, 1))
+        before = SnapshotFolder(spark, sink).snapshot()
+        spark.createDataFrame([("7", "new"), (None, "new")], ddl).write.mode("overwrite").parquet(feed)
+        out = run_flow(spark, spec, as_of=datetime(2030, 1, 1)).frame
+        after = SnapshotFolder(spark, sink).snapshot()
+        fresh = {f.split("/")[1] for f in set(after.folders) - set(before.folders)}
+        gone = set(before.folders) - set(after.folders)
+        assert len(gone) == 1 and len(fresh) == 2 and "__bucket=-1" in fresh       # one bucket rewritten; the NULL key was added to its own
+        assert out.filter("v = 'new'").count() == 2 and out.filter("k IS NULL").count() == 2
+        assert out.count() == 61 + ("scd2" in settings)
+        # The scan of a load's target is limited to that bucket.
+        reached = run_module._reached_parts(spec, spark.createDataFrame([("7", "x")], ddl), after)
+        files = SnapshotFolder(spark, sink).read(reached, after).inputFiles()
+        assert files and len({f.split("__bucket=")[1].split("/")[0] for f in files}) == 1
+
+
+def test_other_bucket_numbers_rewrite_the_target(spark, folder, rows):
+    feed, sink = folder(), folder()
+    spark.range(20).write.parquet(feed)
+    for n in (None, 4, 6, None):
+        settings = {} if n is None else {"buckets": n}
+        spec = flow("n").source("parquet", path=feed).target("parquet", path=sink, mode="merge", merge_keys="id", **settings).spec()
+        assert rows(run_flow(spark, spec).frame) == sorted([(k,) for k in range(20)], key=repr)
+    spark.range(20, 22).write.mode("overwrite").parquet(feed)
+    run_flow(spark, flow("a").source("parquet", path=feed).target("parquet", path=sink, buckets=3, mode="merge", merge_keys="id").spec())
+    run_flow(spark, flow("a").source("parquet", path=feed).target("parquet", path=sink, mode="append").spec())
+    assert SnapshotFolder(spark, sink).read().count() == 24
+
+
+@pytest.mark.parametrize("between", ["append", "log"])
+def test_versions_go_on_after_other_writers(spark, folder, rows, between):
+    """What closes rows without opening others makes later type 2 loads look at history again."""
+    feed, sink = folder(), folder()
+
+    def load(value, moment):
+        spark.createDataFrame([(1, value)], "k INT, v STRING").write.mode("overwrite").parquet(feed)
+        return run_flow(spark, _dimension(feed, sink), as_of=moment).frame
+
+    load("a", datetime(2020, 1, 1))
+    load("b", datetime(2021, 1, 1))
+    rest = "v STRING, valid_from TIMESTAMP_NTZ, valid_to TIMESTAMP_NTZ, is_current BOOLEAN"
+    if between == "append":
+        spark.createDataFrame([(9, "x", datetime(2019, 1, 1), datetime(2019, 2, 1), False, 5)], f"k INT, {rest}, version INT").write.mode("overwrite").parquet(feed)
+        run_flow(spark, flow("more").source("parquet", path=feed).target("parquet", path=sink, mode="append").spec())
+        spark.createDataFrame([(9, "y")], "k INT, v STRING").write.mode("overwrite").parquet(feed)
+        out = run_flow(spark, _dimension(feed, sink), as_of=datetime(2022, 1, 1)).frame
+        assert rows(out.filter("k = 9"), "v", "version") == [("x", 5), ("y", 6)]
+    else:
+        log = spark.createDataFrame([("D", 1, 1, 2)], "op STRING, seq INT, k INT, version INT").select("op", "seq", "k", "version", *[
+            F.lit(None).cast(t).alias(n) for n, t in (("v", "string"), ("valid_from", "timestamp_ntz"), ("valid_to", "timestamp_ntz"), ("is_current", "boolean"))])
+        log.write.mode("overwrite").parquet(feed)
+        run_flow(spark, flow("log").source("parquet", path=feed, cdc={"enabled": True, "mode": "binlog", "binlog": {"keys": ["k", "version"]}})
+                 .target("parquet", path=sink, partition_by=["is_current"]).spec())
+        assert rows(load("c", datetime(2022, 1, 1)), "v", "version") == [("a", 1), ("c", 2)]
+
+
+def test_an_overwrite_that_fails_keeps_the_old_rows(spark, folder, rows):
+    feed, sink = folder(), folder()
+    spark.range(3).write.parquet(feed)
+    spark.range(10, 12).write.parquet(sink)
+    spec = flow("o").source("parquet", path=feed).sql("SELECT assert_true(id < 2) AS x, id FROM temp_table").target("parquet", path=sink, mode="overwrite").spec()
+    with pytest.raises(Exception):
+        run_flow(spark, spec)
+    assert rows(spark.read.parquet(sink)) == [(10,), (11,)]
+    run_flow(spark, flow("o").source("parquet", path=feed).target("parquet", path=sink, mode="overwrite").spec())
+    assert rows(spark.read.parquet(sink)) == [(0,), (1,), (2,)]
+
+
+def test_partitions_can_be_overwritten_alone(spark, folder, rows):
+    feed, sink = folder(), folder()
+    spark.createDataFrame([(1, "a"), (2, "b")], "id INT, kind STRING").write.partitionBy("kind").parquet(sink)
+    spark.createDataFrame([(3, "b")], "id INT, kind STRING").write.parquet(feed)
+    spec = flow("p").source("parquet", path=feed).target("parquet", path=sink, mode="overwrite", partition_by=["kind"], options={"partitionOverwriteMode": "dynamic"}).spec()
+    assert rows(run_flow(spark, spec).frame, "id", "kind") == [(1, "a"), (3, "b")]
+
+
+def test_settings_of_layout_and_deletes_are_checked():
+    def target(**config):
+        return flow("t").source("parquet", path="p").target("parquet", path="q", **config)
+
+    for bad in ({"buckets": 4}, {"buckets": 0, "mode": "merge", "merge_keys": "k"}, {"buckets": "4", "mode": "merge", "merge_keys": "k"}):
+        with pytest.raises(ValueError, match="buckets"):
+            target(**bad).spec()
+    with pytest.raises(ValueError, match="full sources"):
+        (flow("t").source("parquet", path="p", cdc={"enabled": True, "timestamp": {"column": "c"}})
+         .target("parquet", path="q", scd2={"key_columns": ["k"], "deletes": "close"}).spec())
+    with pytest.raises(ValueError, match="backdated"):
+        flow("t").source("parquet", path="p").target("iceberg", path="q", scd2={"key_columns": ["k"], "backdated": True}).spec()

@@ -229,3 +229,83 @@ def test_as_of_must_lie_after_what_it_closes(spark, rows, broadcast, moment):
         scd2_merge(target, src(spark, [(1, "x"), (2, "b")]), CFG, moment, broadcast_source=broadcast).collect()
     same = scd2_merge(target, src(spark, [(1, "a"), (3, "new")]), CFG, moment, broadcast_source=broadcast)
     assert rows(same) == sorted([tuple(r) for r in target.collect()] + [(3, "new", moment, None, True, 1)], key=repr)
+
+
+# -- loads dated inside history, and full sources ----------------------------------------------------
+
+LATE = Scd2Config(keys=("k",), time_type="timestamp_ntz", backdated=True)
+
+
+def in_order(loads):
+    """Versions after loads (moment, {key: value}) in the order of their dates."""
+    out = {}
+    for at, news in sorted(loads, key=lambda x: x[0]):
+        for k, v in news.items():
+            versions = out.setdefault(k, [])
+            if not versions or versions[-1][1] != v:
+                if versions:
+                    versions[-1][3:5] = [at, False]
+                versions.append([k, v, at, None, True, len(versions) + 1])
+    return sorted((tuple(r) for rs in out.values() for r in rs), key=repr)
+
+
+@BOTH
+def test_loads_in_any_order(spark, rows, broadcast):
+    import random
+
+    from millrace import scd2_backdated
+
+    loads = [(datetime(2020 + n, 1, 1), {k: "ab"[(n * k // 2 + k) % 2] for k in range(1, 6) if (n + k) % 3}) for n in range(6)]
+    for seed in range(2):
+        shuffled = random.Random(seed).sample(loads, len(loads))
+        target = None
+        for at, news in shuffled:
+            source = src(spark, list(news.items()))
+            now = scd2_init(source, LATE, at) if target is None else scd2_backdated(target, source, LATE, at, broadcast_source=broadcast)
+            target = spark.createDataFrame(now.collect(), now.schema)       # a short plan
+        assert rows(target.drop("confirmed_at")) == in_order(loads)
+        again = scd2_backdated(target, src(spark, list(loads[3][1].items())), LATE, loads[3][0])
+        assert rows(again) == rows(target)                                  # a load that is repeated changes nothing
+
+
+def test_backdated_edges(spark, rows):
+    from millrace import scd2_backdated
+
+    ddl = DDL + ", confirmed_at ARRAY<TIMESTAMP_NTZ>, own STRING"
+    target = spark.createDataFrame([(1, "a", T0, T2, False, 1, [], "kept"), (2, "z", T0, None, True, 1, [], "other"), (None, "n", T0, None, True, 1, [], None)], ddl)
+    assert rows(scd2_backdated(target, src(spark, []), LATE, T1)) == rows(target)
+    # Inside a version that ended: both halves end, the second where the whole did; a column of the target's own goes along.
+    cut = scd2_backdated(target, src(spark, [(1, "b"), (None, "m")]), LATE, T1)
+    assert rows(cut, *DDL.replace(",", "").split()[::2], "own") == sorted([
+        (1, "a", T0, T1, False, 1, "kept"), (1, "b", T1, T2, False, 2, "kept"), (2, "z", T0, None, True, 1, "other"), (None, "n", T0, None, True, 1, None),
+        (None, "m", T1, None, True, 1, None)], key=repr)
+    # After the end the key opens again with the next number, and right at the end, too.
+    for at in (T2, T3):
+        again = scd2_backdated(target, src(spark, [(1, "a")]), LATE, at)
+        assert rows(again.filter("k = 1"), "v", "valid_from", "valid_to", "version") == [("a", T0, T2, 1), ("a", at, None, 2)]
+    with pytest.raises(Exception, match="two states of one key"):
+        scd2_backdated(target, src(spark, [(1, "b")]), LATE, T0).collect()
+    with pytest.raises(ValueError, match="no column confirmed_at"):
+        scd2_backdated(target.drop("confirmed_at"), src(spark, []), LATE, T1)
+
+
+@BOTH
+def test_full_sources_close_what_they_lack(spark, rows, broadcast):
+    full = Scd2Config(keys=("k",), time_type="timestamp_ntz", deletes="close")
+    target = dim(spark, [(1, "a", T0, None, True, 1), (2, "b", T0, None, True, 1), (3, "c", T0, T1, False, 1), (None, "n", T0, None, True, 1)])
+    source = src(spark, [(1, "A"), (3, "c")])
+    out = scd2_merge(target, source, full, T2, broadcast_source=broadcast)
+    want = [(1, "a", T0, T2, False, 1), (1, "A", T2, None, True, 2), (2, "b", T0, T2, False, 1), (3, "c", T0, T1, False, 1), (3, "c", T2, None, True, 2),
+            (None, "n", T0, None, True, 1)]
+    assert rows(out) == sorted(want, key=repr)
+    changed = scd2_changes(target, source, full, T2, broadcast_source=broadcast)
+    assert rows(changed) == sorted((r for r in want if T2 in r), key=repr)
+    with pytest.raises(Exception, match="as_of is not after"):
+        scd2_merge(target, src(spark, [(1, "a")]), full, T0, broadcast_source=broadcast).collect()
+
+
+def test_settings_that_exclude_each_other():
+    with pytest.raises(ValueError, match="'keep' or 'close'"):
+        Scd2Config(keys=("k",), deletes="drop")
+    with pytest.raises(ValueError, match="close no others"):
+        Scd2Config(keys=("k",), deletes="close", backdated=True)

@@ -97,3 +97,75 @@ def test_compaction_keeps_the_rows(spark, folder, rows):
     flat.commit(frame(spark, [(1, "a", 1)]))
     flat.commit(frame(spark, [(2, "b", 2)]), replace=())
     assert len(flat.compact().folders) == 1 and rows(flat.read()) == [(1, "a", 1), (2, "b", 2)]
+
+
+def test_commits_write_what_changed(spark, folder, rows):
+    """Twelve appends: every listing but each tenth is one row long, and readers see all rows."""
+    target = SnapshotFolder(spark, folder())
+    for n in range(12):
+        state = target.commit(frame(spark, [(n, "a", n)]), replace=())
+    assert rows(target.read(), "id") == sorted([(n,) for n in range(12)], key=repr) and state.id == 12
+    assert len(state.listings) == 2                              # the full one at commit 11, and one delta
+    sizes = [spark.read.parquet(f"{target.path}/_listings/{name}").count() for name in sorted(target._names(f"{target.path}/_listings"))]
+    assert sizes == [1] * 10 + [11, 1]
+    assert target.orphans() == [] and target.retired_folders().count() == 0
+
+
+def test_drops_and_full_listings(spark, folder, rows, monkeypatch):
+    """Replaced partitions stay replaced over deltas and full listings alike, whatever their sequence."""
+    for every in (1, 2, 10):
+        monkeypatch.setattr(snapshots, "FULL_EVERY", every)
+        target = SnapshotFolder(spark, folder())
+        want = {}
+        for n in range(7):
+            kinds = ["abc"[n % 3], "abc"[(n * 2 + 1) % 3], None][: 2 + n % 2]
+            news = frame(spark, [(10 * n + k, kind, n) for k, kind in enumerate(kinds)])
+            parts = part_keys(news, ["kind"]) if n else None
+            target.commit(news, partition_by=["kind"], replace=parts)
+            want = {kind: v for kind, v in want.items() if kind not in kinds}
+            for k, kind in enumerate(kinds):
+                want.setdefault(kind, []).append((10 * n + k, kind, n))
+        assert rows(target.read()) == sorted((r for rs in want.values() for r in rs), key=repr)
+
+
+def test_racing_writers_lose_nothing(spark, folder, rows):
+    """Both write their rows before either commits; the second commit finds its number taken."""
+    path = folder()
+    target = SnapshotFolder(spark, path)
+    before = target.commit(frame(spark, [(1, "a", 1)]))
+    publish, waiting = SnapshotFolder._publish, []
+    slow = SnapshotFolder(spark, path)
+    slow._publish = waiting.append
+    slow.commit(frame(spark, [(2, "slow", 2)]), replace=(), at=before)
+    target.commit(frame(spark, [(3, "quick", 3)]), replace=(), at=before)
+    with pytest.raises(RuntimeError, match="another load was committed"):
+        publish(slow, waiting[0])
+    assert rows(target.read()) == [(1, "a", 1), (3, "quick", 3)]
+    assert len(target.orphans()) == 1
+    target.commit(frame(spark, [(2, "slow", 2)]), replace=())
+    assert rows(target.read(), "id") == [(1,), (2,), (3,)]
+
+
+def test_a_lost_or_stale_hint_is_no_loss(spark, folder, rows):
+    target = SnapshotFolder(spark, folder())
+    for n in range(3):
+        target.commit(frame(spark, [(n, "a", n)]), replace=())
+    for text in ("1", "not a number", "77"):
+        target._write(f"{target.path}/_commits/_newest", text)
+        assert target.snapshot().id == 3
+
+
+def test_buckets_spread_keys_and_leave_null_ones_alone(spark, folder, rows):
+    target = SnapshotFolder(spark, folder())
+    buckets = snapshots.Buckets(("id",), 4)
+    data = [(n if n % 3 else None, "k", n) for n in range(30)]
+    state = target.commit(frame(spark, data), buckets=buckets)
+    assert rows(target.read()) == sorted(data, key=repr) and target.read().columns == ["id", "kind", "v"]
+    assert {f.split("/")[1] for f in state.folders} == {f"__bucket={k}" for k in (-1, 0, 1, 2, 3)}
+    news = frame(spark, [(7, "new", 0), (None, "loose", 0)])
+    assert len(buckets.reached(news, state.schema)) == 1
+    assert buckets.reached(news.withColumn("id", F.col("id").cast("string")), state.schema) == buckets.reached(news, state.schema)
+    with pytest.raises(ValueError, match="cannot be replaced"):
+        target.commit(news, replace=())
+    with pytest.raises(ValueError, match="positive"):
+        snapshots.Buckets(("id",), 0)

@@ -60,7 +60,8 @@ def test_chained_blocks_reuse_names(spark, rows):
 
 def test_python_steps(spark, rows):
     df = spark.createDataFrame([(1, None), (2, "x"), (None, "y")], "a INT, b STRING")
-    assert rows(not_null(df)) == [(2, "x"), (None, "y")]
+    assert rows(not_null(df, "b")) == [(2, "x"), (None, "y")]
+    assert rows(not_null(df)) == [(2, "x")]                     # unnamed columns: all of them
     assert rows(df.transform(python_step("not_null", {"columns": ["a", "b"]}))) == [(2, "x")]
     with pytest.raises(ValueError, match="no transform is registered"):
         python_step("unheard_of")
