@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,13 @@ from millrace.llm.shingles import text_chunks
 
 # Pairs that are sent to every executor: a hash table of some 50 MB.
 HOT_PAIRS = 500_000
-# Words whose ids are kept, and the longest of them; the number may be exceeded by the words of one batch.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
-# Fixed value: the pattern by which byte-level tokenizers of this kind divide a text.
-BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Ids that are kept with their words, and the longest such word; the number may be exceeded by the words of one batch.
+REMEMBERED, LONGEST_REMEMBERED = 3_000_000, 64
+# Characters of new words that are coded at once.
+TOGETHER = 1 << 14
+# A word begins with the space that follows a character other than white space.
+_WORDS = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+").findall
+_ODD_BLANK = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 _SPACE = "▁"
 _TEXT = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "
@@ -52,39 +55,12 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Words:
-    """A tokenizer of single words with a cache: the ids of a word, or None where their bytes are not the word's."""
-
-    def __init__(self, pattern: str, encode, token_bytes: list[bytes]):
-        self.split = regex.compile(pattern).findall if pattern else lambda text: [text]
-        self.encode, self.token_bytes = encode, token_bytes
-        self.known: dict[str, tuple[int, ...] | None] = {}
-
-    def code(self, texts: list[str]) -> list[list[int] | None]:
-        words = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        for word, ids in zip(new, self.encode(new)):
-            same = b"".join(map(self.token_bytes.__getitem__, ids)) == word.encode()
-            self.known[word] = tuple(ids) if same else None
-        known = self.known.__getitem__
-        out: list[list[int] | None] = []
-        for parts in words:
-            coded = list(map(known, parts))
-            out.append(None if None in coded else list(chain.from_iterable(coded)))
-        for word in new:
-            if len(word) > LONGEST_REMEMBERED:
-                del self.known[word]
-        return out
-
-
 class Coders:
-    """Both tokenizers by words, and the bytes of all their tokens.
+    """Both tokenizers, by words that are coded only once, and the bytes of all their tokens.
 
-    Where a vocabulary says that no token goes over the border of two words, the words of a text are coded each on its own, and only once: for
-    A these are the pieces that a byte-level tokenizer's own pattern makes; for B runs of spaces with what follows, if no piece of the model has a space
-    behind another character. Other vocabularies get whole texts.
+    A text is cut where a space follows a character that is no white space, unless a vocabulary may join what such a cut divides: A must be a
+    byte-level tokenizer whose own pattern divides texts there, and no piece of B may have a space behind another character. White
+    space beyond ASCII, on whose kind the two may disagree, keeps a text whole.
     """
 
     def __init__(self, vocabulary: str, model: bytes):
@@ -92,33 +68,97 @@ class Coders:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True
+        self.a = Tokenizer.from_str(vocabulary)
+        self.a.encode_special_tokens = True
         described = json.loads(vocabulary)
         pre = described.get("pre_tokenizer") or {}
-        own_words = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not described.get("normalizer")
+        divides = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not described.get("normalizer")
         letters = byte_of_letter()
-        a_bytes = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+        a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
+        for token, number in self.a.get_vocab(with_added_tokens=False).items():
             a_bytes[number] = bytes(letters[c] for c in token) if letters.keys() >= set(token) else b""
-        self.a = Words(BYTE_LEVEL_WORDS if own_words else "", lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], a_bytes)
 
-        processor = SentencePieceProcessor(model_proto=model)
-        pieces = [processor.id_to_piece(k) for k in range(processor.get_piece_size())]
-        b_bytes = [bytes([int(p[3:5], 16)]) if processor.is_byte(k) else b"" if processor.is_control(k) or processor.is_unknown(k)
+        self.b = SentencePieceProcessor(model_proto=model)
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) or self.b.is_unknown(k)
                    else p.replace(_SPACE, " ").encode() for k, p in enumerate(pieces)]
-        lone = [processor.piece_to_id(_SPACE)]
-
-        def encode(words: list[str]) -> list[list[int]]:
-            # Each word begins with a space, which the tokenizer puts there itself - but not before nothing.
-            return [ids if word != " " else lone for word, ids in zip(words, processor.encode([w[1:] for w in words], num_threads=1))]
+        self.lone = [self.b.piece_to_id(_SPACE)]
+        self.by_words = divides and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
 
-        joined = any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.b = Words("" if joined else r" +[^ ]*", encode, b_bytes)
-        self.lengths = [np.array([len(t) for t in side.token_bytes], np.int64) for side in (self.a, self.b)]
+        self.token_bytes = (a_bytes, b_bytes)
+        self.lengths = [np.array([len(t) for t in side], np.int64) for side in self.token_bytes]
         # An id with what stands before it in a group's text: another token of its side, a new group, or the other side.
         self.width = max(map(len, self.lengths))
         self.texts = np.array([f"{mark}{k}" for mark in ",;|" for k in range(self.width)], object)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        # Of all words known: their ids end to end, how many each has, and whether these give the word's bytes back.
+        self.flat = [np.zeros(0, np.int32)] * 2
+        self.sizes = [np.zeros(0, np.int64)] * 2
+        self.good = np.zeros(0, bool)
+
+    def _coded(self, text: str) -> list[np.ndarray]:
+        """Ids of a text that begins with a space. B puts that there itself - but not before nothing."""
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text[1:]) if text != " " else self.lone
+        return [np.array(a, np.int32), np.array(b, np.int32)]
+
+    def _same(self, side: int, ids: np.ndarray, whole: bytes) -> bool:
+        return b"".join(map(self.token_bytes[side].__getitem__, ids.tolist())) == whole
+
+    def _together(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids and numbers of ids of words that may stand one behind the other, and which of them are given back."""
+        whole = "".join(words)
+        ids, encoded = self._coded(whole), whole.encode()
+        if not all(self._same(side, ids[side], encoded) for side in (0, 1)):
+            if len(words) == 1:
+                return ids, [np.array([len(i)]) for i in ids], np.zeros(1, bool)
+            parts = [self._together([w]) for w in words]
+            return ([np.concatenate([p[0][side] for p in parts]) for side in (0, 1)], [np.concatenate([p[1][side] for p in parts]) for side in (0, 1)],
+                    np.concatenate([p[2] for p in parts]))
+        ends = np.cumsum([len(w.encode()) for w in words])
+        sizes = [np.diff(np.searchsorted(np.cumsum(length[i]), ends, "right"), prepend=0) for length, i in zip(self.lengths, ids)]
+        return ids, sizes, np.ones(len(words), bool)
+
+    def _learn(self, words: list[str]) -> None:
+        """Words are coded together where a text of them would be cut between them: if they end in no white space."""
+        plain = [w for w in words if self.by_words and not w[-1].isspace() and not _ODD_BLANK(w)]
+        size = np.cumsum([len(w) for w in plain]) // TOGETHER
+        borders = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(plain)]
+        alone = sorted(set(words).difference(plain))
+        groups = [plain[s:e] for s, e in zip(borders, borders[1:]) if e > s] + [[w] for w in alone]
+        found = [self._together(g) for g in groups]
+        self.known.update(zip(chain.from_iterable(groups), range(len(self.good), len(self.good) + len(words))))
+        self.good = np.concatenate([self.good, *(f[2] for f in found)])
+        for side in (0, 1):
+            self.flat[side] = np.concatenate([self.flat[side], *(f[0][side] for f in found)])
+            self.sizes[side] = np.concatenate([self.sizes[side], *(f[1][side] for f in found)])
+
+    def code(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all texts by A and by B, end to end, and their numbers per text; none where bytes are not given back.
+
+        Texts begin with the space that both put before a text."""
+        if len(self.flat[0]) > REMEMBERED:
+            self._forget()
+        words = [_WORDS(t) if self.by_words and not _ODD_BLANK(t) else [t] if t else [] for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        self._learn(new)
+        counts = np.array([len(w) for w in words], np.int64)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        for word in new:
+            if len(word) > LONGEST_REMEMBERED:
+                del self.known[word]
+        owner = np.repeat(np.arange(len(texts)), counts)
+        bad = np.bincount(owner[~self.good[number]], minlength=len(texts)) > 0
+        number, owner = number[~bad[owner]], owner[~bad[owner]]
+        ids, sizes = [], []
+        for flat, size in zip(self.flat, self.sizes):
+            first, n = (np.cumsum(size) - size)[number], size[number]
+            ids.append(flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)].astype(np.int64))
+            sizes.append(np.bincount(owner, n, len(texts)).astype(np.int64))
+        return ids, sizes
 
 
 @lru_cache(maxsize=1)
@@ -143,17 +183,13 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return left, np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def align_texts(coder: Coders, texts: list[bytes]) -> dict[str, list | np.ndarray]:
+def align_texts(coder: Coders, texts: list[bytes]) -> dict[str, list[str] | np.ndarray]:
     """Counts, group texts and pair counts of some texts (UTF-8); the arrays of pairs are laid end to end."""
     n = len(texts)
-    tokens: list[list[list[int]]] = [[[]] * n, [[]] * n]
-    whole = {k: " " + t.decode("utf-8", "replace") for k, t in enumerate(texts) if t}
-    for k, text, a, b in zip(whole, whole.values(), coder.a.code(list(whole.values())), coder.b.code(list(whole.values()))):
-        # Bytes that are no UTF-8 have become others.
-        if a is not None and b is not None and ("\ufffd" not in text or text.encode() == b" " + texts[k]):
-            tokens[0][k], tokens[1][k] = a, b
-    counts = [np.array([len(t) for t in side], np.int64) for side in tokens]
-    ids = [np.fromiter(chain.from_iterable(side), np.int64, int(c.sum())) for side, c in zip(tokens, counts)]
+    whole = [" " + t.decode("utf-8", "replace") if t else "" for t in texts]
+    # Bytes that are no UTF-8 have become others.
+    whole = ["" if "\ufffd" in w and w.encode() != b" " + t else w for w, t in zip(whole, texts)]
+    ids, counts = coder.code(whole)
     # The texts that count are tiled by both without gaps, so places in all of them together agree, too.
     ends = [np.cumsum(length[i]) for length, i in zip(coder.lengths, ids)]
     starts = [e - length[i] for e, length, i in zip(ends, coder.lengths, ids)]
@@ -235,16 +271,16 @@ def align(docs: DataFrame, vocabulary_file: str, model_file: str, id_column: str
               .select("key", "total", (F.col("total") == F.col("top")).cast("bigint").alias("best")))
     least = _most_frequent(counted, hot_pairs)
 
-    own = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
     sums = (F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("total")).alias("count_sum"))
-    lines = aligned.select(*own, F.inline_outer("pairs"))
+    lines = aligned.select("row", F.inline("pairs"))
     hot = F.broadcast(ranked.where(F.col("total") >= least))
-    scored = lines.join(hot, "key", "left").groupBy(*own).agg(*sums)
+    # A text's pairs lie together, so this is one row per text before anything is shuffled.
+    found = lines.join(hot, "key").groupBy("row").agg(*sums)
     if least > 1:
         cold = ranked.where(F.col("total") < least).hint("shuffle_merge")
-        rest = lines.where("key IS NOT NULL").select("row", "key", "n").join(hot, "key", "left_anti").join(cold, "key").groupBy("row").agg(*sums)
-        parts = scored.unionByName(rest, allowMissingColumns=True)
-        scored = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in own[1:]], F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+        rest = lines.join(hot, "key", "left_anti").join(cold, "key").groupBy("row").agg(*sums)
+        found = found.unionByName(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    scored = aligned.drop("pairs").join(found, "row", "left")
     zero = F.lit(0).cast("bigint")
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"),
                          F.coalesce("count_sum", zero).alias("count_sum"), "groups")
