@@ -2,10 +2,9 @@
 
 The second is a log-likelihood ratio of two multinomials over hashed byte 4-grams: one counted on trusted documents
 (labelled good), one on the whole raw corpus. A text's score is the mean ratio per 4-gram, in whole millionths per
-4-gram, so sums are exact and the same in any order; a text below ``LEAST`` is rejected. The raw counts cover every whole
-text. The trusted counts cover the whole texts of at most ``TRUSTED`` documents labelled good, the first in the order of a
-hash of their ids - a bounded set of ids, which is sent to the tasks, so that no text is shuffled to meet its label. What is sent to the tasks is one number per hash bucket, of which there are always ``BUCKETS``; no document's
-4-gram crosses into the next one.
+4-gram, so sums are exact and the same in any order; a text below ``LEAST`` is rejected. Both counts cover every whole
+text. Up to ``TRUSTED`` ids labelled good are sent to the tasks, so that no text is shuffled to meet its label; more are joined. What is sent
+to the tasks afterwards is one number per hash bucket, of which there are always ``BUCKETS``; no document's 4-gram crosses into the next one.
 
 Defined cases: NULL text has no words, lines or 4-grams and fails the base rules; a text of fewer than four bytes
 scores 0; without any trusted document all scores are 0; a document is trusted if any row
@@ -29,7 +28,8 @@ BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 4
 SMOOTHING = 10.0             # pseudo-count of every bucket, so that a rare 4-gram says little either way
-TRUSTED = 50_000
+# Trusted ids up to this many are sent to every executor; more of them are joined with the texts, which are shuffled then.
+TRUSTED = 1_000_000
 # A text must score at least this many millionths per 4-gram: it is rejected where raw text explains it better by half a nat each.
 LEAST = -500_000
 LEAST_WORDS = 50
@@ -111,27 +111,28 @@ def measure(texts: list[bytes]) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        flags = batch.column(1).to_pylist()
-        for a, b, texts in shingles.text_chunks(batch.column(0)):
-            good = _gram_counts([t for t, f in zip(texts, flags[a:b]) if f])
-            raw += good + _gram_counts([t for t, f in zip(texts, flags[a:b]) if not f])
-            trusted += good
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])], names=["bucket", "raw", "trusted"])
+        for _, _, texts in shingles.text_chunks(batch.column(0)):
+            counts += _gram_counts(texts)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
-    """The log-likelihood ratio of each bucket in millionths, from every whole text of ``docs``."""
+    """The log-likelihood ratio of each bucket in millionths, from every whole text of ``docs`` and every trusted one among them."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("good_id")).distinct()
-    trusted = staged(good.orderBy(F.xxhash64("good_id"), "good_id").limit(most).withColumn("trusted", F.lit(True)), "rules-trusted")
-    flagged = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("good_id"), "left").select("text", "trusted")
-    counted = (flagged.mapInArrow(_count_grams, "bucket bigint, raw bigint, trusted bigint")
-               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")))
+    good = staged(good, "rules-trusted")
+    few = good.limit(most + 1).count() <= most
+    trusted = docs.join(F.broadcast(good) if few else good.hint("merge"), F.col("doc_id") == F.col("good_id"))
+
+    def counted(texts: DataFrame, of: int) -> DataFrame:
+        return (texts.select("text").mapInArrow(_count_grams, "bucket bigint, n bigint")
+                .groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("of", F.lit(of)))
+
     counts = np.zeros((2, BUCKETS))
-    for row in counted.collect():                      # at most BUCKETS rows
-        counts[:, row.bucket] = row.trusted, row.raw
+    for row in counted(trusted, 0).unionByName(counted(docs, 1)).collect():          # at most 2 * BUCKETS rows
+        counts[row.of, row.bucket] = row.n
     if not counts[0].any():
         return np.zeros(BUCKETS, np.int64)
     # Trusted counts at the corpus' scale, so that the same pseudo-count draws both multinomials to the same point.
@@ -177,14 +178,14 @@ def _keep(weights: np.ndarray, text_at: int, least: int):
 
 
 def rules(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, kept, and the ratio's sum and number of 4-grams."""
+    """One row per document: doc_id, the counts, base_failed, kept, then the ratio's sum and number of 4-grams."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weights = gram_weights(texts, labels)
     schema = ", ".join(f"{c} bigint" for c in ["doc_id", *_COUNTS, "ratio_sum", "n_grams"])
     judged = texts.mapInArrow(_judge(weights), schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return (judged.withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= least * F.col("n_grams"))))
+    kept = ~failed & (F.col("ratio_sum") >= least * F.col("n_grams"))
+    return judged.select("doc_id", *_COUNTS, failed.alias("base_failed"), kept.alias("kept"), "ratio_sum", "n_grams")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
