@@ -1,8 +1,9 @@
 """Word shingles of many texts at once, as 64-bit hashes in numpy.
 
 Texts are laid end to end as UTF-8 bytes; words are runs of bytes that are not white space, A-Z lower-cased. A word's
-hash is a polynomial of its bytes modulo 2^64, a shingle's a polynomial of its words' mixed hashes. Two
-different shingles of one comparison share a hash with a chance of 2^-64.
+hash is the sum of its bytes' random values times random odd numbers of their places, modulo 2^64 (a polynomial would not do:
+modulo a power of two there are words that share a hash for every base); a shingle's is a polynomial of its words' mixed hashes. Two
+different shingles of one comparison share a hash with a chance of about 2^-60.
 """
 
 from __future__ import annotations
@@ -54,6 +55,14 @@ def power_table(n: int, base: int) -> np.ndarray:
     return table[:n]
 
 
+def _multipliers(n: int) -> np.ndarray:
+    """A random odd number for each of the first ``n`` places of a word."""
+    table = _TABLES.get(0)
+    if table is None or len(table) < n:
+        table = _TABLES[0] = mixed(np.arange(max(n, 1 << 12), dtype=_U), 78) | _U(1)
+    return table
+
+
 def stretches(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Where the values of a text or binary column begin and end, and the bytes they lie in; nothing is copied."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -91,9 +100,13 @@ def word_hashes(texts: list[bytes], lower: bool = True, blanks: np.ndarray = _BL
     if not len(starts):
         return np.zeros(0, _U), counts
     values = (_LOWERED if lower else BYTE_VALUES)[data]
+    first = np.zeros(len(data), np.int64)
+    first[starts] = starts
+    place = np.arange(len(data)) - np.maximum.accumulate(first)
+    place[blank] = 0
+    values *= _multipliers(int(place.max()) + 1)[place]
     values[blank] = 0
-    values *= power_table(len(data), BASE)
-    return mixed(np.add.reduceat(values, starts) * power_table(len(data), INVERSE)[starts], 5), counts
+    return mixed(np.add.reduceat(values, starts), 5), counts
 
 
 def shingle_hashes(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
