@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.workspace import shared_folder
+from millrace.functions.workspace import delete_folder, shared_folder
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,13 +44,34 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+# Folders that were staged inside of each open scratch(), the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for lasting ones, which go with the scratch around this one, if any.
+
+    Frames that read a deleted table must not be used any more.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_folder(spark, path)
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read from there: fixed rows, short lineage, known size.
 
     The write's shuffle files go as soon as it is done, as nothing else can read them.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    level = len(_OPEN) - (2 if lasting else 1)
+    if level >= 0:
+        _OPEN[level].append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

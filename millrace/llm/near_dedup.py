@@ -15,8 +15,11 @@ Exact steps from there on, without ever pairing all members of a bucket:
    component are compared with all members of other components, in cells of bounded size.
 4. Components of all links.
 
-Sets travel as sorted 64-bit hashes, once for each centre or cell, in streams sorted by centre or cell; a hot
-centre is dealt over many salted copies. A task holds one centre's set, or one cell.
+Texts are not shuffled. The classes that meet others in a bucket are put in a Bloom filter of fixed size (16 MB, whatever the number of
+classes), which goes to all tasks of a second scan; only documents that pass it send their sets, and a join leaves those that are wanted.
+A fuller filter lets more sets pass, which costs shuffle, not exactness. Sets travel as sorted 64-bit hashes, once for each centre or cell,
+in streams sorted by centre or cell; a hot centre is dealt over many salted copies. A task holds one centre's set, or one
+cell, which is bounded in sets and in shingles. Inner tables are deleted when the verdicts are there.
 
 Defined cases: NULL or blank texts have no shingles, are linked with nothing and stay; a text of fewer than five
 words has its word sequence as one shingle; a NULL id counts as the largest one; nodes are sets, not ids, so rows without an id are
@@ -26,6 +29,7 @@ smallest print is the one that is kept; an empty table gives an empty result. Ot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.llm import shingles
-from millrace.llm.common import same, staged
+from millrace.llm.common import same, scratch, staged
 from millrace.llm.components import components
 
 BANDS, ROWS = 32, 3
 PERCENT = 75
 # Members that are compared with one copy of a centre, and the sides of a cell.
 SALTED = 2_000
-CELL = 1_000
+CELL, CELL_SHINGLES = 1_000, 1_000_000
+# Bits of the filter, as a power of two; two are set for each document.
+FILTER_BITS = 27
 # Columns of a cell's matrix that are multiplied at once.
 SLAB = 2_048
 
-_PRINT = "_near_print"
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,20 +111,50 @@ def _prints(values: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     return [p.tobytes() if n else None for p, n in zip(prints, counts)]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (node, wanted print, text) to (node, hashes), where the text's set has that print."""
-    for batch in batches:
-        nodes, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        for start, end, texts in shingles.text_chunks(batch.column(2)):
-            values, counts = shingles.shingle_hashes(texts)
-            ends = np.cumsum(counts)
-            own = [k for k, p in enumerate(_prints(values, counts)) if p == wanted[start + k]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[start:end][own], pa.int64()), pa.array([values[ends[k] - counts[k]:ends[k]].tobytes() for k in own], pa.binary())],
-                names=["node", "hashes"])
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A filter of the numbers of ``ids`` (doc_id): 2^FILTER_BITS bits in 64-bit words, put together by Spark."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    bits = _filter_key("doc_id")
+    places = ids.select(F.explode(F.array(bits.bitwiseAND(mask), F.shiftrightunsigned(bits, FILTER_BITS).bitwiseAND(mask))).alias("bit"))
+    one = F.expr("shiftleft(1L, int(bit & 63))")
+    words = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()      # at most 2^(FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
 
-def _with_print(text_at: int):
+def _filter_key(column: str):
+    return F.xxhash64(column, F.lit("near"))
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    keys = keys.view(np.uint64)
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    found = np.ones(len(keys), bool)
+    for place in (keys & mask, (keys >> np.uint64(FILTER_BITS)) & mask):
+        found &= (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
+    return found
+
+
+def _sets(bits):
+    """Rows of (doc_id, filter key, text) to (doc_id, set_print, hashes), for rows that pass the filter or have no id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for batch in batches:
+            ids = batch.column(0)
+            chosen = _passes(words, batch.column(1).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            kept = batch.filter(pa.array(chosen))
+            for start, end, texts in shingles.text_chunks(kept.column(2)):
+                values, counts = shingles.shingle_hashes(texts)
+                ends = np.cumsum(counts)
+                hashes = [values[e - n:e].tobytes() for e, n in zip(ends, counts)]
+                yield pa.RecordBatch.from_arrays([kept.column(0).slice(start, end - start), pa.array(_prints(values, counts), pa.binary()),
+                                                  pa.array(hashes, pa.binary())], names=["doc_id", "set_print", "hashes"])
+
+    return run
+
+
+def _with_print(text_at: int, name: str):
     """Whole rows with their sets' prints as one more column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +163,7 @@ def _with_print(text_at: int):
                 column = column.cast(pa.string())
             for start, end, texts in shingles.text_chunks(column):
                 prints = pa.array(_prints(*shingles.shingle_hashes(texts)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, prints], names=[*batch.schema.names, _PRINT])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, prints], names=[*batch.schema.names, name])
 
     return run
 
@@ -236,16 +271,20 @@ def _star_links(members: DataFrame, buckets: DataFrame, sets: DataFrame, percent
 def _outsider_links(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the centres missed, in the buckets that hold members of several components."""
     placed = (members.join(groups.withColumnRenamed("component", "c"), "node", "left")
-              .select("key", "node", F.coalesce("c", "node").alias("component")))
+              .select("key", "node", "n_shingles", F.coalesce("c", "node").alias("component")))
     placed = staged(placed, "near-placed")
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = (parts.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"),
-                                          F.max(F.struct("n", "component")).alias("main"))
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+
+    def cells(n, s):
+        return F.ceil(F.greatest(n / CELL, s / CELL_SHINGLES)).cast("int")
+
+    open_keys = (parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts"),
+                                          F.max(F.struct("n", "component", "s")).alias("main"))
                  # Two members were compared already: one of them was the centre.
                  .where("parts > 1 AND n > 2")
                  .select("key", F.col("main.component").alias("main"),
-                         F.ceil(F.col("n") / CELL).cast("int").alias("rows"),
-                         F.ceil((F.col("n") - F.col("main.n")) / CELL).cast("int").alias("columns")))
+                         cells(F.col("n"), F.col("s")).alias("rows"),
+                         cells(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("columns")))
     rows = placed.join(staged(open_keys, "near-open"), "key")
     numbered = rows.withColumn("h", F.xxhash64("node"))
     inner = numbered.select("key", F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"),
@@ -253,41 +292,46 @@ def _outsider_links(members: DataFrame, groups: DataFrame, sets: DataFrame, perc
     outer = (numbered.where("component <> main")
              .select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "columns").cast("int").alias("j"),
                      F.lit(False).alias("side"), "node", "component"))
-    cells = outer.unionByName(inner).join(sets, "node")
-    cells = cells.repartition(_partitions(cells), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return cells.select("key", "i", "j", "side", "node", "component", "hashes").mapInArrow(_in_cells(percent), "a bigint, b bigint")
+    dealt = outer.unionByName(inner).join(sets, "node")
+    dealt = dealt.repartition(_partitions(dealt), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return dealt.select("key", "i", "j", "side", "node", "component", "hashes").mapInArrow(_in_cells(percent), "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_print, component_id, kept; staged tables below it."""
     texts = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    signed = staged(texts.mapInArrow(_sign(bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>"),
-                    "near-signed")
-    # A class is a set of shingles, its node 64 bits of the set's print, its own id the smallest that has it.
-    classes = staged(signed.where("n_shingles > 0").groupBy("set_print").agg(F.min("doc_id").alias("own_id"), F.first("bands").alias("bands"))
-                     .withColumn("node", F.xxhash64("set_print")), "near-classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
-    centre = F.min(F.struct(F.xxhash64("key", "node").alias("drawn"), "node"))
-    buckets = staged(members.groupBy("key").agg(centre.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                     .select("key", F.col("c.node").alias("centre")), "near-buckets")
-    members = staged(members.join(buckets.select("key"), "key"), "near-members")
-    wanted = staged(classes.join(members.select("node").distinct(), "node", "left_semi")
-                    .select("node", "set_print", F.col("own_id").alias("doc_id")), "near-wanted")
-    sets = texts.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("node", "set_print", "text").mapInArrow(_sets, "node bigint, hashes binary")
-    twice = not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
-    unnamed = wanted.where("doc_id IS NULL").drop("doc_id")
-    if not unnamed.isEmpty():
-        loose = texts.where("doc_id IS NULL").select("text").mapInArrow(_with_print(0), f"text string, {_PRINT} binary").dropDuplicates([_PRINT])
-        sets = sets.unionByName(loose.join(unnamed, F.col(_PRINT) == F.col("set_print")).select("node", "set_print", "text")
-                                .mapInArrow(_sets, "node bigint, hashes binary"))
-    if twice:
-        sets = sets.dropDuplicates(["node"])
-    sets = staged(sets, "near-sets")
-    stars = staged(_star_links(members, buckets, sets, percent), "near-links")
-    first = staged(components(stars), "near-components")
-    links = stars.unionByName(_outsider_links(members, first, sets, percent))
-    final = staged(components(links), "near-components")
-    placed = staged(classes.drop("bands").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed")
+    spark = docs.sparkSession
+    with scratch(spark):
+        signed = staged(texts.mapInArrow(_sign(bands, rows), "doc_id bigint, n_shingles bigint, set_print binary, bands array<bigint>"),
+                        "near-signed", lasting=True)
+        # A class is a set of shingles, its node a number, its own id the smallest that has it.
+        classes = staged(signed.where("n_shingles > 0").groupBy("set_print")
+                         .agg(F.min("doc_id").alias("own_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+                         .withColumn("node", F.monotonically_increasing_id()), "near-classes")
+        members = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
+        centre = F.min(F.struct(F.xxhash64("key", "node").alias("drawn"), "node"))
+        buckets = staged(members.groupBy("key").agg(centre.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                         .select("key", F.col("c.node").alias("centre")), "near-buckets")
+        members = staged(members.join(buckets.select("key"), "key"), "near-members")
+        wanted = staged(classes.join(members.select("node").distinct(), "node", "left_semi")
+                        .select("node", "set_print", F.col("own_id").alias("doc_id")), "near-wanted")
+        bits = spark.sparkContext.broadcast(_bloom(wanted.where("doc_id IS NOT NULL")))
+        nameless = not wanted.where("doc_id IS NULL").isEmpty()
+        sent = (texts if nameless else texts.where("doc_id IS NOT NULL")).select("doc_id", _filter_key("doc_id").alias("key"), "text")
+        sent = sent.mapInArrow(_sets(bits), "doc_id bigint, set_print binary, hashes binary")
+        # Rows that repeat id and text send the same set; they are few, or the join below splits them.
+        own = wanted.withColumnRenamed("set_print", "p").withColumnRenamed("doc_id", "d").hint("shuffle_hash")
+        sets = sent.join(own, (F.col("set_print") == F.col("p")) & same(F.col("doc_id"), F.col("d"))).select("node", "hashes")
+        if nameless or not signed.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+            sets = sets.dropDuplicates(["node"])
+        sets = staged(sets, "near-sets")
+        bits.unpersist()
+        stars = staged(_star_links(members, buckets, sets, percent), "near-links")
+        first = staged(components(stars), "near-components")
+        links = stars.unionByName(_outsider_links(members, first, sets, percent))
+        final = staged(components(links), "near-components")
+        placed = staged(classes.drop("bands", "n_shingles").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")),
+                        "near-placed", lasting=True)
     tops = (placed.groupBy("component").agg(F.min(F.struct(F.col("own_id").isNull().alias("unnamed"), "own_id", "set_print")).alias("top"))
             .select("component", F.col("top.own_id").alias("top_id"), F.col("top.set_print").alias("top_print")))
     verdicts = placed.join(tops, "component").select("set_print", "top_id", (F.col("set_print") == F.col("top_print")).alias("is_top"))
@@ -308,20 +352,22 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows without an id, or with a repeated one, are told apart by their sets' prints; of rows that have both in common one stays.
     """
+    tag = uuid.uuid4().hex
+    kept_id, kept_print, repeated_id, own_print = (f"{name}_{tag}" for name in ("kept_id", "kept_print", "repeated_id", "own_print"))
     found = staged(_grouped(docs, PERCENT, BANDS, ROWS, "doc_id", "text").select("doc_id", "set_print", "kept"), "near-verdicts")
     repeated = staged(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-                      .select(F.col("doc_id").alias("repeated_id")), "near-repeated")
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("set_print").alias("kept_print"))
+                      .select(F.col("doc_id").alias(repeated_id)), "near-repeated")
+    kept = found.where("kept").select(F.col("doc_id").alias(kept_id), F.col("set_print").alias(kept_print))
     number = docs["doc_id"].cast("bigint")
-    stay = docs.join(kept.select("kept_id"), number == F.col("kept_id"), "left_semi")
-    unsure = docs.where(F.col("doc_id").isNull())
+    stay = docs.join(kept.select(kept_id), number == F.col(kept_id), "left_semi")
+    unsure = docs.where(docs["doc_id"].isNull())
     if not repeated.isEmpty():
-        stay = stay.join(repeated, number == F.col("repeated_id"), "left_anti")
-        unsure = unsure.unionByName(docs.join(repeated, number == F.col("repeated_id"), "left_semi"))
+        stay = stay.join(repeated, number == F.col(repeated_id), "left_anti")
+        unsure = unsure.unionByName(docs.join(repeated, number == F.col(repeated_id), "left_semi"))
     elif found.where("doc_id IS NULL").isEmpty():
         return stay
-    schema = StructType([*docs.schema.fields, StructField(_PRINT, BinaryType())])
-    printed = unsure.mapInArrow(_with_print(docs.columns.index("text")), schema)
-    on = same(F.col("doc_id").cast("bigint"), F.col("kept_id")) & (F.col(_PRINT) == F.col("kept_print"))
-    tops = printed.where(F.col(_PRINT).isNotNull()).join(kept, on, "left_semi").dropDuplicates(["doc_id", _PRINT])
-    return stay.unionByName(tops.drop(_PRINT)).unionByName(printed.where(F.col(_PRINT).isNull()).drop(_PRINT))
+    schema = StructType([*docs.schema.fields, StructField(own_print, BinaryType())])
+    printed = unsure.mapInArrow(_with_print(docs.columns.index("text"), own_print), schema)
+    on = same(F.col("doc_id").cast("bigint"), F.col(kept_id)) & (F.col(own_print) == F.col(kept_print))
+    tops = printed.where(F.col(own_print).isNotNull()).join(kept, on, "left_semi").dropDuplicates(["doc_id", own_print])
+    return stay.unionByName(tops.drop(own_print)).unionByName(printed.where(F.col(own_print).isNull()).drop(own_print))

@@ -11,7 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 DOCS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 # Names that the operators use inside; a table may have them too.
 CLASHING = ["row", "pairs", "token", "host", "path", "rule", "n", "key", "node", "head", "component", "value", "id", "size", "slice", "bands", "rows", "words", "taken", "kept",
-            "matches", "ids", "score", "stays", "finish", "run", "quality", "trusted", "centre", "member", "hashes"]
+            "mix_id", "mix_source", "mix_size", "kept_id", "kept_print", "repeated_id", "_near_print", "good_id", "own_id", "set_print", "drawn", "d", "p",
+            "unit_id", "matches", "ids", "score", "stays", "finish", "run", "quality", "trusted", "centre", "member", "hashes"]
 
 
 @pytest.fixture(scope="session")
