@@ -119,7 +119,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PAS
     size = f"size_{uuid.uuid4().hex}"
     rows = docs.withColumn(size, F.regexp_count(text_of(), F.lit(WORD)).cast("bigint"))
     names = [f"`{c}`" for c in docs.columns]
-    on = (same(F.col("doc_id").cast("bigint"), F.col("mix_id")) & same(F.col("source").cast("string"), F.col("mix_source"))
-          & (F.col(size) == F.col("mix_size")))
+    on = (same(F.col("docs.doc_id").cast("bigint"), F.col("chosen.mix_id")) & same(F.col("docs.source").cast("string"), F.col("chosen.mix_source"))
+          & (F.col(f"docs.{size}") == F.col("chosen.mix_size")))
     order = [f"chosen.{c}" for c in ("finish", "source_no", "shuffled", "mix_id", "pass")]
     return rows.alias("docs").join(chosen.alias("chosen"), on).orderBy(*order).select(*[f"docs.{c}" for c in names])
