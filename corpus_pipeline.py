@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules
-from millrace.llm.common import ship, staged
+from millrace.llm.common import scratch, ship, staged
 from millrace.llm.queries import PIECE_MODEL
 
 
@@ -57,11 +57,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        # What a stage staged inside is deleted when its rows are written.
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 # The likelihood ratio, near copies and token ids have no SQL; tests/llm compares the stages with brute force.
