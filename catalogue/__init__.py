@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, Entry]:
-    from catalogue import (capture, dimensions, flows, merges, scans, sqltext,  # noqa: F401
+    from catalogue import (capture, dimensions, flows, merges, nearness, scans, sqltext, streams,  # noqa: F401
                            versioned)
 
     return ENTRIES

@@ -22,9 +22,11 @@ BIN_ROWS = 20_000
 
 
 def _number(column: Column, dtype: T.DataType) -> Column:
-    """An ordered value as a double or a number of microseconds: what slices are cut from. Rounding moves a slice's border, never a row's match."""
+    """An ordered value as a double or a number of microseconds: what slices are cut from. It never falls where the value grows."""
     if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(column.cast("timestamp"))
+        # Not by way of an instant: zones have hours that come twice.
+        seconds = F.unix_date(column.cast("date")).cast("bigint") * 86_400 + F.hour(column) * 3_600 + F.minute(column) * 60 + F.second(column)
+        return seconds * 1_000_000
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return F.unix_micros(column.cast("timestamp"))
     return column.cast("double")
@@ -62,8 +64,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], left
     width = max((high - low) / slices, 1) if isinstance(low, int) else max((high - low) / slices, 1e-300)
 
     def sliced(df: DataFrame, at: str) -> Column:
-        place = F.floor((_number(F.col(at), df.schema[at].dataType) - F.lit(low)) / F.lit(width))
-        return F.greatest(F.least(place, F.lit(slices)), F.lit(-1)).cast("int")
+        place = (_number(F.col(at), df.schema[at].dataType) - F.lit(low)) / F.lit(width)
+        # NaN is the largest value, for least() as for sorting.
+        return F.floor(F.greatest(F.least(place, F.lit(float(slices))), F.lit(-1.0))).cast("int")
 
     row, item, at, cut, side = "__row", "__item", "__at", "__slice", "__side"
     common = T.StructType([*left.schema.fields])
@@ -131,7 +134,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: str | Sequence[
 
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, band: Any, *, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """All pairs with ``abs(left_on - right_on) <= band``, without any key that must be equal. Names must differ; NULL and NaN match nothing.
+    """All pairs with ``abs(left_on - right_on) <= band``, without any key that must be equal. Names must differ; NULL, NaN and infinite values match nothing.
 
     Values are cut into bins of the band's width; a right row is looked for in its own bin and both neighbours. A bin with more than
     ``bin_rows`` rows on a side is a grid of cells: each side is dealt over one direction and repeated along the other, so no task gets a
@@ -148,10 +151,14 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ba
     # An empty band has bins, too. Bins are a little wider than the band, so that rounding in the division cannot leave a pair out.
     width = F.lit(float(band) * (1 + 1e-9) if band else 1.0)
     bin_, i, j, rows, columns = "__bin", "__i", "__j", "__rows", "__columns"
-    mine = left.filter(a.isNotNull() & ~F.isnan(a.cast("double"))).withColumn(bin_, F.floor(a.cast("double") / width))
-    home = F.floor(b.cast("double") / width)
-    theirs = (right.filter(b.isNotNull() & ~F.isnan(b.cast("double")))
-              .withColumn(bin_, F.explode(F.array(home - 1, home, home + 1))))
+    edge = F.lit(float(1 << 62))
+
+    def home(column: Column) -> Column:
+        return F.floor(F.greatest(F.least(column.cast("double") / width, edge), -edge))
+
+    mine = left.filter(F.abs(a.cast("double")) < float("inf")).withColumn(bin_, home(a))
+    theirs = (right.filter(F.abs(b.cast("double")) < float("inf"))
+              .withColumn(bin_, F.explode(F.array(home(b) - 1, home(b), home(b) + 1))))
     per_cell = F.lit(bin_rows)
     grid = (mine.groupBy(bin_).agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias(rows))
             .join(theirs.groupBy(bin_).agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias(columns)), bin_)
