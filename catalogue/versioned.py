@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalogue import query
 from millrace import (append_if_changed, at_version, changed_versions, latest, latest_per_key,
                       version_history)
+from millrace.functions.workspace import stage
 
 _TURNS = "SELECT conv_id, CAST(turn + 1 AS INTEGER) AS version, role, text FROM conversations"
 
@@ -68,6 +69,16 @@ def versions_changed(t):
     return changed_versions(history, incoming, "doc_id", "text")
 
 
+@query("versions_append_digest", f"""
+    SELECT doc_id, text, CAST(1 AS INTEGER) AS version FROM documents UNION ALL {_ADDED}""")
+def versions_append_digest(t):
+    """The same with a history that keeps the fingerprint of each text: its scan for the comparison reads no text."""
+    history, incoming = documents_twice(t)
+    kept = append_if_changed(history.limit(0).withColumn("print", F.lit(None).cast("string")), history.drop("version"), "doc_id", "text", digest="print")
+    kept = stage(kept, "history").frame
+    return append_if_changed(kept, incoming, "doc_id", "text", digest="print").drop("print")
+
+
 @query("latest_per_key", """
     SELECT user_id, event_id, ts, event_type, value FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
