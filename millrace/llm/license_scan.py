@@ -4,8 +4,10 @@ Words are runs of letters and digits, lower-cased. Of every ``WINDOW`` consecuti
 smallest hash is a fingerprint, in templates and texts alike, so any shared run of ``WINDOW + 1`` words shares
 one. The templates' fingerprints form an inverted index (fixed size, sent to every task). A text's hits are
 gathered by template and diagonal into places; there the template is aligned with the text within ``BAND``
-words of the hits' diagonals, so inserted, missing and changed words are allowed. Of matches that overlap, the one with more
-matched words stays (then more coverage, then the earlier name).
+words of the hits' diagonals, so inserted, missing and changed words are allowed - but for the words that tell licences apart (names, numbers of
+versions, terms such as ND): the matched stretch, with the rest of a version number behind it, must have the template's and no others.
+A short notice with a negation within the three words before it names no licence. Of matches that overlap, the one with more matched words stays (then more
+coverage, then the earlier name).
 
 Defined cases: NULL and empty texts have no matches; a template that occurs twice is two matches; rows that repeat
 are scanned alike; an empty table gives an empty result; other columns are not looked at. Offsets are code
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles
-from millrace.llm.license_texts import NOTICES
+from millrace.llm.license_texts import NEGATIONS, NOTICES, TELLING, VERSION_MARKS
 
 WINDOW = 3
 BAND = 12
 LEAST_COVERAGE = 0.8
+# Templates of at most so many words only name a licence; a negation before them counts.
+NAMING = 24
 
 _WORDS = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 MATCH = "array<struct<license: string, coverage: double, matched: int, start: int, end: int>>"
@@ -63,19 +67,52 @@ class Index:
     words: list[np.ndarray]
     hashes: np.ndarray                     # sorted, one per entry
     entries: np.ndarray                    # (template, position) of each
+    telling: list[frozenset[str]]          # of each template, the words that tell it from others
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
         names = sorted(templates)
-        words, hashes, entries = [], [], []
+        words, telling, hashes, entries = [], [], [], []
         for number, name in enumerate(names):
             own, counts = shingles.word_hashes([templates[name].encode()], blanks=shingles.PLAIN)
             words.append(own)
+            telling.append(_telling(_WORDS.findall(templates[name])))
             for place, value in fingerprints(own, counts):
                 hashes.append(value)
                 entries.append((number, int(place)))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        return cls(names, words, np.array(hashes, np.uint64)[order], np.array(entries)[order])
+        return cls(names, words, np.array(hashes, np.uint64)[order], np.array(entries)[order], telling)
+
+
+def _telling(words: list[str]) -> frozenset[str]:
+    """The words that tell licences apart, and numbers that follow one of them, a version's mark or another such number; zeros say nothing."""
+    found, counts = set(), False
+    for word in (w.lower() for w in words):
+        number = word[1:] if word[:1] == "v" else word
+        if word in TELLING:
+            found.add(word)
+            counts = True
+        elif number.isdigit() and len(number) < 3 and (counts or word != number):
+            found.add(number)
+            counts = True
+        else:
+            counts = word in VERSION_MARKS
+    return frozenset(found - {"0"})
+
+
+def _is_it(text: str, spans: list[tuple[int, int]], first: int, last: int, template: int, index: Index) -> bool:
+    """Whether the words ``first`` to ``last`` of a text name the template's licence and no neighbour of it."""
+    def word(k: int) -> str:
+        return text[slice(*spans[k])].lower()
+
+    # A version number goes on behind the match: "version 2" of "version 2.1"; a zero there changes nothing.
+    end = last
+    while end + 1 < len(spans) and word(end).isdigit() and word(end + 1).isdigit() and text[spans[end][1]:spans[end + 1][0]] == ".":
+        end += 1
+    there = _telling([word(k) for k in range(first, end + 1)])
+    if there != index.telling[template]:
+        return False
+    return len(index.words[template]) > NAMING or not any(word(k) in NEGATIONS for k in range(max(0, first - 3), first))
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int, begin: int, end: int) -> tuple[int, int, int]:
@@ -124,6 +161,7 @@ def _places(hits: list[tuple[int, int, int]], lengths: list[int]) -> Iterator[tu
 
 def matches(text: str, words: np.ndarray, hits: list[tuple[int, int, int]], index: Index, least: float) -> list[dict]:
     found = []
+    spans: list[tuple[int, int]] | None = None
     for template, own in _places(hits, [len(w) for w in index.words]):
         wanted = index.words[template]
         open_parts = [(own, 0, len(words))]              # hits, and the part of the text they may match in
@@ -131,7 +169,9 @@ def matches(text: str, words: np.ndarray, hits: list[tuple[int, int, int]], inde
             part, begin, end = open_parts.pop()
             matched, first, last = align(wanted, words, min(part)[0] - BAND, max(part)[0] + BAND, begin, end)
             if matched and matched >= least * len(wanted):
-                found.append((-matched, -matched / len(wanted), index.names[template], first, last))
+                spans = spans or [m.span() for m in _WORDS.finditer(text)]
+                if _is_it(text, spans, first, last, template, index):
+                    found.append((-matched, -matched / len(wanted), index.names[template], first, last))
                 sides = ([h for h in part if h[1] < first], begin, first), ([h for h in part if h[1] > last], last + 1, end)
                 open_parts += [side for side in sides if side[0]]
     kept: list[tuple] = []
@@ -140,7 +180,6 @@ def matches(text: str, words: np.ndarray, hits: list[tuple[int, int, int]], inde
             kept.append(item)
     if not kept:
         return []
-    spans = [m.span() for m in _WORDS.finditer(text)]
     return [{"license": name, "coverage": -share, "matched": -matched, "start": spans[first][0], "end": spans[last][1]}
             for matched, share, name, first, last in sorted(kept, key=lambda k: k[3])]
 

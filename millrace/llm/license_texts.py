@@ -53,3 +53,38 @@ NOTICES = {
         and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
         execute, and transmit the Software.""",
 }
+
+# Standard notices of the neighbours of the above.
+_FREE = ("This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+         "Foundation{next} either version {version} of the License, or (at your option) any later version.")
+NOTICES |= {
+    "AGPL-3.0-or-later": _FREE.format(mark=":", name="Affero General Public License", next=",", version="3"),
+    "LGPL-3.0-or-later": _FREE.format(mark=":", name="Lesser General Public License", next=",", version="3"),
+    "LGPL-2.1-or-later": _FREE.format(mark=";", name="Lesser General Public License", next=";", version="2.1"),
+    "LGPL-2.0-or-later": _FREE.format(mark=";", name="Library General Public License", next=";", version="2"),
+    "LGPL-3.0-or-later (library)": _FREE.format(mark=":", name="Lesser General Public License", next=",", version="3").replace("program", "library"),
+    "LGPL-2.1-or-later (library)": _FREE.format(mark=";", name="Lesser General Public License", next=";", version="2.1").replace("program", "library"),
+    "LGPL-2.1 (named)": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0.",
+    "EPL-2.0 (named)": "Licensed under the Eclipse Public License, version 2.0.",
+    "MPL-1.1": """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in
+        compliance with the License.""",
+    "Artistic-2.0 (named)": "This package is licensed under the Artistic License 2.0.",
+    "GFDL-1.3-or-later": """Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any
+        later version published by the Free Software Foundation.""",
+}
+
+# Creative Commons: every set of terms in both versions, named in short and in full.
+_TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+          "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _short, _full in _TERMS.items():
+    for _version, _kind in (("4.0", "International"), ("3.0", "Unported")):
+        NOTICES.setdefault(f"CC-{_short}-{_version} (named)", f"Licensed under CC {_short} {_version}.")
+        NOTICES.setdefault(f"CC-{_short}-{_version}", f"This work is licensed under a Creative Commons {_full} {_version} {_kind} License.")
+
+# Words that tell licences with alike wordings apart, what stands before the number of a version, and what turns a notice into its opposite.
+TELLING = frozenset("""gnu affero lesser library documentation lgpl agpl gpl apache mit bsd mozilla mpl eclipse epl artistic academic creative cc cc0
+    sa nc nd sharealike noncommercial noderivatives noderivs attribution unlicense""".split())
+VERSION_MARKS = frozenset("version v license licence by international unported".split())
+NEGATIONS = frozenset("not never no isn without".split())
