@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles
 from millrace.llm.common import small, staged
 
-SAMPLE = 4_000
-LINES = 64
+# The training documents, and the lines that they may have together.
+SAMPLE, LINES = 4_000, 400_000
 STEPS = 150
 PENALTY = 1e-3
 
@@ -190,7 +190,7 @@ def fit(features: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, texts in shingles.text_chunks(batch.column(0)):
-            features, counts, sizes = line_features([b"\n".join(t.split(b"\n")[:LINES]) for t in texts])
+            features, counts, sizes = line_features(texts)
             cuts = np.cumsum(counts)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(a, b - a),
@@ -203,16 +203,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from the first ``sample`` labelled documents of the training folds, half of each kind where there are so many."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Field:
+    """A field from whole texts of labelled documents of the training folds, in hash order, half of each kind where there are so many.
+
+    At most ``sample`` documents, and of each kind as many as have ``lines`` / 2 lines together. Of rows that repeat an id the text with the smallest hash counts.
+    """
     known = (labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")
              .agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
              .where(~held_out()).select("doc_id", "quality", F.xxhash64("doc_id").alias("drawn")))
-    chosen = [known.where(F.col("quality") == k).orderBy("drawn", "doc_id").limit(sample // 2).select("doc_id", "quality") for k in (0, 1)]
+    chosen = [known.where(F.col("quality") == k).orderBy("drawn", "doc_id").limit(sample // 2) for k in (0, 1)]
     chosen = staged(chosen[0].unionByName(chosen[1]), "crf-sample")
-    rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(small(chosen), "doc_id").select("text", "quality")
-            .mapInArrow(_sample_features, "quality int, features binary, sizes binary").limit(2 * sample)
+    text = F.col("text").cast("string")
+    texts = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).join(small(chosen), "doc_id")
+             .groupBy("doc_id", "quality", "drawn").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    texts = staged(texts, "crf-texts")                       # ``sample`` rows at most
+    upto = F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).over(
+        Window.partitionBy("quality").orderBy("drawn", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = (texts.withColumn("upto", upto).where(F.col("upto") <= lines // 2).select("text", "quality")
+            .mapInArrow(_sample_features, "quality int, features binary, sizes binary")
             .sort("features", "quality").collect())          # the order fixes the sums
     if not rows:
         return fit(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
