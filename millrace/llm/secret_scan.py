@@ -10,10 +10,13 @@ its surroundings, whether the words before it, or its own name, speak of a secre
 
 The dictionary - letter runs found ``DICTIONARY_COUNT`` times or more - and the transition table (at most 38 x 38) are counted
 over all texts. The forest is trained on labelled findings, at most ``SAMPLE``, half of each kind where there are so many, the first in hash order, given by the caller or by
-:func:`rule_labels`, which labels only the clear cases. All steps are DataFrame functions; spark.ml runs in the JVM.
+:func:`rule_labels`, which labels only the clear cases, together with :func:`injected` findings: up to ``INJECTED`` findings of the
+corpus with another value or other words before it, whose labels follow from what was put there - random keys and keys of public formats where nothing
+announces them, harmless values that are announced like a password, digests that nothing announces (no secrets). So neither the words before a value nor its looks decide alone.
+All steps are DataFrame functions; spark.ml runs in the JVM.
 
 Defined cases: NULL and empty texts have no findings; the same token twice is two findings; rows that repeat are scanned
-alike; without labelled findings of both kinds nothing is removed and all scores are 1; an empty table gives an
+alike; if the caller's labels are all of one kind, the rules decide (score 0.5 and no secret where they say nothing); an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -31,11 +34,13 @@ from millrace.llm.common import WORD, staged, text_of
 LEAST_CORE = 16
 LEAST_CLEAR = 8              # an announced, assigned value must be as long for a rule to call it a secret
 DICTIONARY_COUNT = 5
-SAMPLE = 20_000
+SAMPLE, INJECTED = 20_000, 4_000
 TREES, DEPTH, SEED = 40, 8, 11
 
-# Words that announce a secret, and public formats of keys and tokens.
-ANNOUNCES = r"(?i)(passw|passphrase|pwd|secret|token|api|key|auth|credential|bearer)"
+# Words that announce a secret - whole ones, or parts of a name such as db_password, apiKey or AUTH_TOKEN - and public formats
+# of keys and tokens.
+ANNOUNCES = (r"(?<![A-Za-z])(?i:passw(or)?ds?|passwd|passphrase|pwd|secrets?|tokens?|api|apikey|keys?|auth|authorization|credentials?|bearer)(?![a-z])"
+             r"|(?<=[a-z])(Passw(or)?ds?|Passwd|Passphrase|Pwd|Secrets?|Tokens?|Api|Keys?|Auth|Credentials?)(?![a-z])")
 KEY_FORMATS = (r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
                r"|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)$")
 ADDRESS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$|^(https?|ftp)[:.]|www\.|^/?([a-z0-9_.-]+/)+[a-z0-9_.-]*$"
@@ -169,6 +174,23 @@ def rule_labels(found: DataFrame) -> DataFrame:
                                   & (F.col("digits") > 0.1) & (F.col("covered") < 0.3), 1.0))
 
 
+def injected(found: DataFrame, most: int = INJECTED) -> DataFrame:
+    """Up to ``most`` of the findings, the first in hash order, altered, with ``known``: the label that follows from the alteration, or NULL for the rules' own."""
+    drawn = F.xxhash64(F.lit("injected"), "doc_id", "position", "part", "value")
+    some = found.orderBy(drawn, "doc_id", "position", "part", "value").limit(most).withColumn("seed", F.sha2(F.concat_ws("/", "doc_id", "position", "part", "value"), 256))
+    kind = F.pmod(F.xxhash64("seed"), F.lit(4))
+    bits = F.regexp_replace(F.base64(F.unhex("seed")), "[^A-Za-z0-9]", "")
+    size = F.pmod(F.xxhash64(F.lit("size"), "seed"), F.lit(22)).cast("int") + 18
+    key = F.substring(bits, F.lit(1), size)
+    public = F.when(F.pmod(F.xxhash64(F.lit("format"), "seed"), F.lit(2)) == 0, F.concat(F.lit("ghp_"), F.substring(bits, 1, 36)))
+    public = F.coalesce(public, F.concat(F.lit("AKIA"), F.upper(F.substring(bits, 1, 16))))
+    value = F.when(kind == 0, key).when(kind == 1, public).when(kind == 2, F.col("value")).otherwise(F.substring("seed", 1, 40))
+    quiet = F.when(F.col("before").rlike(ANNOUNCES) | F.col("name").rlike(ANNOUNCES), F.lit("")).otherwise(F.col("before"))
+    return some.select("doc_id", "position", "part", value.alias("value"), F.lit("").alias("name"),
+                       F.when(kind == 2, F.lit('password = "')).otherwise(quiet).alias("before"), "after",
+                       F.when(kind < 2, 1.0).when(kind == 3, 0.0).alias("known"))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
     """A forest from ``sample`` labelled findings in hash order, half of each kind where there are so many; None if all are of one kind."""
     drawn = F.xxhash64("doc_id", "position", "value")
@@ -188,7 +210,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
 def judge(found: DataFrame, model: PipelineModel | None) -> DataFrame:
     """``found`` with score (the forest's share of votes for a secret) and is_secret."""
     if model is None:
-        return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+        return (rule_labels(found).withColumn("score", F.coalesce("label", F.lit(0.5))).withColumn("is_secret", F.coalesce(F.col("label") == 1, F.lit(False)))
+                .drop("label"))
     voted = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     return (voted.withColumn("is_secret", F.col("score") >= 0.5)
             .drop("vector", "rawPrediction", "probability", "prediction"))
@@ -201,9 +224,16 @@ def scan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     :func:`rule_labels` without.
     """
     words = staged(dictionary(docs), "secret-dictionary")
-    found = staged(features(staged(findings(docs), "secret-findings"), words), "secret-features")
+    found = staged(findings(docs), "secret-findings")
+    if labels is None:
+        found = found.withColumn("injected", F.lit(False)).unionByName(injected(found).withColumn("injected", F.lit(True)), allowMissingColumns=True)
+    found = staged(features(found, words), "secret-features")
     if labels is None:
-        labelled = rule_labels(found)
+        ruled = rule_labels(found)
+        # Announced like a password or not: an injected value is what the rules say of values alone.
+        labelled = ruled.withColumn("label", F.when(~F.col("injected"), F.col("label")).otherwise(
+            F.coalesce("known", F.when(F.col("label") == 0, 0.0))))
+        found = found.where("NOT injected")
     else:
         keys = [c for c in ("doc_id", "position", "part") if c != "part" or c in labels.columns]
         labelled = found.join(labels.select(*keys, "label"), keys)
