@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalogue import query
-from millrace.functions.workspace import shared_folder
+from millrace.functions.workspace import shared_folder, stage
 from millrace.plans.run import run_flow
 from millrace.plans.spec import flow, load_spec
 from millrace.sinks.files import write_files
@@ -325,3 +325,21 @@ def _after_merge(t, **settings):
     write_files(closed, feed, "parquet", "overwrite")
     run_flow(t.spark, closing)
     return load(newest.withColumn("priority", F.lit("AGAIN")), "2003-01-01 00:00:00")
+
+
+@query("sink_catalog_scd2", _VERSIONS)
+def catalog_scd2(t):
+    """The dimension flow into a catalog table: the second run appends what it closes and replaces the open partition."""
+    where = shared_folder(t.spark, "table")
+    name = "millrace_" + where.rsplit("-", 1)[1]
+
+    def spec(left, right, sink, state):
+        cdc = {"enabled": True, "mode": "timestamp", "timestamp": {"column": "o_orderdate"}, "state": state}
+        return (flow("customers").source("parquet", path=left, cdc=cdc, name="open").source("parquet", path=right, cdc=cdc, name="other")
+                .sql(_STATE_OF_CUSTOMER).target("table", table=name, options={"path": where}, scd2=_SCD2).spec())
+
+    rows = _run_twice(t, spec)
+    columns = ["customer", "priority", "status", "order_size", "valid_from", "valid_to", "current_flag", "version"]
+    out = stage(rows.select(*columns), "dimension").frame
+    t.spark.sql(f"DROP TABLE {name}")
+    return out

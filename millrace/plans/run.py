@@ -21,6 +21,7 @@ from millrace.operators.merge import merge_into_table, upsert
 from millrace.operators.scd2 import scd2_backdated, scd2_changes, scd2_init, scd2_merge, scd2_open
 from millrace.plans.spec import BY_POSITION, FILE_TARGETS, FlowSpec, TargetSpec
 from millrace.sinks import MERGE, merge_keys, write_plain
+from millrace.sinks.deltas import apply_to_database, by_current_flag, load_type2_table
 from millrace.sinks.files import replace_table, write_iceberg, write_jdbc
 from millrace.sinks.snapshots import BUCKET, Buckets, Snapshot, SnapshotFolder, part_keys
 from millrace.sources import read_source, read_target
@@ -268,13 +269,26 @@ def compact_target(spark: SparkSession, spec: FlowSpec) -> DataFrame | None:
 
 
 def _merge_whole(spark: SparkSession, spec: FlowSpec, staged: Staged, as_of: Any) -> DataFrame:
-    """Catalog tables and databases: compute everything, then replace the table."""
-    target = spec.target
-    rows = _merged(spec, read_target(spark, target.type, target.config), staged, as_of)
+    """Catalog tables and databases: what changed where the target can take that, else everything anew."""
+    target, scd2 = spec.target, spec.target.scd2
+    current = read_target(spark, target.type, target.config)
     if target.type == "table":
-        replace_table(rows, target.config["table"], target.config.get("format") or "parquet",
-                      target.config.get("options"), target.partition_by)
-        return spark.read.table(target.config["table"])
+        table = target.config["table"]
+        if scd2 and not scd2.backdated and current is not None and by_current_flag(spark, table, scd2):
+            load_type2_table(spark, table, staged, scd2, as_of)
+            return spark.read.table(table)
+        layout = (scd2.is_current, *target.partition_by) if scd2 and not scd2.backdated else target.partition_by
+        replace_table(_merged(spec, current, staged, as_of), table, target.config.get("format") or "parquet",
+                      target.config.get("options"), layout)
+        return spark.read.table(table)
+    if scd2 and not scd2.backdated and current is not None and target.config.get("apply") == "delta":
+        changes = stage(scd2_changes(current, staged.frame, scd2, as_of, broadcast_source=staged.small, check_target=True), "changes")
+        # The same load again takes the same staging table.
+        run_id = uuid.uuid5(uuid.NAMESPACE_OID, f"{spec.name}/{as_of}").hex
+        apply_to_database(spark, target.config, changes.frame, [*scd2.keys, scd2.version], run_id)
+        changes.discard()
+        return read_target(spark, target.type, target.config)
+    rows = _merged(spec, current, staged, as_of)
     # Reading and overwriting one database table at once is not possible: rest in between.
     rows = stage(rows, "result").frame
     write_jdbc(rows, {"truncate": True, **target.config}, "overwrite")

@@ -138,11 +138,13 @@ def replace_table(df: DataFrame, table: str, format: str = "parquet",
     if home:
         options["path"] = f"{home}{_GENERATION}{uuid.uuid4().hex[:12]}"
         replaced = _location(spark, table) if spark.catalog.tableExists(table) else None
+    if not spark.catalog.tableExists(table):
+        write_table(df, quoted(table), "errorifexists", format, options, partition_by)
+        return
     spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
     write_table(df, quoted(fresh), "errorifexists", format, options, partition_by)
-    if spark.catalog.tableExists(table):
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
-        spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {_last_part(old)}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
+    spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {_last_part(old)}")
     spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {_last_part(table)}")
     spark.sql(f"DROP TABLE IF EXISTS {quoted(old)}")
     if replaced and _is_generation(replaced, home):
