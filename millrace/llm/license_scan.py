@@ -68,20 +68,22 @@ class Index:
     hashes: np.ndarray                     # sorted, one per entry
     entries: np.ndarray                    # (template, position) of each
     telling: list[frozenset[str]]          # of each template, the words that tell it from others
+    needs: list[list[frozenset[int]]]      # of each such word, the hashes of the forms it may have in a text
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
         names = sorted(templates)
-        words, telling, hashes, entries = [], [], [], []
+        words, telling, needs, hashes, entries = [], [], [], [], []
         for number, name in enumerate(names):
             own, counts = shingles.word_hashes([templates[name].encode()], blanks=shingles.PLAIN)
             words.append(own)
             telling.append(_telling(_WORDS.findall(templates[name])))
+            needs.append([frozenset(_hash(form) for form in ({w, f"v{w}"} if w.isdigit() else {w})) for w in telling[-1]])
             for place, value in fingerprints(own, counts):
                 hashes.append(value)
                 entries.append((number, int(place)))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        return cls(names, words, np.array(hashes, np.uint64)[order], np.array(entries)[order], telling)
+        return cls(names, words, np.array(hashes, np.uint64)[order], np.array(entries)[order], telling, needs)
 
 
 def _telling(words: list[str]) -> frozenset[str]:
@@ -100,6 +102,18 @@ def _telling(words: list[str]) -> frozenset[str]:
     return frozenset(found - {"0"})
 
 
+def _hash(word: str) -> int:
+    return int(shingles.word_hashes([word.encode()], blanks=shingles.PLAIN)[0][0])
+
+
+def _may_be(words: np.ndarray, template: int, hits: list[tuple[int, int]], index: Index) -> bool:
+    """Whether all that tells the template apart stands around the hits: cheaper than an alignment, and it leaves few of many alike."""
+    reach = len(index.words[template]) + 2 * BAND
+    places = [place for _, place in hits]
+    there = set(words[max(0, min(places) - reach):max(places) + reach].tolist())
+    return all(not there.isdisjoint(forms) for forms in index.needs[template])
+
+
 def _is_it(text: str, spans: list[tuple[int, int]], first: int, last: int, template: int, index: Index) -> bool:
     """Whether the words ``first`` to ``last`` of a text name the template's licence and no neighbour of it."""
     def word(k: int) -> str:
@@ -109,8 +123,10 @@ def _is_it(text: str, spans: list[tuple[int, int]], first: int, last: int, templ
     end = last
     while end + 1 < len(spans) and word(end).isdigit() and word(end + 1).isdigit() and text[spans[end][1]:spans[end + 1][0]] == ".":
         end += 1
-    there = _telling([word(k) for k in range(first, end + 1)])
-    if there != index.telling[template]:
+    words = [word(k) for k in range(first, end + 1)]
+    there, wanted = _telling(words), index.telling[template]
+    # Names must be the same; a number of the template may have lost the word before it.
+    if there - wanted or wanted - there - {w for w in words if w.isdigit()}:
         return False
     return len(index.words[template]) > NAMING or not any(word(k) in NEGATIONS for k in range(max(0, first - 3), first))
 
@@ -164,6 +180,8 @@ def matches(text: str, words: np.ndarray, hits: list[tuple[int, int, int]], inde
     spans: list[tuple[int, int]] | None = None
     for template, own in _places(hits, [len(w) for w in index.words]):
         wanted = index.words[template]
+        if not _may_be(words, template, own, index):
+            continue
         open_parts = [(own, 0, len(words))]              # hits, and the part of the text they may match in
         while open_parts:
             part, begin, end = open_parts.pop()
