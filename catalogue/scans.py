@@ -144,6 +144,47 @@ def sink_table(t):
     return rows
 
 
+def _new_table(t):
+    return "millrace_" + shared_folder(t.spark, "table").rsplit("-", 1)[1]
+
+
+def _kept(t, name):
+    """The rows of a table, which is dropped."""
+    rows = stage(t.spark.table(name), "rows").frame
+    t.spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query("sink_catalog_partitions", """
+    SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders
+    WHERE o_orderstatus <> 'F'
+    UNION ALL SELECT o_orderkey, 'F', CAST(o_totalprice AS DOUBLE) + 1 FROM orders WHERE o_orderstatus = 'F'
+    UNION ALL SELECT -p_partkey, 'N', CAST(p_retailprice AS DOUBLE) FROM part""")
+def sink_table_partitions(t):
+    """A flow overwrites the partitions of a catalog table that its rows fall into: one changed, one new, the others kept."""
+    name, feed = _new_table(t), shared_folder(t.spark, "feed")
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),
+                             F.col("o_totalprice").cast("double").alias("price"))
+    write_table(orders, name, "overwrite", partition_by=["status"])
+    fresh = t.part.select((-F.col("p_partkey")).alias("id"), F.lit("N").alias("status"), F.col("p_retailprice").cast("double").alias("price"))
+    write_files(orders.filter("status = 'F'").withColumn("price", F.col("price") + 1).unionByName(fresh), feed, "parquet")
+    run_flow(t.spark, flow("partitions").source("parquet", path=feed)
+             .target("table", table=name, mode="overwrite", partition_by=["status"], options={"partitionOverwriteMode": "dynamic"}).spec())
+    return _kept(t, name)
+
+
+@query("sink_catalog_self_overwrite", """
+    SELECT c_custkey AS id, c_name AS name, c_acctbal * 2 AS balance FROM customer WHERE c_acctbal > 0""")
+def sink_table_self_overwrite(t):
+    """A flow reads a catalog table and overwrites it."""
+    name = _new_table(t)
+    write_table(_accounts(t), name, "overwrite")
+    run_flow(t.spark, flow("twice").source("table", table=name)
+             .sql("SELECT id, name, balance * 2 AS balance FROM temp_table WHERE balance > 0")
+             .target("table", table=name, mode="overwrite").spec())
+    return _kept(t, name)
+
+
 @query("sink_catalog_merge_external", """
     SELECT c_custkey AS id, c_name AS name, c_acctbal + 1 AS balance FROM customer
     UNION ALL SELECT -1 - s_suppkey, s_name, s_acctbal FROM supplier""")

@@ -64,7 +64,7 @@ def write_plain(df: DataFrame, kind: str, config: Config) -> None:
     if kind == "jdbc":
         write_jdbc(df, config, mode)
     elif kind == "iceberg":
-        write_iceberg(df, config["path"], mode)
+        write_iceberg(df, config["path"], mode, config.get("options"))
     elif kind == "table":
         write_table(df, config["table"], mode, config.get("format") or "parquet",
                     config.get("options"), config.get("partition_by") or ())

@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.functions.workspace import delete_folder
+from millrace.functions.workspace import delete_folder, stage
 from millrace.sources.dialects import check_connection, connection_options
 
 # The save modes Spark knows, and the one added here.
@@ -17,6 +18,7 @@ SAVE_MODES = ("append", "overwrite", "ignore", "error", "errorifexists", "defaul
 MERGE = "merge"
 DEFAULT_MODE = "append"
 _GENERATION = "__g"
+_DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
 
 
 def mode_of(config: Mapping[str, Any], what: str, allowed: Sequence[str] = SAVE_MODES) -> str:
@@ -41,8 +43,7 @@ def write_files(df: DataFrame, path: str, format: str, mode: str = DEFAULT_MODE,
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     options = dict(options or {})
-    dynamic = {k.lower(): str(v).lower() for k, v in options.items()}.get("partitionoverwritemode") == "dynamic"
-    swap = mode == "overwrite" and not (partition_by and dynamic)
+    swap = mode == "overwrite" and not (partition_by and _only_partitions(options))
     there = f"{_parent(path)}/.{path.rstrip('/').rsplit('/', 1)[-1]}-{uuid.uuid4().hex[:12]}" if swap else path
     writer = df.write.format(format.lower()).mode("errorifexists" if swap else mode).options(**options)
     if partition_by:
@@ -58,6 +59,12 @@ def write_files(df: DataFrame, path: str, format: str, mode: str = DEFAULT_MODE,
     _swap(df.sparkSession, there, path.rstrip("/"))
 
 
+def _only_partitions(options: Mapping[str, Any] | None) -> bool:
+    """Whether an overwrite is to replace only the partitions that the rows fall into."""
+    found = {str(k).lower(): str(v).lower() for k, v in dict(options or {}).items()}
+    return found.get("partitionoverwritemode") == "dynamic"
+
+
 def _parent(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[0] if "/" in path.rstrip("/") else "."
 
@@ -106,13 +113,31 @@ def write_jdbc(df: DataFrame, config: Mapping[str, Any], mode: str | None = None
        .mode(mode or mode_of(config, "jdbc target")).save())
 
 
-def write_iceberg(df: DataFrame, path: str, mode: str) -> None:
-    df.write.format("iceberg").mode(mode).save(path)
+def write_iceberg(df: DataFrame, path: str, mode: str, options: Mapping[str, Any] | None = None) -> None:
+    """Append, or overwrite; with ``partitionOverwriteMode: dynamic`` only the partitions of the rows are overwritten."""
+    if mode == "overwrite" and _only_partitions(options):
+        df.writeTo(path).overwritePartitions()
+    else:
+        df.write.format("iceberg").mode(mode).save(path)
 
 
 def write_table(df: DataFrame, table: str, mode: str, format: str = "parquet",
                 options: Mapping[str, Any] | None = None, partition_by: Sequence[str] = ()) -> None:
-    """Append to, create or replace a catalog table, matching columns by name."""
+    """Append to, create or replace a catalog table, matching columns by name.
+
+    ``overwrite`` of a table that is there writes a second one and swaps them, so a job that fails leaves the old rows, and the
+    rows may come from the table itself; tables with a ``path`` of the user's or in another catalog are left to Spark's writer,
+    which keeps their place. With the option ``partitionOverwriteMode: dynamic`` only the partitions that the rows fall into
+    are replaced.
+    """
+    spark = df.sparkSession
+    if mode == "overwrite" and spark.catalog.tableExists(table):
+        if _only_partitions(options) and _partition_columns(spark, table):
+            _overwrite_partitions(df, table)
+            return
+        if "path" not in {str(k).lower() for k in dict(options or {})} and _in_session_catalog(spark, table):
+            replace_table(df, table, format, options, partition_by)
+            return
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.format(format).mode(mode).options(**dict(options or {}))
@@ -121,6 +146,35 @@ def write_table(df: DataFrame, table: str, mode: str, format: str = "parquet",
     writer.saveAsTable(table)
 
 
+def _in_session_catalog(spark: SparkSession, table: str) -> bool:
+    parts = [a or b for a, b in re.findall(r"`([^`]+)`|([^.`]+)", table)]
+    return (parts[0] if len(parts) > 2 else spark.catalog.currentCatalog()) == "spark_catalog"
+
+
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Replace the partitions of ``table`` that rows of ``df`` fall into. Rows read from the table itself are staged first."""
+    spark = df.sparkSession
+    rows = df.select(*[f"`{c}`" for c in spark.table(quoted(table)).columns]).hint("rebalance", *_partition_columns(spark, table))
+    before = spark.conf.get(_DYNAMIC)
+    spark.conf.set(_DYNAMIC, "dynamic")         # the writer's own option does not reach inserts
+    try:
+        rows.write.mode("overwrite").insertInto(quoted(table))
+    except AnalysisException as error:
+        if error.getCondition() != "UNSUPPORTED_OVERWRITE.TABLE":
+            raise
+        own = stage(rows, "partitions")
+        try:
+            own.frame.write.mode("overwrite").insertInto(quoted(table))
+        finally:
+            own.discard()
+    finally:
+        spark.conf.set(_DYNAMIC, before)
+
+
 def replace_table(df: DataFrame, table: str, format: str = "parquet",
                   options: Mapping[str, Any] | None = None,
                   partition_by: Sequence[str] = ()) -> None:

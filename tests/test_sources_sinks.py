@@ -218,3 +218,33 @@ def test_staged_sizes(spark):
     assert stage(wide).bytes == 800_000
     assert not stage(wide, limit=1000).small and stage(wide).small
     assert not Staged(wide, rows=workspace.BROADCAST_ROWS + 1, bytes=8).small
+
+
+def test_a_table_overwrite_that_fails_keeps_the_old_rows(spark, rows):
+    write_table(spark.range(3), "safe", "overwrite")
+    failing = spark.range(5).selectExpr("id", "assert_true(id < 2) AS x").selectExpr("coalesce(x, id) AS id")
+    with pytest.raises(Exception):
+        write_table(failing, "safe", "overwrite")
+    assert rows(spark.table("safe")) == [(0,), (1,), (2,)]
+    write_table(spark.table("safe").selectExpr("id + 10 AS id"), "safe", "overwrite")       # from the table itself
+    assert rows(spark.table("safe")) == [(10,), (11,), (12,)]
+    spark.sql("DROP TABLE safe")
+
+
+def test_partitions_of_a_table_are_overwritten_alone(spark, rows):
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id INT, kind STRING")
+    write_table(first, "parts", "overwrite", options=dynamic, partition_by=["kind"])
+    # Columns by name, a NULL partition, a new one.
+    news = spark.createDataFrame([("b", 20), (None, 30), ("c", 40)], "kind STRING, id INT")
+    write_table(news, "parts", "overwrite", options=dynamic, partition_by=["kind"])
+    assert rows(spark.table("parts"), "id", "kind") == [(1, "a"), (20, "b"), (30, None), (40, "c")]
+    own = spark.table("parts").filter("kind = 'c'").selectExpr("id + 1 AS id", "kind")
+    write_table(own, "parts", "overwrite", options=dynamic, partition_by=["kind"])
+    assert rows(spark.table("parts"), "id", "kind") == [(1, "a"), (20, "b"), (30, None), (41, "c")]
+    write_table(news.limit(0), "parts", "overwrite", options=dynamic, partition_by=["kind"])   # no rows, no partition
+    assert spark.table("parts").count() == 4
+    assert spark.conf.get(key) == before
+    spark.sql("DROP TABLE parts")
