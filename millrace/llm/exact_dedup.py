@@ -3,7 +3,8 @@
 The index is a table of one row per text ever kept, bucketed and sorted by digest. A batch is reduced to
 its digests, each digest to the row that stays (partial aggregates: a text that fills a third of the batch
 is one row per task before the shuffle), digests known to the index fall away in a sort-merge anti-join
-that reads the index without a shuffle, and the rest is appended. Texts never enter a shuffle.
+that reads the index without a shuffle, and the rest is appended. Verdicts need no text in a shuffle. Each batch adds
+a file to every bucket it reaches; ``compact_index`` makes one sorted file of each bucket again.
 
 Defined cases: NULL text is the empty text; empty texts are equal to each other; a NULL id loses every tie;
 rows that repeat id, digest and length are one unit, of which the first copy stays; an empty batch
@@ -25,16 +26,21 @@ INDEX = T.StructType([T.StructField("text_sha256", T.StringType()),
                       T.StructField("keep_id", T.LongType()),
                       T.StructField("n_points", T.LongType())])
 
+_BY_BUCKET = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
 
 def open_index(spark: SparkSession, table: str, location: str, buckets: int) -> str:
     """Create the index table at ``location``, or register the one whose files are there (with the same buckets)."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX.fields)
-    place = location.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (text_sha256) "
-              f"SORTED BY (text_sha256) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
+              f"SORTED BY (text_sha256) INTO {int(buckets)} BUCKETS LOCATION '{_literal(location)}'")
     return table
 
 
+def _literal(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, code points of the whole text, digest of the text without white space."""
     text = text_of(text_column)
@@ -84,6 +90,28 @@ def new_index(spark: SparkSession) -> tuple[str, int]:
     return open_index(spark, table, shared_folder(spark, "digest-index"), buckets), buckets
 
 
+def compact_index(spark: SparkSession, index: str, buckets: int) -> str:
+    """Rewrite the index as one sorted file per bucket in a new folder, which is returned; no row leaves its bucket's task.
+
+    The table is pointed to the new folder in one step when all is written: readers see the old files or the new ones. The old
+    folder is left for readers that are under way; ``open_index`` in another session takes the returned one.
+    """
+    place = shared_folder(spark, "digest-index")
+    whole = f"{index}_{uuid.uuid4().hex}"
+    columns = [f.name for f in INDEX.fields]
+    before = spark.conf.get(_BY_BUCKET)
+    spark.conf.set(_BY_BUCKET, "false")                     # else the scan is by file, and every file writes to its bucket
+    try:
+        (spark.table(index).select(*columns).repartition(buckets, "text_sha256").write.mode("errorifexists").option("path", place)
+         .bucketBy(buckets, "text_sha256").sortBy("text_sha256").saveAsTable(whole))
+    finally:
+        spark.conf.set(_BY_BUCKET, before)
+    spark.sql(f"ALTER TABLE {index} SET LOCATION '{_literal(place)}'")
+    spark.catalog.refreshTable(index)
+    spark.sql(f"DROP TABLE {whole}")                        # external: the files stay
+    return place
+
+
 def verdicts(docs: DataFrame, index: str | None = None, buckets: int | None = None) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     if index is None:

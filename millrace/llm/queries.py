@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, exact_dedup, license_scan, mixing, near_dedup, pieces, quality_crf, quality_rules, secret_scan, suffix_dedup, token_alignment, url_filters, whitening
-from millrace.llm.common import ship
+from millrace.llm.common import scratch, ship, staged, text_of
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -89,6 +89,22 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.verdicts(_table(spark, folder, "documents"))
 
 
+def exact_dedup_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches against one index: all documents; all of them again in other writing, with the pages' HTML; the benchmark's
+    passages and that HTML once more, after a compaction. Verdicts of the second and third: the index knows what came before."""
+    docs, pages = _table(spark, folder, "documents"), _table(spark, folder, "pages")
+    shifted = docs.select((F.col("doc_id") + 10 ** 12).alias("doc_id"), F.concat(F.lit("\t "), text_of(), F.lit(" \n")).alias("text"))
+    html = pages.select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text"))
+    passages = _table(spark, folder, "benchmark").select((F.col("item_id") + 2 * 10 ** 12).alias("doc_id"), "text")
+    index, buckets = exact_dedup.new_index(spark)
+    with scratch(spark):
+        staged(exact_dedup.verdicts(docs, index, buckets), "batch")
+        second = staged(exact_dedup.verdicts(shifted.unionByName(html), index, buckets), "batch-verdicts", lasting=True)
+        exact_dedup.compact_index(spark, index, buckets)
+        third = staged(exact_dedup.verdicts(passages.unionByName(html), index, buckets), "batch-verdicts", lasting=True)
+    return second.withColumn("batch", F.lit(2)).unionByName(third.withColumn("batch", F.lit(3)))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.groups(_table(spark, folder, "documents"))
 
@@ -170,6 +186,24 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+_BATCHES_SQL = r"""
+WITH rows AS (
+  SELECT 1 AS batch, doc_id, text FROM documents
+  UNION ALL SELECT 2, doc_id + 1000000000000, chr(9) || ' ' || coalesce(text, '') || ' ' || chr(10) FROM documents
+  UNION ALL SELECT 2, -1 - page_id, html FROM pages
+  UNION ALL SELECT 3, item_id + 2000000000000, text FROM benchmark
+  UNION ALL SELECT 3, -1 - page_id, html FROM pages),
+d AS (
+  SELECT batch, doc_id, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM rows),
+g AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(batch) OVER w AS first_batch,
+         count(*) OVER (PARTITION BY text_sha256, batch) AS group_size
+  FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY batch, n DESC, doc_id))
+SELECT CAST(batch AS INTEGER) AS batch, doc_id, keep_id, group_size, batch = first_batch AND doc_id = keep_id AS kept, text_sha256
+FROM g WHERE batch > 1
+"""
+
 _SUFFIX_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 windows AS (
@@ -261,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_rules_base": quality_rules_base,
     "op8_quality_crf": op8_quality_crf,
     "op9_exact_dedup": op9_exact_dedup,
+    "exact_dedup_batches": exact_dedup_batches,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_url_filters": op11_url_filters,
     "op12_embedding_whitening": op12_embedding_whitening,
@@ -273,6 +308,7 @@ SQL: dict[str, str] = {
     "op6_mix_sources": _MIX_SQL,
     "quality_rules_base": _RULES_SQL,
     "op9_exact_dedup": _EXACT_SQL,
+    "exact_dedup_batches": _BATCHES_SQL,
     "op10_minhash_near_dedup": _NEAR_SQL,
     "op11_url_filters": _url_sql(),
 }

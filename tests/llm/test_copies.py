@@ -52,6 +52,30 @@ def test_exact_keeps_whole_rows(docs_of):
     assert exact_dedup.drop_copies(docs_of([])).count() == 0 and exact_dedup.verdicts(docs_of([])).count() == 0
 
 
+def test_exact_index_is_compacted(spark, docs_of):
+    index, buckets = exact_dedup.new_index(spark)
+    for start in range(0, 60, 20):
+        exact_dedup.verdicts(docs_of([(k, f"text {k}") for k in range(start, start + 20)]), index, buckets).count()
+    before = {tuple(r) for r in spark.table(index).collect()}
+    many = len(spark.table(index).inputFiles())
+    place = exact_dedup.compact_index(spark, index, buckets)
+    files = spark.table(index).inputFiles()
+    assert len(files) <= buckets < many and all(place in f for f in files)
+    assert {tuple(r) for r in spark.table(index).collect()} == before and len(before) == 60
+    assert exact_dedup.verdicts(docs_of([(99, "te xt 7"), (98, "new")]), index, buckets).where("kept").count() == 1
+    joined = spark.createDataFrame([("x",)], "text_sha256 STRING").hint("merge").join(spark.table(index), "text_sha256", "left_anti")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    spark.sql(f"DROP TABLE {index}")
+    exact_dedup.open_index(spark, index, place, buckets)
+    assert spark.table(index).count() == 61
+
+
+def test_exact_index_is_compacted_when_empty(spark, docs_of):
+    index, buckets = exact_dedup.new_index(spark)
+    exact_dedup.compact_index(spark, index, buckets)
+    assert exact_dedup.verdicts(docs_of([(1, "a"), (2, "a")]), index, buckets).where("kept").count() == 1
+
+
 def test_exact_index_persists(spark, docs_of):
     index, buckets = exact_dedup.new_index(spark)
     first = exact_dedup.verdicts(docs_of([(5, "a b"), (6, "c")]), index, buckets)
