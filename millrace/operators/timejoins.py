@@ -107,7 +107,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: str | Sequence[
 
     Time is cut into bins of ``width`` (microseconds for times, else plain numbers), and again into bins of twice that, four times, and so on.
     An interval lies in at most two bins of the level of its own length; a point is looked up once per level that occurs, of which
-    there are few. So a long interval costs no more rows than a short one.
+    there are few. So a long interval costs no more rows than a short one. Both sides are shuffled and sorted: a point has as many rows as there
+    are levels, which Spark's estimate of a side's size does not know, so a side that looks small enough to be broadcast need not be.
     """
     keys = as_keys(keys)
     require_columns(points, [*keys, at], "points")
@@ -129,7 +130,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: str | Sequence[
     place = _number(F.col(at), points.schema[at].dataType).cast("double")
     looked = (points.filter(keyed([*keys, at])).withColumn(level, F.explode(F.array(*map(F.lit, present)).cast("array<int>")))
               .withColumn(slot, F.floor(place / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col(level))))))
-    pairs = looked.join(placed, [*keys, level, slot]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+    pairs = looked.hint("merge").join(placed, [*keys, level, slot]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
     return pairs.select(*points.columns, *[c for c in intervals.columns if c not in keys])
 
 

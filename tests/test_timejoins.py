@@ -67,6 +67,15 @@ def test_intervals_against_brute_force(spark, rows, points, spans):
     assert rows(interval_join(a, b, "k", "x", "s", "e", width=4)) == sorted(want, key=repr)
 
 
+def test_interval_sides_are_never_broadcast(spark):
+    # Looked up on every level, a side is many times what Spark takes it for.
+    points = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("x"))
+    spans = points.select("k", F.col("x").alias("s"), (F.col("x") + F.pow(F.lit(2), F.col("x") % 9).cast("long")).alias("e"))
+    got = interval_join(points, spans, "k", "x", "s", "e", width=1)
+    assert got.count() == points.join(spans, "k").filter("s <= x AND x < e").count()
+    assert "Broadcast" not in plan(got) and "SortMergeJoin" in plan(got)
+
+
 value = st.one_of(st.none(), st.integers(-30, 30).map(lambda n: n / 4), st.just(math.nan))
 
 
