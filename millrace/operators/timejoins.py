@@ -7,6 +7,7 @@ column, so no plan has a nested loop. A hot key spreads over its slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,11 @@ from millrace.functions.keys import as_keys, has_order, keyed, order_columns, re
 
 # Slices that an as-of join divides the whole range into.
 SLICES = 256
-# Rows of one side of a band that meet in one task.
-BIN_ROWS = 20_000
+# Rows of one side of a band that meet in one cell; pairs that one task compares, about; how many pairs a shuffled row costs; tasks at most.
+BIN_ROWS = 1_000
+TASK_PAIRS = 8_000_000
+ROW_PAIRS = 16
+MOST_TASKS = 20_000
 
 
 def _number(column: Column, dtype: T.DataType) -> Column:
@@ -139,7 +143,8 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ba
 
     Values are cut into bins of the band's width; a right row is looked for in its own bin and both neighbours. A bin with more than
     ``bin_rows`` rows on a side is a grid of cells: each side is dealt over one direction and repeated along the other, so no task gets a
-    whole overfull bin, and every pair still meets in one cell only.
+    whole overfull bin, and every pair still meets in one cell only. Pairs can grow with the product of the sides, so the cells are dealt to
+    as many tasks as the pairs to be compared ask for (they are counted first), not as the bytes of the sides do.
     """
     require_columns(left, [left_on], "left side")
     require_columns(right, [right_on], "right side")
@@ -160,13 +165,19 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ba
     mine = left.filter(F.abs(a.cast("double")) < float("inf")).withColumn(bin_, home(a))
     theirs = (right.filter(F.abs(b.cast("double")) < float("inf"))
               .withColumn(bin_, F.explode(F.array(home(b) - 1, home(b), home(b) + 1))))
-    per_cell = F.lit(bin_rows)
-    grid = (mine.groupBy(bin_).agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias(rows))
-            .join(theirs.groupBy(bin_).agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias(columns)), bin_)
-            .filter(f"{rows} > 1 OR {columns} > 1"))
+    lefts, rights = "__lefts", "__rights"
+    both = mine.select(bin_, F.lit(1).alias(lefts), F.lit(0).alias(rights)).unionByName(theirs.select(bin_, F.lit(0).alias(lefts), F.lit(1).alias(rights)))
+    sizes = (both.groupBy(bin_).agg(F.sum(lefts).cast("double").alias(lefts), F.sum(rights).cast("double").alias(rights))
+             .withColumn(rows, F.ceil(F.col(lefts) / bin_rows).cast("int")).withColumn(columns, F.ceil(F.col(rights) / bin_rows).cast("int"))
+             .filter(f"{rows} > 0 AND {columns} > 0"))
+    work = sizes.agg(F.sum(F.expr(f"{lefts} * {rights} + {ROW_PAIRS} * ({lefts} * {columns} + {rights} * {rows})"))).first()[0] or 0.0
+    tasks = min(max(ceil(work / TASK_PAIRS), 1), MOST_TASKS)
+    # One row for bin_rows rows or more: small, and no overfull bin is shuffled whole.
+    grid = F.broadcast(sizes.filter(f"{rows} > 1 OR {columns} > 1").select(bin_, rows, columns))
     mine = mine.join(grid, bin_, "left").withColumn(i, _dealt(left, rows)).withColumn(j, _repeated(columns)).drop(rows, columns)
     theirs = theirs.join(grid, bin_, "left").withColumn(j, _dealt(right, columns)).withColumn(i, _repeated(rows)).drop(rows, columns)
-    pairs = mine.join(theirs, [bin_, i, j]).filter(F.abs(a - b) <= F.lit(band))
+    mine, theirs = (side.repartition(tasks, bin_, i, j) for side in (mine, theirs))
+    pairs = mine.hint("merge").join(theirs, [bin_, i, j]).filter(F.abs(a - b) <= F.lit(band))
     return pairs.select(*left.columns, *right.columns)
 
 

@@ -96,3 +96,13 @@ def test_an_overfull_bin_is_a_grid(spark, rows):
     with pytest.raises(ValueError):
         band_join(a, b, "x", "y", -1)
     assert timejoins.BIN_ROWS > 1
+
+
+def test_tasks_of_a_band_are_as_many_as_its_pairs_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(timejoins, "TASK_PAIRS", 50_000, raising=False)
+    a = spark.range(6_000).select(F.col("id").alias("n"), (F.col("id") % 40).cast("double").alias("x")).coalesce(1)
+    b = a.toDF("m", "y")
+    got = band_join(a, b, "x", "y", 0.5)
+    counts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 40 * 150 * 150 and len(counts) > 10 and max(counts) < sum(counts) / 3   # a few hundred KB, yet many tasks
+    assert band_join(a.limit(0), b, "x", "y", 0.5).count() == 0
