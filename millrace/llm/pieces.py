@@ -10,7 +10,7 @@ boundaries from left to right and keeps for each one the best edge that ends the
 
 Only boundaries within one maximum piece length of the front can be extended, so only these are kept. As soon
 as the paths back from all of them run through one boundary, the pieces before it are final and are committed.
-Where no piece of the model joins two characters - before the blank mark, in most models - every path runs
+Where no piece of the model joins two characters - before the blank mark and between scripts, in most models - every path runs
 through the boundary between them; the text is cut there first, and short cuts are looked up.
 
 Edges without a piece (one unknown character) become bytes if the model has byte pieces, else the unknown id.
@@ -41,6 +41,8 @@ MARK = "▁"
 REMEMBERED_CHARS = 48
 REMEMBERED = 1 << 17
 REMEMBERED_PAIRS = 1 << 18
+# Smaller scripts are not cut from each other.
+SCRIPT_CHARS = 16
 # Kinds of pieces and of models in the file format, and what an unknown character costs a unigram model.
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -96,28 +98,42 @@ class Pieces:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[0] = i
+        self._after: list[dict[int, bool]] = [{} for _ in range(self.stray + 1)]      # for each piece: what it may follow, as far as asked
+        self._asked = 0
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, i)
+            self.automaton.add_word(p, (i, len(p), self._after[i]))
         self.automaton.make_automaton()
-        self.cut = self._cut_pattern()
         self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.cut = self._cut_pattern()
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items() if b >= 128}
         hidden = {i for i, (_, _, k) in enumerate(pieces) if k not in (NORMAL, BYTE, UNKNOWN)}
         self.text_of = ["" if i in hidden else " ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.names)]
         for b, i in self.byte_ids.items():
             self.text_of[i] = chr(b) if b < 128 else ""
         self._cuts = _Cuts(self._search)
-        self._pairs: dict[int, bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}
 
     def _cut_pattern(self) -> re.Pattern | None:
-        """Where every text may be cut: before marks, and around ASCII characters that are in no longer piece."""
+        """Where every text may be cut: before marks, around ASCII characters that are in no longer piece, and between scripts:
+        large sets of characters that pieces join with one another, but with no character outside but the mark."""
         if any(p[i] != MARK and p[i + 1] == MARK for p in self.ids for i in range(len(p) - 1)):
             return None
         inside = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
-        return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        scripts = ["".join(map(re.escape, sorted(s))) for s in self._scripts() if len(s) >= SCRIPT_CHARS]
+        runs = "|".join([*(f"[{s}]+" for s in scripts), f"[^{MARK}{alone}{''.join(scripts)}]+"])
+        return re.compile(f"{MARK}*(?:{runs})|{MARK}+" + (f"|[{alone}]" if alone else ""))
+
+    def _scripts(self) -> list[set[str]]:
+        """Sets of characters that pieces join, directly or by way of others; the largest first."""
+        script: dict[str, set[str]] = {}
+        for a, b in (pair for pair in self.joined if MARK not in pair):
+            one, other = sorted((script.setdefault(a, {a}), script.setdefault(b, {b})), key=len)
+            if one is not other:
+                other |= one
+                script.update(dict.fromkeys(one, other))
+        return sorted({id(s): s for s in script.values()}.values(), key=lambda s: (-len(s), min(s)))
 
     @classmethod
     def parse(cls, model: bytes) -> Pieces:
@@ -178,6 +194,16 @@ class Pieces:
             else:
                 return True
 
+    def _ask(self, before: int, piece: int) -> bool:
+        """:meth:`_holds`, and remember it. An unknown character never merges, so it stands whatever is before it."""
+        if self._asked >= REMEMBERED_PAIRS:
+            for known in self._after:
+                known.clear()
+            self._asked = 0
+        self._asked += 1
+        holds = self._after[piece][before] = piece == self.stray or self._holds(before, piece)
+        return holds
+
     def _halves_of(self, piece: str) -> tuple[str, str]:
         return self._half(piece) or (piece, piece)
 
@@ -198,17 +224,12 @@ class Pieces:
         if not found or lengths[found[0]] > 1:
             found.insert(0, self.stray)             # an unknown character
         if self.bpe:
-            pairs, many = self._pairs, self.stray + 1
             for piece in reversed(found):
                 before = edge.get(end - lengths[piece])
                 if before is not None:
-                    # An unknown character never merges, so it stands whatever is before it.
-                    pair = before * many + piece
-                    holds = pairs.get(pair)
+                    holds = self._after[piece].get(before)
                     if holds is None:
-                        if len(pairs) >= REMEMBERED_PAIRS:
-                            pairs.clear()
-                        holds = pairs[pair] = piece == self.stray or self._holds(before, piece)
+                        holds = self._ask(before, piece)
                     if holds:
                         edge[end] = piece
                         return
@@ -273,45 +294,39 @@ class Pieces:
         return out
 
     def _search(self, cut: str) -> tuple[int, ...]:
-        """Ids of a cut. It falls apart further where no piece holds both characters, as all paths run through there."""
+        """Ids of a cut. If it is long, it falls apart further where no piece holds both characters, as all paths run through there."""
+        ids = self._short(cut) if self.bpe and len(cut) <= REMEMBERED_CHARS else None
+        if ids:
+            return ids
         joined = self.joined
         places = [i for i in range(1, len(cut)) if cut[i - 1:i + 1] not in joined]
         if places:
             ends = [0, *places, len(cut)]
-            ids: list[int] = []
-            for a, b in zip(ends, ends[1:]):
-                ids.extend(self._cuts[cut[a:b]])
-            return tuple(ids)
-        ids = self._short(cut) if self.bpe and len(cut) <= REMEMBERED_CHARS else None
-        return ids or tuple(i for run in self.stream(cut) for i in self._ids_of(run))
+            return tuple(chain.from_iterable(self._cuts[cut[a:b]] for a, b in zip(ends, ends[1:])))
+        return tuple(i for run in self.stream(cut) for i in self._ids_of(run))
 
     def _short(self, cut: str) -> tuple[int, ...] | None:
         """:meth:`stream` for a cut that needs no commits, with all edges from one automaton; None if a character is unknown."""
-        lengths, pairs, many = self.lengths, self._pairs, self.stray + 1
-        edge: list[int | None] = [None] * (len(cut) + 1)
-        edge[0] = self.begin
-        for last, piece in self.automaton.iter(cut):          # of those that end at one place the longest comes first
-            end = last + 1
-            if edge[end] is not None:
-                continue
-            before = edge[end - lengths[piece]]
-            if before is not None:
-                pair = before * many + piece
-                holds = pairs.get(pair)
-                if holds is None:
-                    if len(pairs) >= REMEMBERED_PAIRS:
-                        pairs.clear()
-                    holds = pairs[pair] = self._holds(before, piece)
-                if holds:
-                    edge[end] = piece
-        ids, end = [], len(cut)
-        while end:
-            piece = edge[end]
+        edge: list[int | None] = [None] * len(cut)            # the edge up to each character; that before the first is -1, the last place
+        edge.append(self.begin)
+        for last, (piece, length, after) in self.automaton.iter(cut):     # of those that end at one place the longest comes first
+            if edge[last] is None:
+                before = edge[last - length]
+                if before is not None:
+                    holds = after.get(before)
+                    if holds is None:
+                        holds = self._ask(before, piece)
+                    if holds:
+                        edge[last] = piece
+        lengths, ids, last = self.lengths, [], len(cut) - 1
+        while last >= 0:
+            piece = edge[last]
             if piece is None:
                 return None
             ids.append(piece)
-            end -= lengths[piece]
-        return tuple(ids[::-1])
+            last -= lengths[piece]
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str, out: array) -> None:
         """Append the ids of ``text`` to ``out``."""

@@ -50,6 +50,21 @@ def test_long_and_short_searches_agree(model):
     assert len(list(model.stream(prose(1, 300).replace(" ", "")))) > 5         # commits on the way
 
 
+def test_scripts_are_cut_from_each_other(model):
+    import sentencepiece
+
+    assert model.cut.findall("▁▁maison.Дом,▁(жar)7") == ["▁▁maison", ".", "Дом", ",", "▁(", "ж", "ar", ")", "7"]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    draw = random.Random(3)
+    letters = "abehilnorstÉéßžčЖживсуем.,!?'\"(){}\\$%-«»’…ÁŁØ£©¿一个取获据数ال漢😀\u200b\r\t\n09 ▁  "
+    for _ in range(2000):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(1, 70)))
+        cuts = model.cut.findall(text.replace(" ", pieces.MARK))
+        assert "".join(cuts) == text.replace(" ", pieces.MARK)
+        assert all(a[-1] + b[0] not in model.joined or a[-1] != pieces.MARK == b[0] for a, b in zip(cuts, cuts[1:]))
+        assert ids(model, text) == library.encode(text), text
+
+
 def test_unigram_search_finds_the_best_sum():
     words = {"a": -2.0, "b": -2.5, "ab": -3.0, "abc": -3.2, "c": -4.0, "bc": -3.5, "ca": -3.1, "▁": -1.0, "▁a": -2.2}
     own = pieces.Pieces([("<unk>", 0.0, pieces.UNKNOWN), *((p, s, pieces.NORMAL) for p, s in words.items())], pieces.UNIGRAM, dummy_prefix=False)
